@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colonnade.operators.ordering import running_totals
+from colonnade.session import broadcast_if_small
 
 
 def confusion(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
@@ -96,7 +97,7 @@ def _curve(groups: DataFrame, by: Sequence[str]) -> DataFrame:
     if not by:
         row = totals.first()
         return running.withColumns({"_p": F.lit(row["_p"]).cast("bigint"), "_n": F.lit(row["_n"]).cast("bigint")})
-    return running.join(F.broadcast(totals), list(by))  # one row per curve
+    return running.join(broadcast_if_small(totals), list(by))
 
 
 def roc_points(df: DataFrame, score: Column | str, positive: Column, by: Sequence[str] = ()) -> DataFrame:
