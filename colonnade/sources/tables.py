@@ -36,7 +36,9 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType = STOP_SCHEMA)
 
 
 def write_csv(df: DataFrame, path: str) -> str:
-    df.write.mode("errorifexists").option("header", True).csv(path)
+    """CSV with a header; timestamps keep their microseconds."""
+    micros = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+    df.write.mode("errorifexists").options(header=True, timestampFormat=micros, timestampNTZFormat=micros).csv(path)
     return path
 
 
