@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from colonnade.models.builtin import DEEPEST, fit_forest, ml_scorer, padded, ridge
 from colonnade.models.frame import (
-    ClassFrame, ModelResult, Scorer, assembled, cross_validate, cv_table, predicted, result, search, settings,
+    ClassFrame, ModelResult, Scorer, assembled, cross_validate, cv_table, predicted, result, search, settings, together,
 )
 from colonnade.operators.sampling import SEED, unit_draw
 from colonnade.session import cut_lineage
@@ -37,7 +37,7 @@ def _one_vs_rest(train: DataFrame, k: int, make: Callable) -> list:
     """One binary model per class on (y = class); ``train`` has the features in ``_f``."""
     rows = train.select("y", "_f").persist()
     try:
-        return [make().fit(rows.withColumn("_b", (F.col("y") == i).cast("double"))) for i in range(k)]
+        return together(lambda i: make().fit(rows.withColumn("_b", (F.col("y") == i).cast("double"))), range(k))
     finally:
         rows.unpersist()
 
@@ -92,14 +92,16 @@ def _poisson_weight(u: Column, mean: float) -> Column:
 def fit_bagging(train, frame, estimators=10, row_share=1.0, column_share=1.0, max_depth=10) -> Scorer:
     """Trees on repeatable row weights and a fixed feature subset each; probabilities are averaged."""
     k, width = len(frame.classes), max(1, int(column_share * len(frame.columns)))
-    members = []
-    for e in range(estimators):
+
+    def member(e: int) -> tuple:
         key = lambda c: hashlib.md5(f"{c}:{e}:{SEED}".encode()).hexdigest()
         columns = sorted(sorted(frame.columns, key=key)[:width], key=frame.columns.index)
         weight = _poisson_weight(unit_draw(F.col("id"), "bag", str(e), str(SEED)), row_share)
         rows = assembled(train, columns, "_f").withColumn("_w", weight).filter("_w > 0")
         tree = DecisionTreeClassifier(labelCol="y", featuresCol="_f", weightCol="_w", maxDepth=max_depth, seed=SEED)
-        members.append((tree.fit(rows), columns))
+        return tree.fit(rows), columns
+
+    members = together(member, range(estimators))
 
     def score(df: DataFrame) -> DataFrame:
         out, kept = df, list(df.columns)
@@ -164,18 +166,21 @@ def fit_svm_calibrated(train, frame, kernel="rbf", degree=2, tol=1e-3, c=1.0, ma
     k = len(frame.classes)
     args = (frame, kernel, degree, tol, c, max_iter)
     part = F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(CALIBRATION_FOLDS))
-    held = None
-    for f in range(CALIBRATION_FOLDS):
-        scored = _fit_margins(train.filter(part != f), *args)(train.filter(part == f))
-        held = scored if held is None else held.unionByName(scored)
+    fits = together(
+        lambda f: _fit_margins(train if f is None else train.filter(part != f), *args), [None, *range(CALIBRATION_FOLDS)])
+    margins, inner = fits[0], fits[1:]
+    held = inner[0](train.filter(part == 0))
+    for f in range(1, CALIBRATION_FOLDS):
+        held = held.unionByName(inner[f](train.filter(part == f)))
     held = held.persist()
-    curves = []
-    for i in range(k):
+
+    def curve(i: int) -> tuple[float, float]:
         rows = held.select((F.col("y") == i).cast("double").alias("_b"), array_to_vector(F.array(F.col("margin")[i])).alias("_f"))
         fitted = LogisticRegression(labelCol="_b", featuresCol="_f", family="binomial").fit(rows)
-        curves.append((float(fitted.coefficients[0]), float(fitted.intercept)))
+        return float(fitted.coefficients[0]), float(fitted.intercept)
+
+    curves = together(curve, range(k))
     held.unpersist()
-    margins = _fit_margins(train, *args)
 
     def score(df: DataFrame) -> DataFrame:
         each = F.array(*[
@@ -208,10 +213,8 @@ def stacking(frame: ClassFrame, grid: Mapping = STACKING_GRID, forest: Mapping |
             out = scored.select(*out.columns, *[F.get("probability", F.lit(i)).alias(f"s{b}_{i}") for i in range(k)])
         return out
 
-    parts = [
-        base_columns(frame.train.filter(F.col("fold") != f), frame.train.filter(F.col("fold") == f)) for f in range(frame.folds)
-    ]
-    parts.append(base_columns(frame.train, frame.test))
+    pairs = [(frame.train.filter(F.col("fold") != f), frame.train.filter(F.col("fold") == f)) for f in range(frame.folds)]
+    parts = together(lambda pair: base_columns(*pair), [*pairs, (frame.train, frame.test)], parallelism)
     stacked = parts[0]
     for p in parts[1:]:
         stacked = stacked.unionByName(p)

@@ -88,6 +88,12 @@ class ModelResult:
     cv: DataFrame  # model, params, mean_accuracy, rank
 
 
+def together(fn: Callable, items: Sequence, width: int = 4) -> list:
+    """Run independent fits a few at a time; short jobs of one fit then overlap with those of another."""
+    with ThreadPoolExecutor(max(1, min(width, len(items)))) as pool:
+        return list(pool.map(fn, items))
+
+
 def cv_table(frame: ClassFrame, name: str, scores: Sequence[tuple[dict, float]]) -> tuple[DataFrame, dict]:
     """Search result as a table, and the best setting (the first on a tie)."""
     order = sorted(range(len(scores)), key=lambda i: (-scores[i][1], i))
@@ -110,9 +116,8 @@ def cross_validate(frame: ClassFrame, fit: Fit, grid: Sequence[dict], parallelis
             return got or 0.0
 
         try:
-            with ThreadPoolExecutor(parallelism) as pool:
-                for i, accuracy in enumerate(pool.map(score, range(len(grid)))):
-                    totals[i] += accuracy / frame.folds
+            for i, accuracy in enumerate(together(score, range(len(grid)), parallelism)):
+                totals[i] += accuracy / frame.folds
         finally:
             part.unpersist()
             held.unpersist()

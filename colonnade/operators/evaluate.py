@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colonnade.operators.ordering import running_totals
-from colonnade.session import broadcast_if_small
+from colonnade.session import broadcast_if_small, cut_lineage
 
 
 def confusion(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
@@ -92,6 +92,7 @@ def _score_groups(df: DataFrame, score: Column, positive: Column, by: Sequence[s
 
 
 def _curve(groups: DataFrame, by: Sequence[str]) -> DataFrame:
+    groups = cut_lineage(groups)  # read for the bucket bounds, the bucket sums, the totals and the curve
     running = running_totals(groups, [("threshold", False)], {"tp": F.col("pos"), "fp": F.col("neg")}, by)
     totals = groups.groupBy(*by).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
     if not by:

@@ -1,7 +1,7 @@
 """Exact nearest-neighbour join and what is built on it: k-distance curve, kNN classes, SMOTE.
 
 Points are assigned to the nearest of a bounded set of pivots. From the cell sizes and radii follows,
-by the triangle inequality, a radius that holds k neighbours of every query of a cell; only cells that
+by the triangle inequality, a radius that holds k neighbours of every query of a cell; only rows that
 reach into that radius are compared. Large cells are split into blocks, identical points are merged
 before (keeping the k smallest ids, the only ones a tie rule can pick), and every task returns at most
 k rows per query. Ties in distance go to the smaller id.
@@ -20,20 +20,20 @@ from pyspark.sql import types as T
 
 from colonnade.operators.ordering import hash_bucket, ranked
 from colonnade.operators.sampling import SEED, class_counts, class_draws, digest, draw, unit_draw
-from colonnade.session import broadcast_if_small, cut_lineage
+from colonnade.session import BROADCAST_ROWS, cut_lineage
 
-BLOCK_ROWS = 2048
-MAX_PIVOTS = 512
+BLOCK_ROWS = 512
+MAX_PIVOTS = 2048
 MAX_CELL_PAIRS = 4_000_000
 
 
 def distances(x: np.ndarray, y: np.ndarray, p: int) -> np.ndarray:
     """Pairwise Manhattan (p=1) or Euclidean (p=2) distances, summed one dimension at a time."""
-    total = np.zeros((len(x), len(y)))
+    total, gap = np.zeros((len(x), len(y))), np.empty((len(x), len(y)))
     for i in range(x.shape[1]):
-        gap = x[:, i][:, None] - y[:, i][None, :]
-        total += np.abs(gap) if p == 1 else gap * gap
-    return total if p == 1 else np.sqrt(total)
+        np.subtract(x[:, i][:, None], y[:, i][None, :], out=gap)
+        total += np.abs(gap, out=gap) if p == 1 else np.multiply(gap, gap, out=gap)
+    return total if p == 1 else np.sqrt(total, out=total)
 
 
 def feature_array(columns: Sequence[str]) -> Column:
@@ -51,36 +51,59 @@ def _assign(pivots: np.ndarray, p: int):
             return pd.DataFrame({"cell": pd.Series(dtype="int32"), "r": pd.Series(dtype="float64")})
         x = _matrix(points)
         cell, r = np.empty(len(x), dtype=np.int32), np.empty(len(x))
-        for start in range(0, len(x), 4096):
-            d = distances(x[start:start + 4096], pivots, p)
+        for start in range(0, len(x), 256):
+            d = distances(x[start:start + 256], pivots, p)
             best = d.argmin(axis=1)
-            cell[start:start + 4096] = best
-            r[start:start + 4096] = d[np.arange(len(d)), best]
+            cell[start:start + 256] = best
+            r[start:start + 256] = d[np.arange(len(d)), best]
         return pd.DataFrame({"cell": cell, "r": r})
 
     return nearest
 
 
-def _cell_pairs(q_cells, t_rings, pivots: np.ndarray, k: int, p: int) -> list[tuple]:
-    """Pairs (group, query cell, train cell) that can hold a k-nearest neighbour."""
+def _reach_plan(q_cells, t_rings, pivots: np.ndarray, k: int, p: int, chunk_rows: int) -> tuple[list[tuple], dict]:
+    """Which train rows each query cell must see.
+
+    Returns rows (group, query cell, train cell, low, high, first chunk, chunks): train rows of the cell at a
+    distance from their pivot between low and high can be a k-nearest neighbour; and the number of chunks
+    per query cell. Small train cells share a chunk, large ones are split over several.
+    """
     between = distances(pivots, pivots, p)
     rings: dict = {}
     for g, cell, count, radius in t_rings:
         rings.setdefault(g, []).append((cell, count, radius))
-    out = []
+    by_group = {}
+    for g, here in rings.items():
+        cells, counts, radii = (np.array(x) for x in zip(*here))
+        names, at = np.unique(cells, return_inverse=True)
+        size, widest = np.zeros(len(names), dtype=np.int64), np.zeros(len(names))
+        np.add.at(size, at, counts)
+        np.maximum.at(widest, at, radii)
+        by_group[g] = (cells, counts, radii, names, size, widest)
+    out, chunks = [], {}
     for g, cell, radius in q_cells:
-        here = rings.get(g)
-        if not here:
+        if g not in by_group:
             continue
-        cells = np.array([c for c, _, _ in here])
-        counts, radii = np.array([n for _, n, _ in here]), np.array([r for _, _, r in here])
+        cells, counts, radii, names, size, widest = by_group[g]
         upper = between[cell, cells] + radius + radii
         order = np.argsort(upper, kind="stable")
         enough = np.searchsorted(np.cumsum(counts[order]), k)
-        reach = upper[order][enough] if enough < len(order) else math.inf
-        near = between[cell, cells] - radius - radii <= reach * (1 + 1e-9) + 1e-12
-        out += [(g, int(cell), int(c)) for c in np.unique(cells[near])]
-    return out
+        reach = upper[order][enough] * (1 + 1e-9) + 1e-12 if enough < len(order) else math.inf
+        gap = between[cell, names]
+        near = np.nonzero(gap - radius - widest <= reach)[0]
+        used, room = 0, 0
+        for j in near:
+            if size[j] > room:  # starts a chunk of its own
+                parts = int(math.ceil(size[j] / chunk_rows))
+                first, used = used, used + parts
+                room = chunk_rows - int(size[j]) if parts == 1 else 0
+            else:
+                parts, first = 1, used - 1
+                room -= int(size[j])
+            low, high = float(gap[j] - radius - reach), float(gap[j] + radius + reach)
+            out.append((g, int(cell), int(names[j]), low, high, first, parts))
+        chunks[g, cell] = used
+    return out, chunks
 
 
 def knn_join(
@@ -121,30 +144,29 @@ def knn_join(
     t_rings = t.groupBy("_g", "cell", ring.alias("ring")).agg(F.count(F.lit(1)).alias("n"), F.max("r").alias("r"))
     q_cells = q.groupBy("_g", "cell").agg(F.max("r").alias("r"), F.count(F.lit(1)).alias("n")).collect()
     ring_rows = t_rings.collect()  # groups x pivots x radius classes, bounded above
-    pairs = _cell_pairs(
+    plan, chunks = _reach_plan(
         [(r["_g"], r["cell"], r["r"]) for r in q_cells],
-        [(r["_g"], r["cell"], r["n"], r["r"]) for r in ring_rows], pivots, k, p,
+        [(r["_g"], r["cell"], r["n"], r["r"]) for r in ring_rows], pivots, k, p, 8 * block_rows,
     )
-    t_size: dict = {}
-    for r in ring_rows:
-        t_size[r["_g"], r["cell"]] = t_size.get((r["_g"], r["cell"]), 0) + r["n"]
-    q_blocks = {(r["_g"], r["cell"]): math.ceil(r["n"] / block_rows) for r in q_cells}
-    t_blocks = {key: math.ceil(n / block_rows) for key, n in t_size.items()}
-    pair_rows = spark.createDataFrame(
-        [(g, a, b, q_blocks[g, a], t_blocks[g, b]) for g, a, b in pairs],
-        "_g string, qc int, tc int, qn int, tn int",
+    q_plan = spark.createDataFrame(
+        [(r["_g"], r["cell"], math.ceil(r["n"] / (2 * block_rows)), chunks[r["_g"], r["cell"]])
+         for r in q_cells if (r["_g"], r["cell"]) in chunks],
+        "_g string, qc int, qn int, tn int",
     )
-    pair_rows = F.broadcast(pair_rows) if len(pairs) <= 50_000 else pair_rows
+    t_plan = spark.createDataFrame(plan, "_g string, qc int, tc int, low double, high double, first int, parts int")
+    t_plan = t_plan.join(F.broadcast(q_plan.drop("tn")), ["_g", "qc"])  # at most groups x pivots rows
+    t_plan = F.broadcast(t_plan) if len(plan) <= BROADCAST_ROWS else t_plan
     block = lambda n: F.pmod(F.xxhash64("_x"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    keys = ["_g", "qc", "qb", "tc", "tb"]
+    keys = ["_g", "qc", "qb", "tb"]
     left = (
-        q.withColumnRenamed("cell", "qc").join(pair_rows, ["_g", "qc"])
-        .select("_g", "qc", block("qn").alias("qb"), "tc", every("tn").alias("tb"), "_id", "_x")
+        q.withColumnRenamed("cell", "qc").join(F.broadcast(q_plan), ["_g", "qc"])
+        .select("_g", "qc", block("qn").alias("qb"), every("tn").alias("tb"), "_id", "_x")
     )
     right = (
-        t.withColumnRenamed("cell", "tc").join(pair_rows, ["_g", "tc"])
-        .select("_g", "qc", every("qn").alias("qb"), "tc", block("tn").alias("tb"), "_id", "_x")
+        t.withColumnRenamed("cell", "tc").join(t_plan, ["_g", "tc"])
+        .filter(F.col("r").between(F.col("low"), F.col("high")))
+        .select("_g", "qc", every("qn").alias("qb"), (F.col("first") + block("parts")).alias("tb"), "_id", "_x")
     )
 
     def nearest_in_block(qs: pd.DataFrame, ts: pd.DataFrame) -> pd.DataFrame:
@@ -153,8 +175,8 @@ def knn_join(
         ts = ts.sort_values("_id", kind="stable")
         y, t_ids, q_ids = _matrix(ts["_x"]), ts["_id"].to_numpy(), qs["_id"].to_numpy()
         x, parts = _matrix(qs["_x"]), []
-        for start in range(0, len(x), 512):
-            d = distances(x[start:start + 512], y, p)
+        for start in range(0, len(x), 128):  # a slice that stays in cache
+            d = distances(x[start:start + 128], y, p)
             top = min(k, d.shape[1])
             limit = np.partition(d, top - 1, axis=1)[:, top - 1:top]
             row, col = np.nonzero(d <= limit)

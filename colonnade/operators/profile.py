@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from colonnade.operators.ordering import running_totals
 from colonnade.operators.rows import column_names
+from colonnade.session import cut_lineage
 
 QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
 
@@ -23,9 +24,8 @@ def value_counts(df: DataFrame, columns: Sequence[str], as_type: str = "string")
     )
 
 
-def exact_quantiles(df: DataFrame, columns: Sequence[str], at: Sequence[float] = QUANTILES) -> DataFrame:
-    """(column, q, quantile): smallest value whose cumulative count reaches q of the rows."""
-    counts = value_counts(df, columns, "double")
+def exact_quantiles(counts: DataFrame, at: Sequence[float] = QUANTILES) -> DataFrame:
+    """(column, q, quantile) from value counts: smallest value whose cumulative count reaches q of the rows."""
     totals = counts.groupBy("column").agg(F.sum("n").alias("total"))
     running = running_totals(counts, [("value", True)], {"seen": F.col("n")}, by=["column"])
     points = F.explode(F.array(*[F.lit(float(q)) for q in at]))
@@ -74,8 +74,9 @@ def profile_columns(df: DataFrame, columns: Sequence[str] | None = None, exact:
     names = [f"q{round(q * 100):02d}" for q in QUANTILES]
     if not exact:
         return out.select("*", *[F.col("q")[i].alias(n) for i, n in enumerate(names)]).drop("q")
-    distinct = value_counts(df, columns, "double").groupBy("column").agg(F.count(F.lit(1)).alias("distinct"))
-    quantiles = exact_quantiles(df, columns).groupBy("column").agg(
+    counts = cut_lineage(value_counts(df, columns, "double"))
+    distinct = counts.groupBy("column").agg(F.count(F.lit(1)).alias("distinct"))
+    quantiles = exact_quantiles(counts).groupBy("column").agg(
         *[F.max(F.when(F.col("q") == float(q), F.col("quantile"))).alias(n) for q, n in zip(QUANTILES, names)]
     )
     return out.join(distinct, "column", "left").join(quantiles, "column", "left")
