@@ -32,27 +32,28 @@ def trip_rollup_nulls(spark, folder):
     return aggregate.trip_rollup(holed(spark, folder), first=["delay_minutes"], last=["line", "k"])
 
 
+# A mean of cents over 32 rows can end exactly on half a millionth; nine places leave no such ties here.
 def _mean_sql(key, name):
-    return f"WITH {TRIPS} SELECT {key} AS {name}, round(avg(delay_minutes), 6) AS mean_delay_minutes FROM trips GROUP BY 1"
+    return f"WITH {TRIPS} SELECT {key} AS {name}, round(avg(delay_minutes), 9) AS mean_delay_minutes FROM trips GROUP BY 1"
 
 
-@query("mean_delay_by_day_part", _mean_sql("time_of_day", "time_of_day"))
+@query("mean_delay_by_day_part", _mean_sql("time_of_day", "time_of_day"), digits=9)
 def mean_by_day_part(spark, folder):
     return phases.explore(trips(spark, folder))["by_day_part"]
 
 
-@query("mean_delay_by_date", _mean_sql("date", "date"))
+@query("mean_delay_by_date", _mean_sql("date", "date"), digits=9)
 def mean_by_date(spark, folder):
     return phases.explore(trips(spark, folder))["by_date"]
 
 
-@query("mean_delay_by_sequence", _mean_sql("stop_sequence", "stop_sequence"))
+@query("mean_delay_by_sequence", _mean_sql("stop_sequence", "stop_sequence"), digits=9)
 def mean_by_sequence(spark, folder):
     return phases.explore(trips(spark, folder))["by_sequence"]
 
 
 @query("mean_delay_by_weekday", f"""WITH {TRIPS}
-SELECT day_of_weeks, isodow(date) AS num, round(avg(delay_minutes), 6) AS mean_delay_minutes FROM trips GROUP BY 1, 2""")
+SELECT day_of_weeks, isodow(date) AS num, round(avg(delay_minutes), 9) AS mean_delay_minutes FROM trips GROUP BY 1, 2""", digits=9)
 def mean_by_weekday(spark, folder):
     return phases.explore(trips(spark, folder))["by_weekday"]
 
@@ -102,17 +103,17 @@ def column_moments(spark, folder):
 
 
 @query("daily_resample", f"""WITH {HOLED}
-SELECT CAST(date_trunc('day', scheduled_time) AS TIMESTAMP) AS scheduled_time, round(avg(k), 6) AS k,
-       round(avg(stop_sequence), 6) AS stop_sequence, round(avg(delay_minutes), 6) AS delay_minutes
-FROM holed WHERE k IS NOT NULL AND delay_minutes IS NOT NULL GROUP BY 1""")
+SELECT CAST(date_trunc('day', scheduled_time) AS TIMESTAMP) AS scheduled_time, round(avg(k), 9) AS k,
+       round(avg(stop_sequence), 9) AS stop_sequence, round(avg(delay_minutes), 9) AS delay_minutes
+FROM holed WHERE k IS NOT NULL AND delay_minutes IS NOT NULL GROUP BY 1""", digits=9)
 def daily_resample(spark, folder):
     base = holed(spark, folder).select("scheduled_time", "k", "stop_sequence", "delay_minutes")
     return aggregate.resample(base, "scheduled_time", "delay_minutes")
 
 
 @query("hourly_resample", f"""WITH {STOPS}
-SELECT CAST(date_trunc('hour', scheduled_time) AS TIMESTAMP) AS scheduled_time, round(avg(k), 6) AS k,
-       round(avg(delay_minutes), 6) AS delay_minutes FROM stops GROUP BY 1""")
+SELECT CAST(date_trunc('hour', scheduled_time) AS TIMESTAMP) AS scheduled_time, round(avg(k), 9) AS k,
+       round(avg(delay_minutes), 9) AS delay_minutes FROM stops GROUP BY 1""", digits=9)
 def hourly_resample(spark, folder):
     base = stops(spark, folder).select("scheduled_time", "k", "delay_minutes")
     return aggregate.resample(base, "scheduled_time", "delay_minutes", "HOUR")
@@ -313,8 +314,8 @@ EXPLORED = (("by_day_part", "time_of_day"), ("by_date", "CAST(date AS VARCHAR)")
 
 
 @query("explore", f"WITH {TRIPS} " + " UNION ALL ".join(
-    f"SELECT '{name}' AS part, {key} AS key, round(avg(delay_minutes), 6) AS value FROM trips GROUP BY 2" for name, key in EXPLORED)
-    + " UNION ALL SELECT 'long_delay_by_line', line, round(avg(long_delay::INT), 6) FROM trips GROUP BY 2")
+    f"SELECT '{name}' AS part, {key} AS key, round(avg(delay_minutes), 9) AS value FROM trips GROUP BY 2" for name, key in EXPLORED)
+    + " UNION ALL SELECT 'long_delay_by_line', line, round(avg(long_delay::INT), 9) FROM trips GROUP BY 2", digits=9)
 def explore(spark, folder):
     parts = phases.explore(trips(spark, folder))
     keyed = [

@@ -27,30 +27,41 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
     return value
 
 
-def beta_inc(a: float, b: float, x: float) -> float:
-    """Regularized incomplete beta function."""
+def _log_gamma_step(a: float, b: float) -> float:
+    """log Gamma(a + b) - log Gamma(a), without cancellation for large a."""
+    if a < 1e4:
+        return math.lgamma(a + b) - math.lgamma(a)
+    tail = lambda z: 1.0 / (12.0 * z) - 1.0 / (360.0 * z**3)
+    return (a + b - 0.5) * math.log1p(b / a) + b * math.log(a) - b + tail(a + b) - tail(a)
+
+
+def beta_inc(a: float, b: float, x: float, y: float | None = None) -> float:
+    """Regularized incomplete beta function; ``y`` is 1 - x when that is known more exactly."""
+    y = 1.0 - x if y is None else y
     if x <= 0.0:
         return 0.0
-    if x >= 1.0:
+    if y <= 0.0:
         return 1.0
-    front = math.exp(
-        math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
-    )
+    large, small = max(a, b), min(a, b)
+    log_x = math.log1p(-y) if y < 0.5 else math.log(x)
+    log_y = math.log1p(-x) if x < 0.5 else math.log(y)
+    front = math.exp(_log_gamma_step(large, small) - math.lgamma(small) + a * log_x + b * log_y)
     if x < (a + 1.0) / (a + b + 2.0):
         return front * _beta_fraction(a, b, x) / a
-    return 1.0 - front * _beta_fraction(b, a, 1.0 - x) / b
+    return 1.0 - front * _beta_fraction(b, a, y) / b
 
 
 def t_two_sided(t: float, df: float) -> float:
     if math.isnan(t):
         return math.nan
-    return 0.0 if math.isinf(t) else beta_inc(df / 2.0, 0.5, df / (df + t * t))
+    return 0.0 if math.isinf(t) else beta_inc(df / 2.0, 0.5, df / (df + t * t), t * t / (df + t * t))
 
 
 def f_upper(f: float, df1: float, df2: float) -> float:
     if math.isnan(f):
         return math.nan
-    return 0.0 if math.isinf(f) else beta_inc(df2 / 2.0, df1 / 2.0, df2 / (df2 + df1 * f))
+    total = df2 + df1 * f
+    return 0.0 if math.isinf(f) else beta_inc(df2 / 2.0, df1 / 2.0, df2 / total, df1 * f / total)
 
 
 def t_quantile(p: float, df: float) -> float:
