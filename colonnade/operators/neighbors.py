@@ -154,13 +154,14 @@ def knn_join(
         "_g string, qc int, qn int, tn int",
     )
     t_plan = spark.createDataFrame(plan, "_g string, qc int, tc int, low double, high double, first int, parts int")
-    t_plan = t_plan.join(F.broadcast(q_plan.drop("tn")), ["_g", "qc"])  # at most groups x pivots rows
-    t_plan = F.broadcast(t_plan) if len(plan) <= BROADCAST_ROWS else t_plan
+    small = lambda d, rows: F.broadcast(d) if rows <= BROADCAST_ROWS else d
+    q_plan = small(q_plan, len(q_cells))
+    t_plan = small(t_plan.join(q_plan.drop("tn"), ["_g", "qc"]), len(plan))
     block = lambda n: F.pmod(F.xxhash64("_x"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     keys = ["_g", "qc", "qb", "tb"]
     left = (
-        q.withColumnRenamed("cell", "qc").join(F.broadcast(q_plan), ["_g", "qc"])
+        q.withColumnRenamed("cell", "qc").join(q_plan, ["_g", "qc"])
         .select("_g", "qc", block("qn").alias("qb"), every("tn").alias("tb"), "_id", "_x")
     )
     right = (
