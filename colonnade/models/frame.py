@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colonnade.operators.encode import moments, zscore
-from colonnade.operators.sampling import SEED, class_counts, stratified_folds, stratified_split
+from colonnade.operators.sampling import SEED, balance, class_counts, split_and_folds
 from colonnade.session import cut_lineage
 
 # A fitted model: adds ``probability`` (one entry per class) and may add ``score`` (ranks the classes).
@@ -43,6 +43,18 @@ class ClassFrame:
         data = zscore(self.data, self.columns, fitted=moments(self.train, self.columns))
         return ClassFrame(data, self.classes, self.columns, self.folds)
 
+    def balanced(self, method: str = "oversample") -> "ClassFrame":
+        """Equal class sizes among the training rows; test rows stay as they are.
+
+        Copies keep the fold of their source, so none crosses a fold or the split.
+        """
+        train = balance(self.train, "id", "label", method)
+        if "draw" in train.columns:
+            train = train.withColumn("id", F.concat_ws("#", F.col("id").cast("string"), F.col("draw").cast("string"))).drop("draw")
+        data = train.withColumn("id", F.col("id").cast("string")).unionByName(
+            self.test.withColumn("id", F.col("id").cast("string")))
+        return ClassFrame(cut_lineage(data), self.classes, self.columns, self.folds)
+
 
 def make_frame(
     df: DataFrame, label: str, columns: Sequence[str], id_col: str, share: float = 0.2, folds: int = 5, seed: int = SEED
@@ -52,12 +64,10 @@ def make_frame(
     rows = df.na.drop("any", subset=[*columns, label]).select(
         F.col(id_col).alias("id"), F.col(label).cast("string").alias("label"), *[F.col(c).cast("double").alias(c) for c in columns]
     )
-    classes = sorted(class_counts(rows, "label"))
-    split = cut_lineage(stratified_split(rows, "id", "label", share, seed))
-    train = stratified_folds(split.filter("split = 'train'"), "id", "label", folds, seed + 1)
-    test = split.filter("split = 'test'").withColumn("fold", F.lit(-1))
+    placed = cut_lineage(split_and_folds(rows, "id", "label", share, folds, seed))
+    classes = sorted(class_counts(placed, "label"))
     y = (F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("label")) - 1).cast("double")
-    data = cut_lineage(train.unionByName(test).withColumn("y", y))
+    data = placed.withColumn("y", y)
     return ClassFrame(data, classes, columns, folds)
 
 

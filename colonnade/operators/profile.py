@@ -52,10 +52,7 @@ def profile_columns(df: DataFrame, columns: Sequence[str] | None = None, exact:
             F.stddev_samp(x).alias(f"std{i}"), F.skewness(x).alias(f"skew{i}"), F.kurtosis(x).alias(f"kurt{i}"),
         ]
         if not exact:
-            aggs += [
-                F.approx_count_distinct(x).alias(f"distinct{i}"),
-                F.percentile_approx(x, [float(q) for q in QUANTILES], 10_000).alias(f"q{i}"),
-            ]
+            aggs.append(F.approx_count_distinct(x).alias(f"distinct{i}"))
     wide = df.agg(*aggs)
     rows = []
     for i, c in enumerate(columns):
@@ -68,12 +65,21 @@ def profile_columns(df: DataFrame, columns: Sequence[str] | None = None, exact:
             F.when(n > 3, ((n + 1) * F.col(f"kurt{i}") + 6) * (n - 1) / ((n - 2) * (n - 3))).alias("kurtosis"),
         ]
         if not exact:
-            fields += [F.col(f"distinct{i}").alias("distinct"), F.col(f"q{i}").alias("q")]
+            fields.append(F.col(f"distinct{i}").alias("distinct"))
         rows.append(F.struct(*fields))
     out = wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
     names = [f"q{round(q * 100):02d}" for q in QUANTILES]
     if not exact:
-        return out.select("*", *[F.col("q")[i].alias(n) for i, n in enumerate(names)]).drop("q")
+        # Quantile sketches in the same aggregate would take all the others out of code generation.
+        sketch = df.agg(*[
+            F.percentile_approx(F.col(c).cast("double"), [float(q) for q in QUANTILES], 10_000).alias(f"q{i}")
+            for i, c in enumerate(columns)
+        ])
+        cells = F.array(*[
+            F.struct(F.lit(c).alias("column"), *[F.col(f"q{i}")[j].alias(n) for j, n in enumerate(names)])
+            for i, c in enumerate(columns)
+        ])
+        return out.join(sketch.select(F.explode(cells).alias("r")).select("r.*"), "column")
     counts = cut_lineage(value_counts(df, columns, "double"))
     distinct = counts.groupBy("column").agg(F.count(F.lit(1)).alias("distinct"))
     quantiles = exact_quantiles(counts).groupBy("column").agg(

@@ -123,6 +123,32 @@ def stratified_folds(df: DataFrame, id_col: str, label: str, folds: int = 5, see
     return mark(df, id_col, label, ranks, name, seed)
 
 
+def split_and_folds(df: DataFrame, id_col: str, label: str, share: float = 0.2, folds: int = 5, seed: int = SEED) -> DataFrame:
+    """Add ``split`` as ``stratified_split`` does, and a stratified ``fold`` for train rows (-1 for test rows).
+
+    Test rows and folds are consecutive slices of the same digest order, so one set of cut points serves both.
+    """
+    counts = class_counts(df, label)
+    sizes, ranks, parts = test_sizes(counts, share), {}, {}
+    for c, n in counts.items():
+        size, extra = divmod(n - sizes[c], folds)
+        ends = [sizes[c]] + [sizes[c] + size * (i + 1) + min(i + 1, extra) for i in range(folds)]
+        ranks[c] = sorted({e for e in ends if 0 < e < n})
+        starts = [0, *ranks[c]]
+        parts[c] = [next((i - 1 for i, e in enumerate(ends) if first < e), folds - 1) for first in starts]
+    sliced = mark(df, id_col, label, ranks, "_slice", seed)
+    names = df.sparkSession.createDataFrame(
+        list(parts.items()),
+        T.StructType([T.StructField(label, df.schema[label].dataType), T.StructField("_parts", T.ArrayType(T.IntegerType()))]),
+    )
+    named = sliced.join(F.broadcast(names), label)  # one row per class, at most MAX_CLASSES
+    return named.select(
+        *df.columns,
+        F.when(F.get("_parts", F.col("_slice")) < 0, "test").otherwise("train").alias("split"),
+        F.get("_parts", F.col("_slice")).alias("fold"),
+    )
+
+
 def undersample(df: DataFrame, id_col: str, label: str, seed: int = SEED) -> DataFrame:
     """Every class cut to the size of the smallest, without replacement."""
     counts = class_counts(df, label)

@@ -193,10 +193,15 @@ def all_models(frame: ClassFrame, grids: Mapping[str, Mapping] | None = None, pa
 
 def compare_classifiers(
     df: DataFrame, label: str, columns: Sequence[str], id_col: str, grids: Mapping[str, Mapping] | None = None,
-    folds: int = 5, parallelism: int = 2,
+    folds: int = 5, parallelism: int = 2, balance_train: str | None = None,
 ) -> DataFrame:
-    """One metric row per model, best test accuracy first."""
+    """One metric row per model, best test accuracy first.
+
+    ``balance_train`` ('oversample' or 'undersample') evens out the classes of the training rows after the split.
+    """
     frame = make_frame(df, label, columns, id_col, folds=folds)
+    if balance_train:
+        frame = frame.balanced(balance_train)
     results = all_models(frame, grids, parallelism)
     rows = results[0].predictions
     for r in results[1:]:

@@ -51,6 +51,18 @@ def test_folds_are_even_and_small_classes_survive(spark):
     assert split.filter("split = 'test'").count() == 5
 
 
+@pytest.mark.parametrize("folds", [2, 5])
+def test_split_with_folds(spark, folds):
+    small = spark.createDataFrame([(5000 + i, 1.0, "tiny") for i in range(3)] + [(6000, 1.0, "one")], "id long, v double, c string")
+    df = _skewed(spark).unionByName(small)
+    got = sampling.split_and_folds(df.repartition(3), "id", "c", folds=folds)
+    plain = sampling.stratified_split(df, "id", "c")
+    assert sorted(got.select("id", "split").collect()) == sorted(plain.select("id", "split").collect())
+    assert got.filter("(split = 'test') <> (fold = -1)").count() == 0
+    for r in got.filter("fold >= 0").groupBy("c").pivot("fold", list(range(folds))).count().na.fill(0).collect():
+        assert max(r[1:]) - min(r[1:]) <= 1
+
+
 def test_balancing(spark):
     df = _skewed(spark)
     counts = sampling.class_counts(df, "c")

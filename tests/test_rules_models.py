@@ -133,6 +133,16 @@ def test_binary_logistic(spark, frame):
         builtin.binary_logistic(frame, "top")
 
 
+@pytest.mark.parametrize("method", ["oversample", "undersample"])
+def test_balanced_frame_touches_training_rows_only(frame, method):
+    even = frame.balanced(method)
+    assert len({r["count"] for r in even.train.groupBy("label").count().collect()}) == 1
+    assert even.test.count() == frame.test.count()
+    assert even.data.select("id").distinct().count() == even.data.count()
+    result = direct.nearest_neighbors(even, {"k": [3], "weights": ["uniform"], "p": [2]})
+    assert result.predictions.count() == even.data.count()
+
+
 CONFIG = phases.StudyConfig(trees=5, max_depth=4, folds=2, ks=range(2, 4), restarts=1)
 
 
