@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +29,32 @@ def build_session(app: str = "colonnade", master: str | None = None, **conf: str
     }
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship_package(builder.getOrCreate())
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Send this package to the Python workers of ``spark``, so that they need no copy of the repository.
+
+    Sent once per application and content; Spark's own file server delivers the archive.
+    """
+    root = os.path.dirname(os.path.abspath(__file__))
+    top = os.path.dirname(root)
+    if not os.path.isdir(root):
+        return spark  # already running from an archive
+    files = sorted(
+        os.path.join(folder, name) for folder, _, names in os.walk(root) for name in names if name.endswith(".py")
+    )
+    content = {os.path.relpath(path, top): open(path, "rb").read() for path in files}
+    mark = hashlib.sha256(repr(sorted(content.items())).encode()).hexdigest()[:16]
+    context = spark.sparkContext
+    if getattr(context, "_colonnade_package", None) != mark:
+        archive = os.path.join(tempfile.mkdtemp(prefix="colonnade-package-"), f"colonnade-{mark}.zip")
+        with zipfile.ZipFile(archive, "w") as out:
+            for path, body in content.items():
+                out.writestr(path, body)
+        context.addPyFile(archive)
+        context._colonnade_package = mark
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
