@@ -167,11 +167,10 @@ def draw_mix(docs: DataFrame, weight: Column, seed: int = 17) -> DataFrame:
     weight = F.coalesce(weight.cast("double"), F.lit(1.0))
     facts = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), weight.alias("weight"))
     sized, plan = plan_mix(scratch, facts, seed)
-    limits = scratch.small(plan.withColumnRenamed("s", "_source"))
     # Temporary columns live in one struct, so that no column of the documents can clash with them.
     names = docs.columns
     rows = docs.withColumn("_facts", F.struct(word_count(F.col("text")).alias("size"), sampling_key(F.col("doc_id"), weight, seed).alias("key")))
-    limits = limits.select("_source", F.struct("epochs", "cut", "part").alias("_plan"))
+    limits = scratch.small(plan).select(F.col("s").alias("_source"), F.struct("epochs", "cut", "part").alias("_plan"))
     rows = rows.join(limits, F.col("source").eqNullSafe(F.col("_source")))
     size = F.col("_facts.size")
     here = F.struct(F.col("_facts.key").alias("key"), F.col("doc_id"), size.alias("size"))
