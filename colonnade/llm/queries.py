@@ -12,6 +12,7 @@ from colonnade.llm.exact import exact_groups
 from colonnade.llm.jaccard import jaccard_groups
 from colonnade.llm.langid import fit_languages, predict_languages
 from colonnade.llm.mixing import mix, weighted_documents
+from colonnade.llm.passages import shared_passages
 from colonnade.llm.pii import find_personal_data
 from colonnade.llm.storage import held_out
 from colonnade.llm.toxicity import THRESHOLD, fit_toxicity, score_toxicity
@@ -107,6 +108,11 @@ from body
 """
 
 
+@query
+def op5_shared_passages(spark, folder):
+    return shared_passages(table(spark, folder, "documents"))
+
+
 @query
 def op6_near_vectors(spark, folder):
     return near_vectors(table(spark, folder, "embeddings"))
