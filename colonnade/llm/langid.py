@@ -43,8 +43,7 @@ def gram_counts(texts: pa.Array, classes: np.ndarray, n_classes: int, orders, sl
     owner = np.repeat(classes, np.diff(starts))
     width = len(orders) * slots
     total = np.zeros(n_classes * width, np.int64)
-    for k, order in enumerate(orders):
-        slot = gram_slots(points, starts, order, slots)
+    for k, slot in enumerate(gram_slots(points, starts, orders, slots)):
         inside = slot >= 0
         total += np.bincount(owner[inside] * width + k * slots + slot[inside], minlength=len(total))
     return total
@@ -84,8 +83,7 @@ def score_texts(model: LanguageModel, texts: pa.Array) -> np.ndarray:
     """Posterior probabilities, a row per text and a column per language."""
     points, starts = code_points(texts)
     total = np.tile(model.prior, (len(texts), 1))
-    for k, order in enumerate(model.orders):
-        slot = gram_slots(points, starts, order, model.slots)
+    for k, slot in enumerate(gram_slots(points, starts, model.orders, model.slots)):
         values = model.log_prob[np.where(slot >= 0, slot + k * model.slots, 0)].astype(np.float64)
         values[slot < 0] = 0
         total += np.add.reduceat(values, starts[:-1], axis=0)

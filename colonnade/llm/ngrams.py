@@ -24,25 +24,32 @@ def code_points(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return points, np.concatenate([[0], np.cumsum(lengths)])
 
 
-def gram_slots(points: np.ndarray, starts: np.ndarray, order: int, slots: int) -> np.ndarray:
-    """Slot of the n-gram that starts at each character, or -1 if it would leave its text. ``slots`` is a power of two."""
+def gram_slots(points: np.ndarray, starts: np.ndarray, orders: tuple[int, ...], slots: int) -> list[np.ndarray]:
+    """Per order, the slot of the n-gram that starts at each character, or -1 if it would leave its text.
+
+    ``slots`` is a power of two. A longer n-gram goes on from the state of its beginning.
+    """
     n = len(points)
-    out = np.full(n, -1, np.int32)
-    if n < order:
-        return out
-    size = n - order + 1
-    state = np.full(size, order, np.uint32)
-    for k in range(order):
+    state = np.full(n, 1, np.uint32)
+    out = []
+    for order in range(1, max(orders) + 1):
+        size = max(0, n - order + 1)
+        state = state[:size]
         state *= MIX_1
-        state ^= points[k : k + size]
+        state ^= points[order - 1 : order - 1 + size]
         state ^= state >> np.uint32(15)
-    state *= MIX_2
-    state ^= state >> np.uint32(13)
-    state &= np.uint32(slots - 1)
-    out[:size] = state.astype(np.int32)
-    for k in range(1, order):
-        last = starts[1:] - k
-        out[last[last >= 0]] = -1
+        if order not in orders:
+            continue
+        final = state * MIX_2
+        final ^= final >> np.uint32(13)
+        final *= MIX_1
+        final ^= final >> np.uint32(16)
+        slot = np.full(n, -1, np.int32)
+        slot[:size] = (final & np.uint32(slots - 1)).astype(np.int32)
+        for k in range(1, order):
+            last = starts[1:] - k
+            slot[last[last >= 0]] = -1
+        out.append(slot)
     return out
 
 

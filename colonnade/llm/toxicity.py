@@ -13,11 +13,17 @@ from pyspark.sql import functions as F
 from colonnade.llm.ngrams import code_points, gram_slots, slices
 from colonnade.llm.storage import Scratch, bounded_rows, dense_counts
 
-ORDERS = (4, 5, 6)
-SLOTS = 1 << 17  # for all orders together
+ORDERS = (5, 6, 7)
+SLOTS = 1 << 20  # for all orders together
 SMOOTHING = 1.0
 ROUNDS = 40
-PENALTY = 1e-3
+PENALTY = 3e-3
+
+# A slot must occur in so many training documents to count.
+LEAST_DOCUMENTS = 8
+
+# Tasks over which the bounded training sample is spread, each of which returns one gradient.
+FIT_TASKS = 8
 
 # Most labelled documents that the model is fitted on; beyond it a hash of the id chooses about so many.
 TRAIN_ROWS = 20_000
@@ -36,7 +42,7 @@ class ToxicModel:
 
 def present_slots(points: np.ndarray, starts: np.ndarray, orders, slots: int) -> Iterator[np.ndarray]:
     """The distinct slots of each text, ascending."""
-    grams = [gram_slots(points, starts, order, slots) for order in orders]
+    grams = gram_slots(points, starts, orders, slots)
     seen = np.zeros(slots, bool)
     for a, b in zip(starts[:-1], starts[1:]):
         for order, slot in zip(orders, grams):
@@ -102,45 +108,58 @@ def fit_toxicity(
             total[2 * slots + label] += 1
         return total
 
-    counts = dense_counts(rows, 2 * slots + 2, class_counts)
+    counts = dense_counts(rows.coalesce(FIT_TASKS), 2 * slots + 2, class_counts)
     n = counts[2 * slots :]
     if not n.all():
         share = float((n[1] + 0.5) / (n.sum() + 1))
+        scratch.drop(rows)
         return ToxicModel(np.zeros(slots, np.float32), float(np.log(share / (1 - share))), tuple(orders))
-    p, q = counts[slots : 2 * slots] + SMOOTHING, counts[:slots] + SMOOTHING
+    used = np.flatnonzero(counts[:slots] + counts[slots : 2 * slots] >= min(LEAST_DOCUMENTS, n.min()))
+    p, q = counts[slots + used] + SMOOTHING, counts[used] + SMOOTHING
     ratio = np.log(p / (n[1] + 2 * SMOOTHING)) - np.log(q / (n[0] + 2 * SMOOTHING))
-    # A slot that a handful of documents contain says nothing about the next one.
-    ratio[counts[:slots] + counts[slots : 2 * slots] < 3] = 0
-    scale = 1 / n.sum()
+    place = np.full(slots, -1, np.int32)
+    place[used] = np.arange(len(used))
+    places = spark.sparkContext.broadcast(place)
+
+    def compact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = places.value
+        for batch in batches:
+            moved = [known[np.frombuffer(raw, "<u4")] for raw in batch.column("found").to_pylist()]
+            moved = [m[m >= 0].astype("<u4").tobytes() for m in moved]
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(moved, pa.binary())], ["label", "found"])
+
+    sample = scratch.keep(rows.coalesce(FIT_TASKS).mapInArrow(compact, "label int, found binary"), "sample").coalesce(FIT_TASKS)
+    # Rare toxic documents weigh more, by the root of the ratio of the classes.
+    rare = float(np.sqrt(n[0] / n[1]))
+    scale = 1 / (n[0] + rare * n[1])
 
     def objective(theta: np.ndarray) -> tuple[float, np.ndarray]:
-        held = spark.sparkContext.broadcast((ratio * theta[:-1], float(theta[-1])))
+        held = spark.sparkContext.broadcast(((ratio * theta[:-1]).astype(np.float32), float(theta[-1])))
 
         def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             weight, bias = held.value
-            grad, loss = np.zeros(slots + 1), 0.0
+            grad, loss = np.zeros(len(weight) + 1, np.float32), 0.0
             for batch in batches:
                 for label, raw in zip(batch.column("label").to_pylist(), batch.column("found").to_pylist()):
                     found = np.frombuffer(raw, "<u4")
-                    z = weight[found].sum() + bias
-                    loss += np.logaddexp(0, -z if label else z)
-                    error = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - label
+                    z = float(weight[found].sum()) + bias
+                    loss += (rare if label else 1.0) * np.logaddexp(0, -z if label else z)
+                    error = (rare if label else 1.0) * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - label)
                     grad[found] += error
                     grad[-1] += error
             yield pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([grad.tobytes()], pa.binary())], ["loss", "grad"])
 
-        # The number of gradients is that of the bounded sample's files.
-        parts = rows.mapInArrow(step, "loss double, grad binary").collect()
+        parts = sample.mapInArrow(step, "loss double, grad binary").collect()
         held.destroy()
-        grad = np.sum([np.frombuffer(r.grad) for r in parts], axis=0)
+        grad = np.sum([np.frombuffer(r.grad, np.float32) for r in parts], axis=0, dtype=np.float64)
         grad[:-1] *= ratio
         value = scale * sum(r.loss for r in parts) + penalty / 2 * float(theta[:-1] @ theta[:-1])
         grad *= scale
         grad[:-1] += penalty * theta[:-1]
         return value, grad
 
-    theta = np.zeros(slots + 1)
-    theta[-1] = np.log(n[1] / n[0])
+    theta = np.zeros(len(used) + 1)
+    theta[-1] = np.log(rare * n[1] / n[0])
     value, grad = objective(theta)
     descent = _Descent()
     for _ in range(rounds):
@@ -156,12 +175,14 @@ def fit_toxicity(
         else:
             break
         descent.learn(tried - theta, new_grad - grad)
-        done = value - new_value < 1e-6 * max(1.0, value)
+        done = value - new_value < 1e-4 * value
         theta, value, grad = tried, new_value, new_grad
         if done:
             break
     scratch.drop(rows)
-    return ToxicModel((ratio * theta[:-1]).astype(np.float32), float(theta[-1]), tuple(orders))
+    weight = np.zeros(slots, np.float32)
+    weight[used] = ratio * theta[:-1]
+    return ToxicModel(weight, float(theta[-1]), tuple(orders))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicModel) -> DataFrame:
