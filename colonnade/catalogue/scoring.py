@@ -112,7 +112,7 @@ def auc_micro(spark, folder):
     return evaluate.micro_auc(_scored(spark, folder), _scores())
 
 
-@query("roc_pairwise", f"WITH {PAIR_SCORES}, {_curve_sql('flat', 'pair')} SELECT * FROM points")
+@query("roc_pairwise", f"WITH {PAIR_SCORES}, {_curve_sql('flat', 'pair')} SELECT * FROM points UNION ALL SELECT DISTINCT pair, NULL, 0, 0, 0.0, 0.0 FROM points")
 def roc_pairwise(spark, folder):
     return evaluate.pairwise_roc(_scored(spark, folder), _scores())
 

@@ -58,7 +58,7 @@ def fit_tree(train, frame, impurity="gini", max_depth=DEEPEST, min_rows=1, featu
         featureSubsetStrategy=feature_subset, seed=SEED), train, frame)
 
 
-def fit_forest(train, frame, trees=100, max_depth=10, min_rows=1) -> Scorer:
+def fit_forest(train, frame, trees=100, max_depth=DEEPEST, min_rows=1) -> Scorer:
     return _fit(RandomForestClassifier(
         numTrees=trees, maxDepth=max_depth, minInstancesPerNode=min_rows, seed=SEED), train, frame)
 
@@ -123,7 +123,7 @@ def _importance_table(spark: SparkSession, columns: Sequence[str], weights, thre
     return spark.createDataFrame(rows, "feature string, importance double, rank int, selected boolean")
 
 
-def regression_importance(df: DataFrame, target: str, columns: Sequence[str], trees: int = 100, max_depth: int = 10, threshold: float = 0.01) -> DataFrame:
+def regression_importance(df: DataFrame, target: str, columns: Sequence[str], trees: int = 100, max_depth: int = DEEPEST, threshold: float = 0.01) -> DataFrame:
     """Importance of each feature in a forest that regresses the ordinal class code."""
     rows = assembled(df.select(*columns, F.col(target).cast("double").alias("y")), columns)
     model = RandomForestRegressor(
@@ -131,7 +131,7 @@ def regression_importance(df: DataFrame, target: str, columns: Sequence[str], tr
     return _importance_table(df.sparkSession, list(columns), model.featureImportances.toArray(), threshold)
 
 
-def classification_importance(frame: ClassFrame, trees: int = 100, max_depth: int = 10, threshold: float = 0.01) -> DataFrame:
+def classification_importance(frame: ClassFrame, trees: int = 100, max_depth: int = DEEPEST, threshold: float = 0.01) -> DataFrame:
     rows = assembled(frame.train, frame.columns)
     model = RandomForestClassifier(numTrees=trees, maxDepth=max_depth, labelCol="y", seed=SEED).fit(rows)
     return _importance_table(frame.data.sparkSession, frame.columns, model.featureImportances.toArray(), threshold)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Mapping, Sequence
 
@@ -109,12 +110,6 @@ def naive_bayes(frame: ClassFrame, smoothing: Sequence[float] = SMOOTHING) -> Mo
     return result(frame, "naive bayes", rows, best, table)
 
 
-def knn_sweep(frame: ClassFrame, ks: Sequence[int] = range(1, 31)) -> DataFrame:
-    """(k, accuracy): cross-validated accuracy for every k, from one neighbour join."""
-    rows = frame.train.select("id", "label", "fold", feature_array(frame.columns).alias("features"))
-    return knn_cv(rows, "label", list(ks), frame.folds).select("k", "accuracy")
-
-
 def nearest_neighbors(frame: ClassFrame, grid: Mapping = KNN_GRID) -> ModelResult:
     rows = frame.data.select("id", "label", "split", "fold", feature_array(frame.columns).alias("features"))
     train = rows.filter("split = 'train'")
@@ -148,6 +143,7 @@ class TreeNodes:
                 stack += [self.right[node], self.left[node]]
         leaves = [n for n in self.order if n not in self.left]
         self.leaf_of = dict(enumerate(leaves))  # MLlib numbers leaves in preorder
+        self.number = {n: i for i, n in self.leaf_of.items()}
         self.counts = {n: np.zeros(k) for n in self.order}
         for i, n in self.leaf_of.items():
             self.counts[n] = counts.get(i, np.zeros(k)).astype(float)
@@ -161,80 +157,161 @@ class TreeNodes:
         n = c.sum()
         return float(n / total * (1.0 - ((c / n) ** 2).sum())) if n else 0.0
 
-    def path(self) -> list[tuple[float, set[int]]]:
-        """(alpha, pruned nodes) from the full tree to the root; each step contains the one before."""
-        cut: set[int] = set()
-        out, alpha = [(0.0, set())], 0.0
-        while 0 in self.left and 0 not in cut:
-            sums: dict[int, tuple[float, int]] = {}
-            for n in reversed(self.order):
-                if n not in self.left or n in cut:
-                    sums[n] = (self.cost(n), 1)
-                else:
-                    a, b = sums[self.left[n]], sums[self.right[n]]
-                    sums[n] = (a[0] + b[0], a[1] + b[1])
-            live, hidden = {}, set()
-            for n in self.order:
-                if self.parent.get(n) in hidden or self.parent.get(n) in cut:
-                    hidden.add(n)
-                elif n in self.left and n not in cut:
-                    live[n] = (self.cost(n) - sums[n][0]) / (sums[n][1] - 1)
-            low = min(live.values())
-            cut = cut | {n for n, g in live.items() if g <= low + 1e-15}
+    def leaves_under(self, node: int) -> list[int]:
+        found, stack = [], [node]
+        while stack:
+            at = stack.pop()
+            if at in self.left:
+                stack += [self.left[at], self.right[at]]
+            else:
+                found.append(self.number[at])
+        return found
+
+    def path(self) -> list[tuple[float, list[int]]]:
+        """(alpha, nodes that become leaves at this step) from the full tree to the root.
+
+        A node's strength is what its subtree saves per leaf. The weakest nodes wait in a heap; cutting one
+        changes only the nodes above it, whose entries are renewed, so a step costs the height of the tree.
+        """
+        own = {n: self.cost(n) for n in self.order}
+        below, leaves = dict(own), dict.fromkeys(self.order, 1)
+        for n in reversed(self.order):
+            if n in self.left:
+                below[n] = below[self.left[n]] + below[self.right[n]]
+                leaves[n] = leaves[self.left[n]] + leaves[self.right[n]]
+        strength = {n: (own[n] - below[n]) / (leaves[n] - 1) for n in self.left}
+        heap = [(g, n) for n, g in strength.items()]
+        heapq.heapify(heap)
+        gone: set[int] = set()
+        out, alpha = [(0.0, [])], 0.0
+        while heap:
+            low = heap[0][0]
+            if strength.get(heap[0][1]) != low:
+                heapq.heappop(heap)
+                continue
+            # All nodes that are as weak before anything is cut; one below another goes with it.
+            batch = []
+            while heap and heap[0][0] <= low + 1e-15:
+                g, n = heapq.heappop(heap)
+                if strength.get(n) == g and n not in batch:
+                    batch.append(n)
+            weak, top = set(batch), []
+            for n in batch:
+                up = self.parent.get(n)
+                while up is not None and up not in weak:
+                    up = self.parent.get(up)
+                if up is None:
+                    top.append(n)
+            for n in top:
+                stack = [n]
+                while stack:
+                    at = stack.pop()
+                    if at in self.left and at not in gone:
+                        strength.pop(at, None)
+                        stack += [self.left[at], self.right[at]]
+                    if at != n:
+                        gone.add(at)
+                saved, fewer = below[n] - own[n], leaves[n] - 1
+                below[n], leaves[n] = own[n], 1
+                gone.add(n)
+                up = self.parent.get(n)
+                while up is not None:
+                    below[up] -= saved
+                    leaves[up] -= fewer
+                    if up in strength and up not in weak:
+                        strength[up] = (own[up] - below[up]) / (leaves[up] - 1) if leaves[up] > 1 else 0.0
+                        heapq.heappush(heap, (strength[up], up))
+                    up = self.parent.get(up)
             alpha = max(alpha, low)
-            out.append((alpha, set(cut)))
+            out.append((alpha, top))
         return out
 
-    def end(self, leaf: int, cut: set[int]) -> int:
-        """Node where a row of this leaf ends after pruning: the topmost cut node above it."""
-        node = end = self.leaf_of[leaf]
-        while True:
-            if node in cut:
-                end = node
-            if node not in self.parent:
-                return end
-            node = self.parent[node]
+    def ends(self, cut: Sequence[int], now: dict[int, int]) -> list[int]:
+        """Leaves that end at one of the ``cut`` nodes from now on; ``now`` (leaf -> end node) is brought up to date."""
+        moved = []
+        for n in cut:
+            stack = [n]
+            while stack:
+                at = stack.pop()
+                if at in self.left:
+                    stack += [self.left[at], self.right[at]]
+                else:
+                    now[self.number[at]] = n
+                    moved.append(self.number[at])
+        return moved
 
 
-def pruned_tree(frame: ClassFrame, max_depth: int = DEEPEST, select_on: str = "fold") -> tuple[ModelResult, DataFrame]:
-    """Cost-complexity pruning: (result, path table).
-
-    One tree is grown; class counts per leaf then give the accuracy of every alpha without another scan.
-    Alpha is chosen on fold 0, held back from growing, or on the test rows when ``select_on='test'``.
-    """
-    spark, k = frame.data.sparkSession, len(frame.classes)
-    grow = (F.col("split") == "train") & (F.col("fold") != 0) if select_on == "fold" else F.col("split") == "train"
-    choose = (F.col("split") == "train") & (F.col("fold") == 0) if select_on == "fold" else F.col("split") == "test"
+def _grown(frame: ClassFrame, rows: DataFrame, grow: Column, max_depth: int) -> tuple[DataFrame, list]:
+    """Every row with its leaf in a tree grown on the ``grow`` rows, and the node table (bounded by the tree)."""
     tree = DecisionTreeClassifier(labelCol="y", featuresCol="_f", maxDepth=max_depth, leafCol="leaf", seed=SEED)
-    rows = assembled(frame.data, frame.columns, "_f")
     model = tree.fit(rows.filter(grow))
+    spark = frame.data.sparkSession
     path = scratch_path(spark, "tree")
     model.write().save(path)
-    nodes = spark.read.parquet(f"{path}/data").select("id", "leftChild", "rightChild").collect()  # bounded by the tree
+    nodes = spark.read.parquet(f"{path}/data").select("id", "leftChild", "rightChild").collect()
     leaves = model.transform(rows).select("id", "label", "split", "fold", "y", F.col("leaf").cast("int").alias("leaf"))
-    cells = leaves.groupBy("leaf", "y").agg(
-        F.count_if(grow).alias("grown"), F.count_if(choose).alias("chosen"), F.count_if(F.col("split") == "test").alias("test")
-    ).collect()  # leaves x classes
-    part = {name: {} for name in ("grown", "chosen", "test")}
+    return leaves, nodes
+
+
+def _leaf_counts(leaves: DataFrame, k: int, **parts: Column) -> dict[str, dict[int, np.ndarray]]:
+    """Rows per leaf and class for each part (leaves x classes rows reach the driver)."""
+    cells = leaves.groupBy("leaf", "y").agg(*[F.count_if(c).alias(n) for n, c in parts.items()]).collect()
+    out: dict[str, dict[int, np.ndarray]] = {name: {} for name in parts}
     for r in cells:
-        for name, table in part.items():
+        for name, table in out.items():
             table.setdefault(r["leaf"], np.zeros(k))[int(r["y"])] += r[name]
+    return out
+
+
+def pruned_tree(frame: ClassFrame, max_depth: int = DEEPEST, select_on: str = "fold") -> tuple[ModelResult, DataFrame]:
+    """Cost-complexity pruning: (result, path table).
+
+    Class counts per leaf give the accuracy of every alpha without another scan. Alpha is chosen with fold 0
+    held back from growing, or on the test rows when ``select_on='test'``. The delivered tree is then grown on
+    all training rows and pruned with that alpha.
+    """
+    spark, k = frame.data.sparkSession, len(frame.classes)
+    train = F.col("split") == "train"
+    grow = train & (F.col("fold") != 0) if select_on == "fold" else train
+    choose = train & (F.col("fold") == 0) if select_on == "fold" else F.col("split") == "test"
+    rows = assembled(frame.data, frame.columns, "_f")
+    leaves, nodes = _grown(frame, rows, grow, max_depth)
+    part = _leaf_counts(leaves, k, grown=grow, chosen=choose, test=F.col("split") == "test")
     shape = TreeNodes(nodes, part["grown"], k)
     report, best = [], None
+    now, guess = dict(shape.leaf_of), {}
+    right = dict.fromkeys(part, 0.0)
+    rows_in = {name: max(sum(t.sum() for t in table.values()), 1) for name, table in part.items()}
+
+    def hits(leaf: int) -> dict[str, float]:
+        return {name: table[leaf][guess[leaf]] if leaf in table else 0.0 for name, table in part.items()}
+
+    for leaf, node in now.items():
+        guess[leaf] = int(np.argmax(shape.counts[node]))
+        right = {name: right[name] + h for name, h in hits(leaf).items()}
+    ends = len(now)
     for alpha, cut in shape.path():
-        ends = {leaf: shape.end(leaf, cut) for leaf in shape.leaf_of}
-        guess = {n: int(np.argmax(shape.counts[n])) for n in set(ends.values())}
-        hit = {
-            name: sum(t[guess[ends[leaf]]] for leaf, t in table.items()) / max(sum(t.sum() for t in table.values()), 1)
-            for name, table in part.items()
-        }
-        report.append((float(alpha), len(guess), float(hit["grown"]), float(hit["chosen"]), float(hit["test"])))
+        before = len({now[leaf] for n in cut for leaf in shape.leaves_under(n)})
+        for leaf in shape.ends(cut, now):
+            right = {name: right[name] - h for name, h in hits(leaf).items()}
+            guess[leaf] = int(np.argmax(shape.counts[now[leaf]]))
+            right = {name: right[name] + h for name, h in hits(leaf).items()}
+        ends += len(cut) - before
+        hit = {name: right[name] / rows_in[name] for name in part}
+        report.append((float(alpha), ends, float(hit["grown"]), float(hit["chosen"]), float(hit["test"])))
         if best is None or hit["chosen"] > best[0]:
-            best = (hit["chosen"], alpha, ends, guess)
-    _, alpha, ends, guess = best
+            best = (hit["chosen"], alpha)
+    _, alpha = best
+    if select_on == "fold":
+        leaves, nodes = _grown(frame, rows, train, max_depth)
+        shape = TreeNodes(nodes, _leaf_counts(leaves, k, grown=train)["grown"], k)
+    now = dict(shape.leaf_of)
+    for step, cut in shape.path():
+        if step <= alpha:
+            shape.ends(cut, now)
     share = lambda n: (shape.counts[n] / max(shape.counts[n].sum(), 1)).tolist()
     lookup = spark.createDataFrame(
-        [(leaf, frame.classes[guess[n]], share(n)) for leaf, n in ends.items()],
+        [(leaf, frame.classes[int(np.argmax(shape.counts[n]))], share(n)) for leaf, n in now.items()],
         "leaf int, prediction string, probability array<double>",
     )
     out = leaves.join(broadcast_if_small(lookup), "leaf")

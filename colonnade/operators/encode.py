@@ -12,6 +12,9 @@ from colonnade.operators.rows import column_names
 
 MAX_CATEGORIES = 10_000
 
+# A deviation below this share of the mean is rounding: the column is constant.
+CONSTANT = 1e-12
+
 
 def categories(df: DataFrame, columns: Sequence[str]) -> dict[str, list]:
     """Sorted distinct non-null values of each column, in one job.
@@ -32,6 +35,17 @@ def dummy_name(column: str, value: str) -> str:
     return f"{column}_{value}"
 
 
+def safe_names(names: Sequence[str], pattern: str = r"[.`]") -> list[str]:
+    """Column names that need no quoting: matches of ``pattern`` become ``_``, and a name that was taken gets a number."""
+    out: list[str] = []
+    for name in names:
+        plain = candidate = re.sub(pattern, "_", name)
+        while candidate in out or (candidate != name and candidate in names):
+            candidate = f"{plain}_{len(out)}"
+        out.append(candidate)
+    return out
+
+
 def one_hot(
     df: DataFrame,
     columns: Sequence[str],
@@ -40,10 +54,10 @@ def one_hot(
 ) -> DataFrame:
     """Replace each column by 0/1 columns; null gives zeros in all of them."""
     values = values or categories(df, columns)
+    chosen = [(c, v) for c in columns for v in list(values[c])[1 if drop_first else 0:]]
     dummies = [
-        F.coalesce((F.col(c).cast("string") == F.lit(v)).cast("int"), F.lit(0)).alias(dummy_name(c, v))
-        for c in columns
-        for v in list(values[c])[1 if drop_first else 0:]
+        F.coalesce((F.col(c).cast("string") == F.lit(v)).cast("int"), F.lit(0)).alias(name)
+        for (c, v), name in zip(chosen, safe_names([dummy_name(c, v) for c, v in chosen]))
     ]
     return df.select(*[c for c in df.columns if c not in columns], *dummies)
 
@@ -57,7 +71,7 @@ def moments(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, flo
 
 def scaled(c: str, mean: float | None, std: float | None) -> Column:
     x = F.col(c).cast("double")
-    if mean is None or not std:
+    if mean is None or not std or std <= CONSTANT * max(abs(mean), 1.0):
         return F.when(x.isNotNull(), F.lit(0.0))
     return (x - F.lit(mean)) / F.lit(std)
 
@@ -98,11 +112,12 @@ def minmax(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def label_indicators(df: DataFrame, label: str, classes: Sequence[str] | None = None) -> DataFrame:
-    """One 0/1 column per sorted class, named ``is_<class>``."""
+    """One 0/1 column per sorted class, named ``is_<class>``; classes whose names would meet get a number."""
     classes = classes or categories(df, [label])[label]
+    names = safe_names([f"is_{v}" for v in classes], r"\W")
     return df.withColumns(
         {
-            "is_" + re.sub(r"\W", "_", str(v)): F.coalesce((F.col(label).cast("string") == F.lit(v)).cast("int"), F.lit(0))
-            for v in classes
+            name: F.coalesce((F.col(label).cast("string") == F.lit(v)).cast("int"), F.lit(0))
+            for name, v in zip(names, classes)
         }
     )

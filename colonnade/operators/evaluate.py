@@ -92,7 +92,7 @@ def _score_groups(df: DataFrame, score: Column, positive: Column, by: Sequence[s
 
 
 def _curve(groups: DataFrame, by: Sequence[str]) -> DataFrame:
-    groups = cut_lineage(groups)  # read for the bucket bounds, the bucket sums, the totals and the curve
+    groups = cut_lineage(groups)  # read for the ranges, the totals and the curve
     running = running_totals(groups, [("threshold", False)], {"tp": F.col("pos"), "fp": F.col("neg")}, by)
     totals = groups.groupBy(*by).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
     if not by:
@@ -104,13 +104,16 @@ def _curve(groups: DataFrame, by: Sequence[str]) -> DataFrame:
 def roc_points(df: DataFrame, score: Column | str, positive: Column, by: Sequence[str] = ()) -> DataFrame:
     """ROC curve: one point per distinct score, plus the origin (null threshold)."""
     score = F.col(score) if isinstance(score, str) else score
-    curve = _curve(_score_groups(df, score, positive, by), by)
+    return _points(_curve(_score_groups(df, score, positive, by), by), by)
+
+
+def _points(curve: DataFrame, by: Sequence[str]) -> DataFrame:
     points = curve.select(
         *by, "threshold", "tp", "fp",
         F.try_divide("fp", "_n").alias("fpr"), F.try_divide("tp", "_p").alias("tpr"),
     )
     zero = F.lit(0).cast("bigint")
-    origin = curve.select(*by).distinct() if by else df.sparkSession.range(1).select()
+    origin = curve.select(*by).distinct() if by else curve.sparkSession.range(1).select()
     origin = origin.select(
         *by, F.lit(None).cast("double").alias("threshold"), zero.alias("tp"), zero.alias("fp"),
         F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"),
@@ -165,10 +168,8 @@ def pairwise_auc(df: DataFrame, scores: Mapping[str, Column], label: str = "labe
 
 
 def pairwise_roc(df: DataFrame, scores: Mapping[str, Column], label: str = "label") -> DataFrame:
-    curve = _curve(_pair_groups(df, scores, label), ["pair"])
-    return curve.select(
-        "pair", "threshold", "tp", "fp", F.try_divide("fp", "_n").alias("fpr"), F.try_divide("tp", "_p").alias("tpr")
-    )
+    """ROC curve per class pair, each with its origin."""
+    return _points(_curve(_pair_groups(df, scores, label), ["pair"]), ["pair"])
 
 
 def regression_metrics(df: DataFrame, actual: str, predicted: str, by: Sequence[str] = ()) -> DataFrame:

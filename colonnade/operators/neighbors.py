@@ -20,7 +20,10 @@ from pyspark.sql import types as T
 
 from colonnade.operators.ordering import hash_bucket, ranked
 from colonnade.operators.sampling import SEED, class_counts, class_draws, digest, draw, unit_draw
-from colonnade.session import BROADCAST_ROWS, cut_lineage
+from colonnade.session import cut_lineage
+
+# Plan rows (a few numbers each, so some MB) up to which a plan is broadcast.
+PLAN_ROWS = 50_000
 
 BLOCK_ROWS = 512
 MAX_PIVOTS = 2048
@@ -154,7 +157,7 @@ def knn_join(
         "_g string, qc int, qn int, tn int",
     )
     t_plan = spark.createDataFrame(plan, "_g string, qc int, tc int, low double, high double, first int, parts int")
-    small = lambda d, rows: F.broadcast(d) if rows <= BROADCAST_ROWS else d
+    small = lambda d, rows: F.broadcast(d) if rows <= PLAN_ROWS else d
     q_plan = small(q_plan, len(q_cells))
     t_plan = small(t_plan.join(q_plan.drop("tn"), ["_g", "qc"]), len(plan))
     block = lambda n: F.pmod(F.xxhash64("_x"), F.col(n)).cast("int")

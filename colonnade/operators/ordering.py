@@ -11,9 +11,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from colonnade.session import broadcast_if_small
+from colonnade.session import cut_lineage
 
 Order = Sequence[tuple[str, bool]]  # (column, ascending)
 
@@ -22,27 +21,6 @@ def _sort_exprs(order: Order) -> list[Column]:
     return [F.col(c).asc() if up else F.col(c).desc() for c, up in order]
 
 
-def range_bucket(df: DataFrame, order: Order, buckets: int) -> Column:
-    """Bucket number that grows along ``order``; bounds come from a small random sample of keys."""
-    parts = []
-    for name, up in order:
-        numeric = isinstance(df.schema[name].dataType, T.NumericType)
-        if not up and not numeric:
-            break
-        parts.append((F.col(name) if up else -F.col(name)).alias(f"k{len(parts)}"))
-    if not parts or buckets <= 1:
-        return F.lit(0)
-    sample = df.select(*parts).orderBy(F.rand(11)).limit(buckets * 16)
-    keys = sample.orderBy(*[f.name for f in sample.schema]).collect()
-    cuts = sorted({round(i * len(keys) / buckets) for i in range(1, buckets)} & set(range(len(keys))))
-    if not cuts:
-        return F.lit(0)
-    bounds = F.array(*[F.struct(*[F.lit(v).cast(f.dataType).alias(f.name)
-                                  for v, f in zip(keys[i], sample.schema)]) for i in cuts])
-    key = F.struct(*parts)
-    return F.size(F.filter(bounds, lambda b: b < key))
-
-
 def hash_bucket(hash_col: str, digits: int = 4) -> Column:
     """Bucket of a hex digest column: its leading digits, which keep the digest order."""
     return F.conv(F.substring(hash_col, 1, digits), 16, 10).cast("int")
@@ -53,29 +31,38 @@ def running_totals(
     order: Order,
     totals: Mapping[str, Column],
     by: Sequence[str] = (),
-    buckets: int = 64,
     bucket: Column | None = None,
 ) -> DataFrame:
     """Add, per ``by`` group, the inclusive running sum of every column in ``totals``.
 
-    ``order`` must be total within a group for a repeatable answer. ``lit(1)`` gives the row number.
+    ``order`` must be total within a group for a repeatable answer; nulls come first in an ascending and last
+    in a descending order, NaN is the largest number. ``lit(1)`` gives the row number. Without a ``bucket``
+    that grows along the order, Spark's range partitioning of the group and the sort keys deals the rows out:
+    it takes any type and direction, cuts large groups where they are large, and its partition number, written
+    with the rows, is the bucket.
     """
     by = list(by)
-    bucket = range_bucket(df, order, buckets) if bucket is None else bucket
-    tagged = df.withColumns({"_bucket": bucket, **{f"_v_{n}": c for n, c in totals.items()}})
-    sums = tagged.groupBy(*by, "_bucket").agg(*[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in totals])
+    valued = df.withColumns({f"_v_{n}": c for n, c in totals.items()})
+    if bucket is None:
+        dealt = valued.repartitionByRange(*[F.col(c).asc() for c in by], *_sort_exprs(order))
+        tagged = cut_lineage(dealt.withColumn("_bucket", F.spark_partition_id()))
+    else:
+        tagged = valued.withColumn("_bucket", bucket)
+    keys = [*by, "_bucket"]
+    sums = tagged.groupBy(*keys).agg(*[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in totals])
     before = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_bucket").rowsBetween(
         Window.unboundedPreceding, -1
     )
     starts = sums.select(
-        *by, "_bucket",
+        *[F.col(c).alias(f"_k_{i}") for i, c in enumerate(keys)],
         *[F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in totals],
     )
-    within = Window.partitionBy(*by, "_bucket").orderBy(*_sort_exprs(order)).rowsBetween(
+    within = Window.partitionBy(*keys).orderBy(*_sort_exprs(order)).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
+    same = [F.col(c).eqNullSafe(F.col(f"_k_{i}")) for i, c in enumerate(keys)]
     return (
-        tagged.join(broadcast_if_small(starts), [*by, "_bucket"])
+        tagged.join(starts, same)
         .select(
             *df.columns,
             *[(F.sum(f"_v_{n}").over(within) + F.col(f"_o_{n}")).alias(n) for n in totals],
@@ -84,8 +71,7 @@ def running_totals(
 
 
 def ranked(
-    df: DataFrame, order: Order, name: str = "rank", by: Sequence[str] = (), buckets: int = 64,
-    bucket: Column | None = None,
+    df: DataFrame, order: Order, name: str = "rank", by: Sequence[str] = (), bucket: Column | None = None,
 ) -> DataFrame:
     """1-based row number per group along ``order``."""
-    return running_totals(df, order, {name: F.lit(1).cast("bigint")}, by, buckets, bucket)
+    return running_totals(df, order, {name: F.lit(1).cast("bigint")}, by, bucket)

@@ -20,7 +20,7 @@ from colonnade.operators.itemsets import association_rules, baskets, frequent_it
 from colonnade.operators.neighbors import feature_array, k_distance
 from colonnade.operators.profile import profile
 from colonnade.operators.regress import stepwise_by_time
-from colonnade.operators.rows import column_names, drop_null_rows, lookup_pairs, with_index
+from colonnade.operators.rows import column_names, drop_null_rows, lookup_pairs
 from colonnade.operators.sampling import balance
 from colonnade.session import cut_lineage
 
@@ -36,7 +36,7 @@ class StudyConfig:
     vif_bound: float = 10.0
     importance_bound: float = 0.01
     trees: int = 100
-    max_depth: int = 10
+    max_depth: int = builtin.DEEPEST
     balance_method: str = "oversample"
     folds: int = 5
     restarts: int = 10
@@ -213,8 +213,7 @@ def cluster_and_mine(rows: DataFrame, id_col: str, columns: Sequence[str], text:
     numeric = rows.select(id_col, *[F.col(c).cast("double").alias(c) for c in columns]).na.drop("any")
     scaled = cut_lineage(zscore(numeric, columns))
     curve, labels = kmeans_sweep(scaled, columns, cfg.ks, cfg.restarts)
-    numbered = cut_lineage(with_index(scaled, [(id_col, True)], "row_id"))
-    density = cut_lineage(dbscan(numbered, "row_id", columns, cfg.eps, cfg.min_points))
+    density = cut_lineage(dbscan(scaled, id_col, columns, cfg.eps, cfg.min_points))
     points = scaled.select(F.col(id_col).alias("id"), feature_array(columns).alias("features"))
     items = cut_lineage(frequent_itemsets(baskets(rows, text)))
     rules = cut_lineage(association_rules(items))

@@ -11,8 +11,8 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A side is broadcast only after it was counted and found at or below this many rows.
-BROADCAST_ROWS = 50_000
+# A side is broadcast only if its files were written and found at or below this many bytes.
+BROADCAST_BYTES = 16 << 20
 
 
 def build_session(app: str = "colonnade", master: str | None = None, **conf: str) -> SparkSession:
@@ -91,9 +91,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` when it has at most ``limit`` rows, otherwise leave the join to Spark."""
-    rows = df.limit(limit + 1).collect()
-    if len(rows) > limit:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` written once and marked for broadcast if its files have at most ``limit`` bytes.
+
+    The decision reads the size of the files, so nothing is collected and the side is not computed again.
+    """
+    path = scratch_path(df.sparkSession, "side")
+    df.write.parquet(path)
+    kept = df.sparkSession.read.schema(df.schema).parquet(path)
+    target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration())
+    return F.broadcast(kept) if files.getContentSummary(target).getLength() <= limit else kept

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,7 +15,9 @@ STOP_SCHEMA = T.StructType(
         T.StructField("date", T.DateType()),
         T.StructField("train_id", T.StringType()),
         T.StructField("stop_sequence", T.IntegerType()),
+        T.StructField("from", T.StringType()),
         T.StructField("from_id", T.LongType()),
+        T.StructField("to", T.StringType()),
         T.StructField("to_id", T.LongType()),
         T.StructField("scheduled_time", T.StringType()),
         T.StructField("actual_time", T.StringType()),
@@ -30,9 +34,33 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType = STOP_SCHEMA) -> DataFrame:
-    """CSV with a header and a declared schema, so no inference pass over the input."""
-    return spark.read.schema(schema).option("header", True).csv(path)
+def read_csv(
+    spark: SparkSession, path: str, schema: T.StructType = STOP_SCHEMA, needed: Sequence[str] = (), corrupt: str | None = None
+) -> DataFrame:
+    """CSV with a header, columns found by name in whatever order the file has them.
+
+    Names in ``schema`` take its types, other columns stay as text, and no pass over the input infers types.
+    A file without a ``needed`` column is an error. With ``corrupt``, a column of that name holds the text of
+    records that do not fit; without it their broken fields are null. Files whose headers differ are refused.
+    """
+    header = spark.read.option("header", True).csv(path).columns
+    missing = [c for c in needed if c not in header]
+    if missing:
+        raise ValueError(f"{path} has no column {', '.join(missing)}")
+    fields = [schema[c] if c in schema.names else T.StructField(c, T.StringType()) for c in header]
+    reader = spark.read.option("header", True).option("enforceSchema", False)
+    if corrupt:
+        fields.append(T.StructField(corrupt, T.StringType()))
+        reader = reader.option("columnNameOfCorruptRecord", corrupt)
+    return reader.schema(T.StructType(fields)).csv(path)
+
+
+def read_stops(spark: SparkSession, path: str) -> DataFrame:
+    """Stop records from CSV; a file without ``stop_id`` gets one from a hash of the whole record."""
+    rows = read_csv(spark, path, needed=[c for c in STOP_SCHEMA.names if c not in ("stop_id", "from", "to", "k")])
+    if "stop_id" in rows.columns:
+        return rows
+    return rows.withColumn("stop_id", F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]))
 
 
 def write_csv(df: DataFrame, path: str) -> str:
