@@ -17,8 +17,21 @@ from colonnade.llm.wordhash import run_hashes, word_hashes
 # Slots that count documents per shingle, to try rare shingles first. Order affects the cost only.
 ORDER_BITS = 20
 
-# Shingles per group of a count vector, and the least and most groups.
-GROUP_SHINGLES, LEAST_GROUPS, MOST_GROUPS = 12, 8, 1 << 14
+# Shingles that two linked sets share among their rarest ones (fewer only if a set is smaller than that). Each
+# makes the list of rarest shingles one longer and leaves out most pairs that have a shingle in common by chance.
+LEAST_COMMON = 3
+
+# Shingles per group of a count vector at most, and the least and most groups.
+GROUP_SHINGLES, LEAST_GROUPS, MOST_GROUPS = 2, 8, 1 << 20
+
+# A cell of up to so many nodes is joined with itself; a larger one is searched through a tree of boxes.
+SMALL_CELL = 32
+
+# Nodes of a large cell that are searched together (its parts meet pairwise), and points per leaf of their tree.
+PART_NODES, LEAF_POINTS = 2048, 256
+
+# Counts of a vector are 16-bit: a group of at most GROUP_SHINGLES expected shingles stays far below.
+COUNT = "<u2"
 
 
 def row_name(doc_id: Column, text: Column) -> Column:
@@ -40,6 +53,10 @@ def least_shared(n: np.ndarray | int, percent: int):
     return -(-percent * n // 100)
 
 
+def least_common(n: Column, percent: int) -> Column:
+    return F.least(F.lit(LEAST_COMMON), F.ceil(n * percent / 100))
+
+
 def group_count(n: int) -> int:
     """Groups of the count vector of a set: a power of two that follows the size."""
     return int(min(MOST_GROUPS, max(LEAST_GROUPS, 1 << max(0, int(n // GROUP_SHINGLES).bit_length()))))
@@ -47,7 +64,7 @@ def group_count(n: int) -> int:
 
 def folded(vector: np.ndarray, groups: int) -> np.ndarray:
     """The same counts in fewer groups."""
-    return vector.reshape(-1, groups).sum(axis=0)
+    return vector.reshape(-1, groups).sum(axis=0, dtype=np.int64)
 
 
 def may_link(n_a: int, a: np.ndarray, n_b: int, b: np.ndarray, percent: int) -> bool:
@@ -61,8 +78,8 @@ def may_link(n_a: int, a: np.ndarray, n_b: int, b: np.ndarray, percent: int) ->
 
 
 def _points(docs: DataFrame, length: int, percent: int, rank: np.ndarray) -> DataFrame:
-    """(row, doc_id, name, n, digest, counts, keys) per row; ``keys`` are the rarest shingles, one of which any two
-    linked sets share."""
+    """(row, doc_id, name, n, common, digest, counts, keys) per row: ``keys`` are the rarest shingles, of which any two
+    linked sets share some, and ``common`` tells how frequent a set's shingles are on average."""
     shared = docs.sparkSession.sparkContext.broadcast(rank)
     kind = docs.schema["doc_id"].dataType.simpleString()
     shift = np.uint64(64 - ORDER_BITS)
@@ -71,23 +88,25 @@ def _points(docs: DataFrame, length: int, percent: int, rank: np.ndarray) -> Dat
         order = shared.value
         for batch in batches:
             for _, part in text_batches(batch, "text"):
-                n, digest, counts, keys = [], [], [], []
+                n, common, digest, counts, keys = [], [], [], [], []
                 for s in shingle_sets(part.column("text"), length):
                     n.append(len(s))
                     digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                     groups = group_count(len(s))
-                    counts.append(np.bincount((s & np.uint64(groups - 1)).astype(np.int64), minlength=groups).astype("<u4").tobytes())
-                    first = np.argsort(order[s >> shift], kind="stable")[: len(s) - least_shared(len(s), percent) + 1]
+                    counts.append(np.bincount((s & np.uint64(groups - 1)).astype(np.int64), minlength=groups).astype(COUNT).tobytes())
+                    ranks, need = order[s >> shift], least_shared(len(s), percent)
+                    common.append(int(ranks.mean() * 1e6) if len(s) else 0)
+                    first = np.argsort(ranks, kind="stable")[: len(s) - need + min(LEAST_COMMON, need)]
                     keys.append(s[first].view(np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("row"), part.column("doc_id"), part.column("name"), pa.array(n, pa.int64()),
-                     pa.array(digest, pa.binary()), pa.array(counts, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                    ["row", "doc_id", "name", "n", "digest", "counts", "keys"],
+                     pa.array(common, pa.int64()), pa.array(digest, pa.binary()), pa.array(counts, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                    ["row", "doc_id", "name", "n", "common", "digest", "counts", "keys"],
                 )
 
     return docs.select(
         F.monotonically_increasing_id().alias("row"), "doc_id", row_name(F.col("doc_id"), F.col("text")).alias("name"), "text"
-    ).mapInArrow(run, f"row long, doc_id {kind}, name long, n long, digest binary, counts binary, keys array<long>")
+    ).mapInArrow(run, f"row long, doc_id {kind}, name long, n long, common long, digest binary, counts binary, keys array<long>")
 
 
 def _shingle_ranks(docs: DataFrame, length: int) -> np.ndarray:
@@ -109,7 +128,7 @@ def _bounded(pairs: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = zip(*(batch.column(c).to_pylist() for c in ("n_a", "counts_a", "n_b", "counts_b")))
-            open_ = [may_link(i, np.frombuffer(a, "<u4"), j, np.frombuffer(b, "<u4"), percent) for i, a, j, b in rows]
+            open_ = [may_link(i, np.frombuffer(a, COUNT), j, np.frombuffer(b, COUNT), percent) for i, a, j, b in rows]
             yield batch.filter(pa.array(open_, pa.bool_())).select(["a", "b"])
 
     return pairs.select("a", "b", "n_a", "counts_a", "n_b", "counts_b").mapInArrow(run, "a long, b long")
@@ -162,43 +181,96 @@ def _verified(scratch: Scratch, docs: DataFrame, nodes: DataFrame, pairs: DataFr
     return out
 
 
-def _boxes(scratch: Scratch, nodes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """(rep, n, counts) per component: its least size and the largest count of every group.
+class Leaf:
+    """Points of a cell with vectors of one length, and their box: least and most size, largest count per group."""
+
+    def __init__(self, reps: np.ndarray, boxes: np.ndarray, sizes: np.ndarray, vectors: np.ndarray):
+        self.reps, self.boxes, self.sizes, self.vectors = reps, boxes, sizes, vectors
+        self.low, self.high, self.most = sizes.min(), sizes.max(), vectors.max(axis=0)
+        self.only = boxes[0] if (boxes == boxes[0]).all() else None
+
+    def folded(self, groups: int) -> np.ndarray:
+        n = len(self.vectors)
+        return self.vectors if self.vectors.shape[1] == groups else self.vectors.reshape(n, -1, groups).sum(axis=1, dtype=self.vectors.dtype)
 
-    Each task folds its own members first, so a component of any size is one row per task when its box is closed.
-    """
 
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_: dict[int, tuple[int, np.ndarray]] = {}
+def leaves_of(rows: list[tuple[int, int, int, bytes]]) -> list[Leaf]:
+    """Leaves over (rep, box, n, counts), packed in the order of vector length, component and size."""
+    rows = sorted(rows, key=lambda r: (len(r[3]), r[1], r[2]))
+    out, at = [], 0
+    while at < len(rows):
+        stop = at
+        while stop < len(rows) and stop - at < LEAF_POINTS and len(rows[stop][3]) == len(rows[at][3]):
+            stop += 1
+        part = rows[at:stop]
+        vectors = np.frombuffer(b"".join(r[3] for r in part), COUNT).reshape(len(part), -1).astype(np.int32)
+        out.append(Leaf(*(np.array([r[k] for r in part], np.int64) for k in range(3)), vectors))
+        at = stop
+    return out
+
+
+def leaf_links(p: Leaf, q: Leaf, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs between two leaves, of different components, that sizes and summed minima do not rule out."""
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if 100 * q.high < percent * p.low or 100 * p.high < percent * q.low or (p.only is not None and p.only == q.only):
+        return none
+    groups = min(p.vectors.shape[1], q.vectors.shape[1])
+    most = int(np.minimum(folded(p.most, groups), folded(q.most, groups)).sum())
+    if (100 + percent) * most < percent * (p.low + q.low):
+        return none
+    left, right = p.folded(groups), q.folded(groups)
+    firsts, seconds = [], []
+    for rep, box, size, vector in zip(p.reps, p.boxes, p.sizes, left):
+        near = (q.boxes != box) & (100 * q.sizes >= percent * size) & (100 * size >= percent * q.sizes)
+        at = np.flatnonzero(near)
+        if len(at):
+            overlap = np.minimum(vector, right[at]).sum(axis=1)
+            at = at[(100 + percent) * overlap >= percent * (size + q.sizes[at])]
+            firsts.append(np.full(len(at), rep))
+            seconds.append(q.reps[at])
+    return (np.concatenate(firsts), np.concatenate(seconds)) if firsts else none
+
+
+def _large_cells(placed: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes in large cells that the trees of their parts do not rule out.
+
+    A cell is dealt into parts of about PART_NODES by a hash of the node; every two parts of a cell meet in one
+    group of rows, so no task holds a whole cell.
+    """
+    parts = F.ceil(F.col("size") / PART_NODES).cast("int")
+    own = F.pmod(F.xxhash64("rep"), parts).cast("int")
+    rows = placed.filter(F.col("size") > SMALL_CELL).join(nodes.select("rep", "counts"), "rep")
+    rows = rows.select("key", own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("met"), "rep", "box", "n", "counts")
+    rows = rows.select("key", F.least("own", "met").alias("i"), F.greatest("own", "met").alias("j"), "own", "rep", "box", "n", "counts")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def closed(group, sides):
+            firsts, seconds = [], []
+            left = leaves_of(sides[0])
+            pairs = [(left[x], left[y]) for x in range(len(left)) for y in range(x, len(left))]
+            if group[1] != group[2]:
+                right = leaves_of(sides[1])
+                pairs = [(p, q) for p in left for q in right]
+            for p, q in pairs:
+                a, b = leaf_links(p, q, percent)
+                firsts.append(a), seconds.append(b)
+            a = np.concatenate([*firsts, np.zeros(0, np.int64)])
+            b = np.concatenate([*seconds, np.zeros(0, np.int64)])
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+        group, sides = None, ([], [])
         for batch in batches:
-            for root, n, raw in zip(*(batch.column(c).to_pylist() for c in ("rep", "n", "counts"))):
-                counts = np.frombuffer(raw, "<u4")
-                if root in open_:
-                    least, have = open_[root]
-                    groups = min(len(have), len(counts))
-                    # Folding a maximum keeps it an upper bound.
-                    open_[root] = min(least, n), np.maximum(folded(have, groups), folded(counts, groups))
-                else:
-                    open_[root] = n, counts
-            if len(open_) > 20_000:
-                yield box_batch(open_)
-                open_ = {}
-        yield box_batch(open_)
-
-    form = "rep long, n long, counts binary"
-    alone = nodes.join(labels.select(F.col("node").alias("rep")), "rep", "left_anti").select("rep", "n", "counts")
-    linked = nodes.join(labels.withColumnRenamed("node", "rep"), "rep").select(F.col("root").alias("rep"), "n", "counts")
-    closed = linked.mapInArrow(fold, form).repartition("rep").sortWithinPartitions("rep").mapInArrow(fold, form)
-    # A task may give a box in two parts; either part bounds its own members.
-    return scratch.keep(alone.unionByName(closed), "boxes")
-
-
-def box_batch(boxes: dict[int, tuple[int, np.ndarray]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(list(boxes), pa.int64()), pa.array([n for n, _ in boxes.values()], pa.int64()),
-         pa.array([c.astype("<u4").tobytes() for _, c in boxes.values()], pa.binary())],
-        ["rep", "n", "counts"],
-    )
+            for key, i, j, own_, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j", "own", "rep", "box", "n", "counts"))):
+                if group != (key, i, j):
+                    if group:
+                        yield closed(group, sides)
+                    group, sides = (key, i, j), ([], [])
+                sides[own_ != i].append(tuple(row))
+        if group:
+            yield closed(group, sides)
+
+    dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return dealt.mapInArrow(search, "a long, b long").distinct()
 
 
 def jaccard_groups(docs: DataFrame, length: int = 5, percent: int = 80) -> DataFrame:
@@ -208,11 +280,13 @@ def jaccard_groups(docs: DataFrame, length: int = 5, percent: int = 80) -> DataF
     hundredths or more; every link counts, and a component takes its smallest doc_id.
 
     Equal sets become one node. Shingles are hashed into groups and a node's counts per group are its point.
-    Nodes that share one of their rarest shingles meet in a cell. First every node is compared with one centre
-    of its cells, which gathers families of any size with one test per member. The components so far are the
-    boxes of the tree (largest count per group, least size); pairs of boxes that meet in a cell are opened
-    only if the summed minima allow a link, and then their members are bounded and verified the same way.
-    So a family is never expanded into its pairs, and no cell, family or candidate list is cut.
+    Nodes that share one of their rarest shingles meet in a cell. First every node is compared with two centres
+    of its cells: the one with the most common shingles, which is the original of a family of edited copies, and
+    another. This gathers families of any size with two tests per member. Then only nodes of different components
+    are compared: those of a small cell by a join, where they must share as many rare shingles as linked sets do,
+    and those of a large cell by a tree whose leaves hold points with a box (largest count per group, least size)
+    around them. Leaves and then points are ruled out if the summed minima allow no link; what is left is verified
+    on the sets. So a family is not expanded into its pairs, and no cell, family or candidate list is cut.
 
     Null or wordless texts have n_shingles 0 and are components of their own. Rows that repeat a doc_id are
     nodes by their text; a null doc_id takes part in links but names no component unless all are null.
@@ -223,47 +297,43 @@ def jaccard_groups(docs: DataFrame, length: int = 5, percent: int = 80) -> DataF
     filled = points.filter("n > 0")
     classes = scratch.keep(filled.groupBy("n", "digest").agg(F.min("row").alias("rep")), "classes")
     first = filled.join(classes.select("rep"), F.col("row") == F.col("rep"))
-    keyed = scratch.keep(first.select("rep", "name", "n", "digest", "counts", "keys"), "nodes")
-    nodes = keyed.drop("keys")
-    keys = keyed.select(F.explode("keys").alias("key"), "rep", "n")
+    keyed = scratch.keep(first.select("rep", "name", "n", "common", "digest", "counts", "keys"), "nodes")
+    nodes = keyed.drop("keys", "common")
+    keys = keyed.select(F.explode("keys").alias("key"), "rep", "n", "common")
     # A few fixed masks turn "smallest" into a different choice of centre for different shingles.
     masks = F.array(*[F.lit(m) for m in (0, 0x2545F4914F6CDD1D, 0x1B873593CC9E2D51, 0x5BD1E9955BD1E995)])
     mask = F.element_at(masks, (F.pmod(F.col("key"), F.lit(4)) + 1).cast("int"))
-    centres = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.col("rep").bitwiseXOR(mask)).alias("code"))
-    centres = centres.filter("size > 1").select("key", F.col("code").bitwiseXOR(mask).alias("centre"))
-    cells = scratch.keep(keys.join(centres, "key"), "cells")
-    star = (
-        cells.filter("rep <> centre").groupBy("rep", "centre").agg(F.count(F.lit(1)).alias("shared"))
-        .groupBy(F.col("rep").alias("a")).agg(F.max_by("centre", "shared").alias("b"))
+    centres = keys.groupBy("key").agg(
+        F.count(F.lit(1)).alias("size"), F.max_by("rep", "common").alias("first"), F.min(F.col("rep").bitwiseXOR(mask)).alias("code")
     )
+    centres = centres.filter("size > 1").select("key", "size", "first", F.col("code").bitwiseXOR(mask).alias("second"))
+    cells = scratch.keep(keys.drop("common").join(centres, "key"), "cells")
+
+    def most_shared(centre: str) -> DataFrame:
+        pairs = cells.filter(F.col("rep") != F.col(centre)).groupBy("rep", centre).agg(F.count(F.lit(1)).alias("shared"))
+        return pairs.groupBy(F.col("rep").alias("a")).agg(F.max_by(centre, "shared").alias("b"))
+
+    star = most_shared("first").unionByName(most_shared("second"))
+    star = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     near = scratch.keep(_bounded(_with_points(star, nodes), percent), "star")
     edges = _verified(scratch, docs, nodes, near, length, percent)
     labels = components(scratch, edges)
-    # Boxes that meet in a cell.
+    # What the components so far leave open: pairs of different components that share rare shingles.
     placed = cells.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "key", "rep", "n", F.coalesce("root", "rep").alias("box")
+        "key", "size", "rep", "n", F.coalesce("root", "rep").alias("box")
     )
-    inside = placed.groupBy("key", "box").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    mixed = inside.groupBy("key").agg(F.min("box").alias("least"), F.max("box").alias("most")).filter("least < most").select("key")
-    inside = scratch.keep(inside.join(mixed, "key"), "inside")
+    mixed = placed.groupBy("key").agg(F.min("box").alias("least"), F.max("box").alias("most")).filter("least < most").select("key")
+    placed = scratch.keep(placed.join(mixed, "key"), "placed")
+    small = placed.filter(F.col("size") <= SMALL_CELL)
     meet = (
-        inside.alias("p").join(inside.alias("q"), "key")
-        .filter("p.box < q.box").filter(f"100 * q.high >= {percent} * p.low and 100 * p.high >= {percent} * q.low")
-        .select(F.col("p.box").alias("a"), F.col("q.box").alias("b")).distinct()
-    )
-    boxes = _boxes(scratch, nodes, labels, percent)
-    opened = scratch.keep(_bounded(_with_points(meet, boxes), percent).distinct(), "opened")
-    # Members of opened boxes that share a shingle.
-    members = placed.join(mixed, "key")
-    inner = (
-        inside.alias("p").join(inside.alias("q"), "key").filter("p.box < q.box")
-        .select("key", F.col("p.box").alias("a"), F.col("q.box").alias("b")).join(opened, ["a", "b"])
-        .join(members.select("key", F.col("box").alias("a"), F.col("rep").alias("x"), F.col("n").alias("nx")), ["key", "a"])
-        .join(members.select("key", F.col("box").alias("b"), F.col("rep").alias("y"), F.col("n").alias("ny")), ["key", "b"])
-        .filter(f"100 * nx >= {percent} * ny and 100 * ny >= {percent} * nx")
-        .select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+        small.alias("p").join(small.alias("q"), "key").filter("p.rep < q.rep and p.box <> q.box")
+        .filter(f"100 * q.n >= {percent} * p.n and 100 * p.n >= {percent} * q.n")
+        .groupBy(F.col("p.rep").alias("a"), F.col("q.rep").alias("b"))
+        .agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("p.n", "q.n")).alias("low"))
+        .filter(F.col("shared") >= least_common(F.col("low"), percent)).select("a", "b")
     )
-    rest = scratch.keep(_bounded(_with_points(inner, nodes), percent), "inner")
+    rest = _bounded(_with_points(meet, nodes), percent).unionByName(_large_cells(placed, nodes, percent))
+    rest = scratch.keep(rest.distinct(), "rest")
     more = _verified(scratch, docs, nodes, rest, length, percent)
     # Links between components so far, by their roots.
     roots = labels.withColumnRenamed("node", "rep")
@@ -287,5 +357,5 @@ def jaccard_groups(docs: DataFrame, length: int = 5, percent: int = 80) -> DataF
     empty = points.filter("n = 0").select(
         "doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("name").alias("row_name")
     )
-    scratch.drop(keyed, cells, inside, boxes, near, edges, opened, rest, more)
+    scratch.drop(keyed, cells, placed, near, edges, rest, more)
     return named.unionByName(empty)

@@ -15,7 +15,7 @@ from colonnade.llm.mixing import mix, weighted_documents
 from colonnade.llm.passages import shared_passages
 from colonnade.llm.pii import find_personal_data
 from colonnade.llm.storage import held_out
-from colonnade.llm.toxicity import THRESHOLD, fit_toxicity, score_toxicity
+from colonnade.llm.toxicity import THRESHOLD, fit_toxicity, score_toxicity, with_labels
 from colonnade.llm.vectors import near_vectors
 from colonnade.llm.warc import archive_round_trip
 
@@ -83,8 +83,8 @@ from run
 @query
 def op3_toxicity(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    labels = table(spark, folder, "labels").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("label"))
-    model = fit_toxicity(docs.join(labels, "doc_id"))
+    labels = table(spark, folder, "labels").filter(~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").alias("label"))
+    model = fit_toxicity(with_labels(docs, labels))
     return score_toxicity(docs, model).select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
     )

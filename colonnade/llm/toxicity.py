@@ -22,11 +22,14 @@ PENALTY = 3e-3
 # A slot must occur in so many training documents to count.
 LEAST_DOCUMENTS = 8
 
+# A slot whose log-count ratio is nearer to 0 says too little to be kept.
+LEAST_RATIO = 0.3
+
 # Tasks over which the bounded training sample is spread, each of which returns one gradient.
 FIT_TASKS = 8
 
 # Most labelled documents that the model is fitted on; beyond it a hash of the id chooses about so many.
-TRAIN_ROWS = 20_000
+TRAIN_ROWS = 10_000
 
 THRESHOLD = 0.3
 
@@ -82,8 +85,8 @@ def fit_toxicity(
 ) -> ToxicModel:
     """Learn from ``labelled`` (doc_id, text, label 0/1); rows without a label teach nothing.
 
-    First pass: documents per class and slot give the log-count ratio of each slot. Then logistic regression on
-    the scaled features; each step is one Spark job that adds up the gradient over the written features. With
+    Documents per class and slot give the log-count ratio of each slot. Then logistic regression on the scaled
+    features that say something; each step is one Spark job that adds up the gradient over the written features. With
     one class only, every text scores that class's share.
     """
     spark = labelled.sparkSession
@@ -91,44 +94,45 @@ def fit_toxicity(
     known = bounded_rows(
         labelled.filter(F.col("label").isin(0, 1)).select("doc_id", "text", F.col("label").cast("int")), "doc_id", train_rows
     )
-
-    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
-                points, starts = code_points(part.column("text"))
-                found = [s.astype("<u4").tobytes() for s in present_slots(points, starts, orders, slots)]
-                yield pa.RecordBatch.from_arrays([part.column("label"), pa.array(found, pa.binary())], ["label", "found"])
-
-    rows = scratch.keep(known.select("text", "label").mapInArrow(describe, "label int, found binary"), "features")
+    texts = scratch.keep(known.select("text", "label"), "texts")
+    rows = texts.coalesce(FIT_TASKS)
 
     def class_counts(batch: pa.RecordBatch) -> np.ndarray:
+        """Documents per class and slot, then documents per class."""
         total = np.zeros(2 * slots + 2, np.int64)
-        for label, raw in zip(batch.column("label").to_pylist(), batch.column("found").to_pylist()):
-            total[label * slots + np.frombuffer(raw, "<u4")] += 1
-            total[2 * slots + label] += 1
+        for part in slices(batch, "text", 1 << 20):
+            points, starts = code_points(part.column("text"))
+            for label, found in zip(part.column("label").to_pylist(), present_slots(points, starts, orders, slots)):
+                total[label * slots + found] += 1
+                total[2 * slots + label] += 1
         return total
 
-    counts = dense_counts(rows.coalesce(FIT_TASKS), 2 * slots + 2, class_counts)
+    counts = dense_counts(rows, 2 * slots + 2, class_counts)
     n = counts[2 * slots :]
     if not n.all():
         share = float((n[1] + 0.5) / (n.sum() + 1))
-        scratch.drop(rows)
+        scratch.drop(texts)
         return ToxicModel(np.zeros(slots, np.float32), float(np.log(share / (1 - share))), tuple(orders))
-    used = np.flatnonzero(counts[:slots] + counts[slots : 2 * slots] >= min(LEAST_DOCUMENTS, n.min()))
-    p, q = counts[slots + used] + SMOOTHING, counts[used] + SMOOTHING
-    ratio = np.log(p / (n[1] + 2 * SMOOTHING)) - np.log(q / (n[0] + 2 * SMOOTHING))
+    p, q = counts[slots : 2 * slots] + SMOOTHING, counts[:slots] + SMOOTHING
+    every = np.log(p / (n[1] + 2 * SMOOTHING)) - np.log(q / (n[0] + 2 * SMOOTHING))
+    seen = counts[:slots] + counts[slots : 2 * slots]
+    used = np.flatnonzero((seen >= min(LEAST_DOCUMENTS, n.min())) & (np.abs(every) >= LEAST_RATIO))
+    ratio = every[used]
     place = np.full(slots, -1, np.int32)
     place[used] = np.arange(len(used))
     places = spark.sparkContext.broadcast(place)
 
-    def compact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = places.value
         for batch in batches:
-            moved = [known[np.frombuffer(raw, "<u4")] for raw in batch.column("found").to_pylist()]
-            moved = [m[m >= 0].astype("<u4").tobytes() for m in moved]
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(moved, pa.binary())], ["label", "found"])
+            for part in slices(batch, "text", 1 << 20):
+                points, starts = code_points(part.column("text"))
+                found = [known[f] for f in present_slots(points, starts, orders, slots)]
+                found = [f[f >= 0].astype("<u4").tobytes() for f in found]
+                yield pa.RecordBatch.from_arrays([part.column("label"), pa.array(found, pa.binary())], ["label", "found"])
 
-    sample = scratch.keep(rows.coalesce(FIT_TASKS).mapInArrow(compact, "label int, found binary"), "sample").coalesce(FIT_TASKS)
+    sample = scratch.keep(rows.mapInArrow(describe, "label int, found binary"), "features")
+    features = sample.coalesce(FIT_TASKS)
     # Rare toxic documents weigh more, by the root of the ratio of the classes.
     rare = float(np.sqrt(n[0] / n[1]))
     scale = 1 / (n[0] + rare * n[1])
@@ -149,7 +153,7 @@ def fit_toxicity(
                     grad[-1] += error
             yield pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([grad.tobytes()], pa.binary())], ["loss", "grad"])
 
-        parts = sample.mapInArrow(step, "loss double, grad binary").collect()
+        parts = features.mapInArrow(step, "loss double, grad binary").collect()
         held.destroy()
         grad = np.sum([np.frombuffer(r.grad, np.float32) for r in parts], axis=0, dtype=np.float64)
         grad[:-1] *= ratio
@@ -179,12 +183,22 @@ def fit_toxicity(
         theta, value, grad = tried, new_value, new_grad
         if done:
             break
-    scratch.drop(rows)
+    scratch.drop(texts, sample)
     weight = np.zeros(slots, np.float32)
     weight[used] = ratio * theta[:-1]
     return ToxicModel(weight, float(theta[-1]), tuple(orders))
 
 
+def with_labels(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """(doc_id, text, label) of at most about ``train_rows`` labelled documents.
+
+    The sample is drawn from ``labels`` (doc_id, label) alone, so the side that is broadcast has a fixed bound and
+    no text is shuffled. Of several labels of an id the largest counts.
+    """
+    known = labels.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("label").alias("label"))
+    return docs.select("doc_id", "text").join(F.broadcast(bounded_rows(known, "doc_id", train_rows)), "doc_id")
+
+
 def score_toxicity(docs: DataFrame, model: ToxicModel) -> DataFrame:
     """(doc_id, score) for every row of ``docs`` (doc_id, text), 0 to 1, higher for toxic texts.
 
