@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 import zlib
@@ -21,8 +22,13 @@ LEAST_SHARED = 1000
 FILE_BYTES = 16 << 20
 BLOCK_CAPTURES = 256
 
-# Two line ends close a record; it is also what separates the values that Spark's text writer writes.
+# Two line ends close a record.
 RECORD_END = "\r\n\r\n"
+
+# A gzip member ends with the size of what it holds, whose last byte is 0 below 16 MB. Spark's text writer puts a
+# separator after every value, so the values go without that byte and the separator supplies it.
+MEMBER_END = "\x00"
+GZIP_LEVEL = 5
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -44,7 +50,7 @@ def _header_safe(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "\r", "%0D"), "\n", "%0A"), r"[\x00-\x1F]", "")
 
 
-def capture_types(pages: DataFrame, least_shared: int = LEAST_SHARED) -> DataFrame:
+def capture_types(scratch: Scratch, pages: DataFrame, least_shared: int = LEAST_SHARED) -> DataFrame:
     """(page_id, url, html, payload_bytes, sha1, refers_to): refers_to is null for records written in full.
 
     Of pages with equal payloads of ``least_shared`` bytes or more the largest page_id keeps the payload. Equal
@@ -56,11 +62,13 @@ def capture_types(pages: DataFrame, least_shared: int = LEAST_SHARED) -> DataFra
     rows = rows.withColumns({
         "payload_bytes": F.octet_length("html").cast("long"), "sha1": F.sha1("html"), "sha256": F.sha2("html", 256),
     })
-    kept = (
+    holders = (
         rows.filter(F.col("payload_bytes") >= least_shared)
         .groupBy(F.col("payload_bytes").alias("b"), F.col("sha1").alias("s"), F.col("sha256").alias("t"))
-        .agg(F.max("page_id").alias("holder"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+        .agg(F.max("page_id").alias("holder"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     )
+    # A small table of holders spares the payloads a shuffle.
+    kept = scratch.small(scratch.keep(holders, "holders"))
     same = (F.col("payload_bytes") == F.col("b")) & (F.col("sha1") == F.col("s")) & (F.col("sha256") == F.col("t"))
     revisit = F.col("holder").isNotNull() & ~F.col("holder").eqNullSafe(F.col("page_id"))
     return rows.join(kept, same, "left").select(
@@ -69,7 +77,7 @@ def capture_types(pages: DataFrame, least_shared: int = LEAST_SHARED) -> DataFra
 
 
 def record_text(page_id: Column, url: Column, html: Column, size: Column, sha1: Column, refers_to: Column) -> Column:
-    """A whole record without the two line ends that close it."""
+    """A whole record."""
     line = "\r\n"
     http = F.concat(
         F.lit(f"HTTP/1.1 200 OK{line}Content-Type: text/html; charset=utf-8{line}Content-Length: "), size.cast("string"), F.lit(line * 2)
@@ -92,18 +100,31 @@ def record_text(page_id: Column, url: Column, html: Column, size: Column, sha1:
         F.lit(f"{line}Content-Type: application/http; msgtype=response{line}Content-Length: "),
         F.octet_length(block).cast("string"), F.lit(line * 2),
     )
-    return F.concat(header, block)
+    return F.concat(header, block, F.lit(RECORD_END))
+
+
+def packed_record(record: bytes) -> bytes:
+    """A record as a gzip member of its own, without the last byte. One of 16 MB or more is followed by an empty member."""
+    out = gzip.compress(record, GZIP_LEVEL, mtime=0)
+    if out[-1]:
+        out += gzip.compress(b"", GZIP_LEVEL, mtime=0)
+    return out[:-1]
+
+
+def pack_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        packed = [packed_record(r) for r in batch.column("value").cast(pa.binary()).to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary())], ["value"])
 
 
 def write_archives(scratch: Scratch, pages: DataFrame, file_bytes: int = FILE_BYTES) -> str:
     """Write one record per page, sorted by URL key across and inside the files; the folder of the files.
 
-    Spark's text writer puts the records out as they are, each followed by the two line ends that close a record.
-    Ranges of the key, the id and the digest deal the records out, so a host with a third of all pages fills as many
+    Every record is a gzip member, so that a range read opens it alone. Ranges of the key, the id and the digest deal the records out, so a host with a third of all pages fills as many
     files as it needs.
     """
     total = pages.agg(F.sum(F.octet_length("html") + 600).alias("b")).first().b or 0
-    rows = capture_types(pages).select(
+    rows = capture_types(scratch, pages).select(
         url_key(F.col("url")).alias("key"), "page_id",
         record_text(*(F.col(c) for c in ("page_id", "url", "html", "payload_bytes", "sha1", "refers_to"))).alias("value"),
     )
@@ -111,38 +132,57 @@ def write_archives(scratch: Scratch, pages: DataFrame, file_bytes: int = FILE_BY
     path = scratch.path("archives")
     (
         rows.repartitionByRange(max(1, -(-total // file_bytes)), *order).sortWithinPartitions(*order).select("value")
-        .write.option("lineSep", RECORD_END).text(path)
+        .mapInArrow(pack_records, "value binary").select(F.col("value").cast("string"))
+        .write.option("lineSep", MEMBER_END).text(path)
     )
+    scratch.drop()
     return path
 
 
 HEADER_LINE = re.compile(rb"([A-Za-z-]+): ?(.*)")
 
 
-def records(content: bytes) -> Iterator[tuple[int, int, dict[str, str], memoryview]]:
-    """Offset, length, headers and block of every record of an archive, by their stated lengths."""
-    at, whole = 0, memoryview(content)
+def members(content: bytes, step: int = 1 << 16) -> Iterator[tuple[int, int, bytes]]:
+    """Offset, length and content of every gzip member that is not empty; an empty one belongs to the member before."""
+    at, begin, held = 0, 0, b""
     while at < len(content):
-        end = content.index(b"\r\n\r\n", at)
-        first, *lines = content[at:end].split(b"\r\n")
+        inflate, pieces, start = zlib.decompressobj(wbits=31), [], at
+        while not inflate.eof:
+            if at >= len(content):
+                raise ValueError(f"record at {start} is cut off")
+            pieces.append(inflate.decompress(content[at : at + step]))
+            at += step
+        at = min(at, len(content)) - len(inflate.unused_data)
+        found = b"".join(pieces)
+        if found:
+            if held:
+                yield begin, start - begin, held
+            begin, held = start, found
+    if held:
+        yield begin, len(content) - begin, held
+
+
+def records(content: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
+    """Offset, length, headers and block of every record of an archive."""
+    for at, size, record in members(content):
+        end = record.index(b"\r\n\r\n")
+        first, *lines = record[:end].split(b"\r\n")
         if not first.startswith(b"WARC/"):
             raise ValueError(f"no record at {at}")
         headers = {m[1].decode().lower(): m[2].decode() for m in map(HEADER_LINE.match, lines) if m}
-        start = end + 4
-        stop = start + int(headers["content-length"])
-        if content[stop : stop + 4] != b"\r\n\r\n":
+        stop = end + 4 + int(headers["content-length"])
+        if record[stop:] != RECORD_END.encode():
             raise ValueError(f"record at {at} is not closed")
-        yield at, stop + 4 - at, headers, whole[start:stop]
-        at = stop + 4
+        yield at, size, headers, record[end + 4 : stop]
 
 
-def parse_capture(headers: dict[str, str], block: memoryview) -> tuple:
+def parse_capture(headers: dict[str, str], block: bytes) -> tuple:
     """(page id, payload bytes, payload digest, type, refers to) with digest and size of the payload that is there.
 
     A revisit holds no payload; its size and digest are those it states.
     """
     page = lambda value: None if value in (None, "<urn:page:none>") else value[len("<urn:page:") : -1]
-    raw = bytes(block)
+    raw = block
     cut = raw.index(b"\r\n\r\n") + 4
     kind = headers["warc-type"]
     stated = int(re.search(rb"Content-Length: ([0-9]+)", raw[:cut])[1])
@@ -295,7 +335,7 @@ def fetch(spark: SparkSession, file: str, at: int, size: int) -> tuple[dict[str,
     finally:
         stream.close()
     _, _, headers, block = next(records(bytes(raw)))
-    return headers, bytes(block)
+    return headers, block
 
 
 def archive_round_trip(pages: DataFrame, file_bytes: int = FILE_BYTES) -> DataFrame:

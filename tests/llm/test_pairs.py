@@ -202,7 +202,18 @@ def test_index_finds_records_by_range_reads(spark):
     for hit in hits:
         headers, block = warc.fetch(spark, hit.file, hit.at, hit.bytes)
         assert headers["warc-record-id"] == f"<urn:page:{hit.page}>"
-        assert warc.parse_capture(headers, memoryview(block))[1] > 1000
+        assert warc.parse_capture(headers, block)[1] > 1000
+
+
+def test_records_of_any_size_are_members():
+    bodies = [b"x" * n for n in (1, 70_000, 1 << 24, (1 << 24) + 5)]
+    whole = b"".join(warc.packed_record(b) + warc.MEMBER_END.encode() for b in bodies)
+    found = list(warc.members(whole))
+    assert [c for _, _, c in found] == bodies
+    for at, size, content in found:
+        assert [c for _, _, c in warc.members(whole[at : at + size])] == [content]
+    with pytest.raises(ValueError):
+        list(warc.members(whole[:-30]))
 
 
 def test_url_keys(spark):
