@@ -138,14 +138,14 @@ def silhouette_euclidean(spark, folder):
 def kmeans_sweep(spark, folder):
     columns = ["delay_minutes", "k"]
     scaled = encode.zscore(labelled(spark, folder).select("stop_id", *columns), columns)
-    return cluster.kmeans_sweep(scaled, columns, range(2, 5), restarts=1)[0]
+    return cluster.kmeans_sweep(scaled, columns, range(2, 8), restarts=3)[0]
 
 
 @query("kmeans_labels")
 def kmeans_labels(spark, folder):
     columns = ["delay_minutes", "k"]
     scaled = encode.zscore(labelled(spark, folder).select("stop_id", *columns), columns)
-    return cluster.kmeans_sweep(scaled, columns, [3], restarts=1)[1].select("stop_id", "cluster")
+    return cluster.kmeans_sweep(scaled, columns, [3])[1].select("stop_id", "cluster")
 
 
 ITEM_COLUMNS = ["arrival_status", "day_of_weeks", "time_of_day"]
