@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 # A side is broadcast only if its files were written and found at or below this many bytes.
 BROADCAST_BYTES = 16 << 20
 
+# Rows of an Arrow batch on its way to a Python worker.
+BATCH_ROWS = 1000
+
 
 def build_session(app: str = "colonnade", master: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution on; cluster settings win over these defaults."""
@@ -35,8 +38,11 @@ def build_session(app: str = "colonnade", master: str | None = None, **conf: str
 def ship_package(spark: SparkSession) -> SparkSession:
     """Send this package to the Python workers of ``spark``, so that they need no copy of the repository.
 
-    Sent once per application and content; Spark's own file server delivers the archive.
+    Sent once per application and content; Spark's own file server delivers the archive. Arrow batches left at
+    Spark's default row number are made smaller, since rows here can hold whole documents.
     """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     root = os.path.dirname(os.path.abspath(__file__))
     top = os.path.dirname(root)
     if not os.path.isdir(root):
