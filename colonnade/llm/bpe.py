@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Pre-tokens whose ids a task remembers; a memory bound only, the result does not depend on it.
-CACHE = 200_000
+CACHE = 100_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -138,7 +138,7 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, wit
 
         coder = _coder(token, load)
         for batch in batches:
-            for _, part in text_batches(batch, "text", 1 << 20):
+            for _, part in text_batches(batch, "text", 1 << 19):
                 ids = coder.encode([t or "" for t in part.column("text").to_pylist()])
                 columns = [
                     part.column("doc_id"),
@@ -151,6 +151,7 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, wit
                     columns.append(pa.array([np.frombuffer(i, "<u4").astype(np.int32) for i in ids], pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
+        coder.known = {}  # the worker goes on to other work
 
     form = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return docs.select("doc_id", F.col("text")).mapInArrow(run, form)

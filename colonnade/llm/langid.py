@@ -45,7 +45,11 @@ def gram_counts(texts: pa.Array, classes: np.ndarray, n_classes: int, orders, sl
     total = np.zeros(n_classes * width, np.int64)
     for k, slot in enumerate(gram_slots(points, starts, orders, slots)):
         inside = slot >= 0
-        total += np.bincount(owner[inside] * width + k * slots + slot[inside], minlength=len(total))
+        place = owner[inside]
+        place *= width
+        place += slot[inside]
+        place += k * slots
+        total += np.bincount(place, minlength=len(total))
     return total
 
 
@@ -67,7 +71,7 @@ def fit_languages(labelled: DataFrame, orders=ORDERS, slots: int = SLOTS, train_
 
     def count(batch: pa.RecordBatch) -> np.ndarray:
         total = np.zeros(len(languages) * width, np.int64)
-        for part in slices(batch, "text", 1 << 20):
+        for part in slices(batch, "text", 1 << 19):
             classes = np.array([number[x] for x in part.column("lang").to_pylist()], np.int64)
             total += gram_counts(part.column("text"), classes, len(languages), orders, slots)
         return total
@@ -84,9 +88,9 @@ def score_texts(model: LanguageModel, texts: pa.Array) -> np.ndarray:
     points, starts = code_points(texts)
     total = np.tile(model.prior, (len(texts), 1))
     for k, slot in enumerate(gram_slots(points, starts, model.orders, model.slots)):
-        values = model.log_prob[np.where(slot >= 0, slot + k * model.slots, 0)].astype(np.float64)
+        values = model.log_prob[np.where(slot >= 0, slot + np.int32(k * model.slots), 0)]
         values[slot < 0] = 0
-        total += np.add.reduceat(values, starts[:-1], axis=0)
+        total += np.add.reduceat(values, starts[:-1], axis=0, dtype=np.float64)
     total -= total.max(axis=1, keepdims=True)
     odds = np.exp(total)
     return odds / odds.sum(axis=1, keepdims=True)
@@ -104,7 +108,7 @@ def _judged(model: LanguageModel, texts: pa.Array, letter) -> tuple[np.ndarray,
 
 def _slice_bytes(model: LanguageModel) -> int:
     """Text per step, so that the gathered probabilities stay within some tens of MB."""
-    return max(1 << 16, (4 << 20) // max(4, len(model.languages)))
+    return max(1 << 16, (2 << 20) // max(4, len(model.languages)))
 
 
 def predict_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:

@@ -65,7 +65,7 @@ class Scratch:
         self.spark._jvm.System.gc()
 
 
-def text_batches(batch: pa.RecordBatch, column: str, limit: int = 2 << 20) -> Iterator[tuple[int, pa.RecordBatch]]:
+def text_batches(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[tuple[int, pa.RecordBatch]]:
     """Slices of a batch with about ``limit`` bytes of text each (one row at least), and where they start."""
     sizes = batch.column(column)
     lengths = np.asarray(pc.fill_null(pc.binary_length(sizes), 0), dtype=np.int64)

@@ -100,7 +100,7 @@ def fit_toxicity(
     def class_counts(batch: pa.RecordBatch) -> np.ndarray:
         """Documents per class and slot, then documents per class."""
         total = np.zeros(2 * slots + 2, np.int64)
-        for part in slices(batch, "text", 1 << 20):
+        for part in slices(batch, "text", 1 << 19):
             points, starts = code_points(part.column("text"))
             for label, found in zip(part.column("label").to_pylist(), present_slots(points, starts, orders, slots)):
                 total[label * slots + found] += 1
@@ -125,7 +125,7 @@ def fit_toxicity(
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = places.value
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
+            for part in slices(batch, "text", 1 << 19):
                 points, starts = code_points(part.column("text"))
                 found = [known[f] for f in present_slots(points, starts, orders, slots)]
                 found = [f[f >= 0].astype("<u4").tobytes() for f in found]
@@ -211,7 +211,7 @@ def score_toxicity(docs: DataFrame, model: ToxicModel) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
+            for part in slices(batch, "text", 1 << 19):
                 points, starts = code_points(part.column("text"))
                 found = present_slots(points, starts, known.orders, len(known.weight))
                 z = np.array([known.weight[f].sum(dtype=np.float64) for f in found]) + known.bias
