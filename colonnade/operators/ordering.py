@@ -31,6 +31,7 @@ def running_totals(
     order: Order,
     totals: Mapping[str, Column],
     by: Sequence[str] = (),
+    buckets: int | None = None,
     bucket: Column | None = None,
 ) -> DataFrame:
     """Add, per ``by`` group, the inclusive running sum of every column in ``totals``.
@@ -44,7 +45,9 @@ def running_totals(
     by = list(by)
     valued = df.withColumns({f"_v_{n}": c for n, c in totals.items()})
     if bucket is None:
-        dealt = valued.repartitionByRange(*[F.col(c).asc() for c in by], *_sort_exprs(order))
+        keys = [*[F.col(c).asc() for c in by], *_sort_exprs(order)]
+        # The number of ranges is Spark's, which follows the size of the rows, unless the caller names one.
+        dealt = valued.repartitionByRange(*([buckets] if buckets else []), *keys)
         tagged = cut_lineage(dealt.withColumn("_bucket", F.spark_partition_id()))
     else:
         tagged = valued.withColumn("_bucket", bucket)
@@ -71,7 +74,8 @@ def running_totals(
 
 
 def ranked(
-    df: DataFrame, order: Order, name: str = "rank", by: Sequence[str] = (), bucket: Column | None = None,
+    df: DataFrame, order: Order, name: str = "rank", by: Sequence[str] = (), buckets: int | None = None,
+    bucket: Column | None = None,
 ) -> DataFrame:
     """1-based row number per group along ``order``."""
-    return running_totals(df, order, {name: F.lit(1).cast("bigint")}, by, bucket)
+    return running_totals(df, order, {name: F.lit(1).cast("bigint")}, by, buckets, bucket)
