@@ -11,11 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colonnade.llm.links import components
-from colonnade.llm.storage import Scratch, dense_counts, member_mask, text_batches
+from colonnade.llm.storage import Scratch, member_mask, rough_counts, text_batches
 from colonnade.llm.wordhash import run_hashes, word_hashes
 
-# Slots that count documents per shingle, to try rare shingles first. Order affects the cost only.
-ORDER_BITS = 20
+# Bits of the slots that count documents per shingle, to try rare shingles first: 8 MB whatever the input. The order
+# affects the cost only; the fuller the slots are, the more sets share one of their rarest shingles by chance.
+ORDER_BITS = 23
 
 # Shingles that two linked sets share among their rarest ones (fewer only if a set is smaller than that). Each
 # makes the list of rarest shingles one longer and leaves out most pairs that have a shingle in common by chance.
@@ -112,14 +113,13 @@ def _points(docs: DataFrame, length: int, percent: int, rank: np.ndarray) -> Dat
 def _shingle_ranks(docs: DataFrame, length: int) -> np.ndarray:
     """Per slot, a rough logarithm of the number of documents with a shingle in it."""
 
-    def count(batch: pa.RecordBatch) -> np.ndarray:
-        total = np.zeros(1 << ORDER_BITS, np.int64)
+    def slots(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         for _, part in text_batches(batch, "text"):
-            slots = [s >> np.uint64(64 - ORDER_BITS) for s in shingle_sets(part.column("text"), length)]
-            total += np.bincount(np.concatenate(slots).astype(np.int64), minlength=len(total))
-        return total
+            found = [s >> np.uint64(64 - ORDER_BITS) for s in shingle_sets(part.column("text"), length)]
+            yield np.concatenate(found).astype(np.int64)
 
-    return np.minimum(255, np.log2(dense_counts(docs.select("text"), 1 << ORDER_BITS, count) + 1) * 6).astype(np.uint8)
+    counts = rough_counts(docs.select("text"), 1 << ORDER_BITS, slots)
+    return (np.log2(counts.astype(np.float32) + 1) * 15).astype(np.uint8)
 
 
 def _bounded(pairs: DataFrame, percent: int) -> DataFrame:
