@@ -247,6 +247,36 @@ def test_passages_take_edge_rows(spark):
     assert shared_passages(no_documents(spark)).count() == 0
 
 
+def test_passages_of_pieces_that_other_documents_hold_first(spark):
+    """Each piece of 20 words stands in many documents, all 60 in two; the first holders of the pieces differ."""
+    pieces = [prose(20_000 + i, 20) for i in range(3)]
+    texts = [f"{prose(21_000 + i, 60)} {pieces[i % 3]} {prose(22_000 + i, 60)}" for i in range(60)]
+    texts += [f"{prose(23_000 + i, 80)} {' '.join(pieces)} {prose(24_000 + i, 80)}" for i in range(2)]
+    out = shared_passages(plain(spark, texts)).collect()
+    assert {r.doc_id for r in out} | {r.other_id for r in out} == {60, 61}
+    assert all((r.equal_words, r.start_word, r.end_word) == (60, 80, 140) for r in out)
+
+
+def test_passages_in_a_family_of_edited_copies(spark):
+    """Every exact 50 words that two documents share lie in a passage of either, whatever other copies hold."""
+    base = prose(25_000, 90)
+    texts = [f"{prose(26_000 + i, 70)} {edited(base, i, 3)} {prose(27_000 + i, 70)}" for i in range(40)]
+    out = shared_passages(plain(spark, texts)).collect()
+    covered = [(r.doc_id, r.start_word, r.end_word) for r in out] + [(r.other_id, r.other_start, r.other_end) for r in out]
+    split = [t.split() for t in texts]
+    holders = {}
+    for d, words in enumerate(split):
+        for at in range(len(words) - 49):
+            holders.setdefault(tuple(words[at : at + 50]), []).append((d, at))
+    shared = [p for found in holders.values() if len({d for d, _ in found}) > 1 for p in found]
+    assert shared
+    for d, at in shared:
+        assert any(d == x and a <= at and at + 50 <= b for x, a, b in covered)
+    for r in out:
+        a, b = split[r.doc_id][r.start_word : r.end_word], split[r.other_id][r.other_start : r.other_end]
+        assert max(len(a), len(b)) >= 50 and common_words(np.array(a), np.array(b)) >= r.equal_words >= 0.8 * max(len(a), len(b))
+
+
 def test_chains_follow_the_best_order():
     assert chains([0, 10, 20, 30], [100, 110, 120, 130]) == [[0, 1, 2, 3]]
     # An anchor out of order stays out; a far one starts anew.
