@@ -95,6 +95,9 @@ def plan_mix(scratch: Scratch, docs: DataFrame, seed: int) -> tuple[DataFrame, D
         F.col("source").alias("s"), "source_size", "target",
         F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).alias("epochs"),
     ).withColumn("left", F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long"))
+    # A rest that rounds to the whole source is one more epoch.
+    full = (F.col("source_size") > 0) & (F.col("left") >= F.col("source_size"))
+    plan = plan.withColumns({"epochs": F.when(full, F.col("epochs") + 1).otherwise(F.col("epochs")), "left": F.when(full, 0).otherwise(F.col("left"))})
     plan._scratch = targets._scratch
     # 1 - exp(-key) spreads the keys over (0, 1).
     bucketed = sized.withColumn("bucket", F.floor((1 - F.exp(-F.col("key"))) * buckets))

@@ -22,6 +22,10 @@ LEAST_SHARED = 1000
 FILE_BYTES = 16 << 20
 BLOCK_CAPTURES = 256
 
+# A larger directory is not sent to every task; it is cut into leaves of so many rows.
+DIRECTORY_BYTES = 32 << 20
+LEAF_ROWS = 1024
+
 # Two line ends close a record.
 RECORD_END = "\r\n\r\n"
 
@@ -117,18 +121,27 @@ def pack_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary())], ["value"])
 
 
+def index_key(url: Column) -> Column:
+    """The URL key as the index has it: of the URL that the record's header shows, without separators of lines."""
+    return F.regexp_replace(url_key(_header_safe(url)), r"[\t\n\r]", "")
+
+
+def index_page(page_id: Column) -> Column:
+    return F.coalesce(page_id.cast("string"), F.lit(""))
+
+
 def write_archives(scratch: Scratch, pages: DataFrame, file_bytes: int = FILE_BYTES) -> str:
-    """Write one record per page, sorted by URL key across and inside the files; the folder of the files.
+    """Write one record per page, sorted by URL key and id across and inside the files; the folder of the files.
 
-    Every record is a gzip member, so that a range read opens it alone. Ranges of the key, the id and the digest deal the records out, so a host with a third of all pages fills as many
-    files as it needs.
+    Every record is a gzip member, so that a range read opens it alone. Ranges of the key, the id as text and the
+    digest deal the records out, so a host or a URL with a third of all pages fills as many files as it needs.
     """
     total = pages.agg(F.sum(F.octet_length("html") + 600).alias("b")).first().b or 0
     rows = capture_types(scratch, pages).select(
-        url_key(F.col("url")).alias("key"), "page_id",
+        index_key(F.col("url")).alias("key"), index_page(F.col("page_id")).alias("page"),
         record_text(*(F.col(c) for c in ("page_id", "url", "html", "payload_bytes", "sha1", "refers_to"))).alias("value"),
     )
-    order = ["key", "page_id", F.xxhash64("value")]
+    order = ["key", "page", F.xxhash64("value")]
     path = scratch.path("archives")
     (
         rows.repartitionByRange(max(1, -(-total // file_bytes)), *order).sortWithinPartitions(*order).select("value")
@@ -232,14 +245,15 @@ def open_block(packed: bytes) -> list[tuple[str, str, int, int]]:
 
 
 def build_index(scratch: Scratch, path: str, captures: int = BLOCK_CAPTURES) -> tuple[DataFrame, DataFrame]:
-    """The two levels: blocks (block, file, packed) of sorted captures and their directory (first, last, block).
+    """The two levels: blocks (block, file, packed) of sorted captures and their directory (first, first_page, last, last_page, block).
 
-    Archives are sorted by key, so a file's captures are read in order and cut into blocks; a block belongs to
-    one file. The directory has one row per ``captures`` captures.
+    Archives are sorted by key and page, so a file's captures are read in order and cut into blocks; a block belongs to
+    one file. The directory has one row per ``captures`` captures. Only captures equal in key and page can lie in
+    more than one block.
     """
     spark = scratch.spark
     found = read_captures(spark, path).select(
-        "file", "at", "bytes", F.coalesce("page", F.lit("")).alias("page"), F.regexp_replace(url_key(F.col("url")), r"[\t\n\r]", "").alias("key")
+        "file", "at", "bytes", F.coalesce("page", F.lit("")).alias("page"), index_key(F.col("url")).alias("key")
     )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,9 +262,10 @@ def build_index(scratch: Scratch, path: str, captures: int = BLOCK_CAPTURES) ->
 
         def closed() -> pa.RecordBatch:
             ordered = sorted(held)
+            ends = [*ordered[0][:2], *ordered[-1][:2]]
             return pa.RecordBatch.from_arrays(
-                [pa.array([ordered[0][0]]), pa.array([ordered[-1][0]]), pa.array([file]), pa.array([pack_block(ordered)], pa.binary())],
-                ["first", "last", "file", "packed"],
+                [*(pa.array([e]) for e in ends), pa.array([file]), pa.array([pack_block(ordered)], pa.binary())],
+                ["first", "first_page", "last", "last_page", "file", "packed"],
             )
 
         for batch in batches:
@@ -264,63 +279,118 @@ def build_index(scratch: Scratch, path: str, captures: int = BLOCK_CAPTURES) ->
             yield closed()
 
     blocks = scratch.keep(
-        found.mapInArrow(cut, "first string, last string, file string, packed binary").withColumn("block", F.monotonically_increasing_id()),
+        found.mapInArrow(cut, "first string, first_page string, last string, last_page string, file string, packed binary")
+        .withColumn("block", F.monotonically_increasing_id()),
         "blocks",
     )
-    directory = scratch.keep(blocks.select("first", "last", "block", "file"), "directory")
+    directory = scratch.keep(blocks.select("first", "first_page", "last", "last_page", "block"), "directory")
     return blocks, directory
 
 
-def locate(scratch: Scratch, blocks: DataFrame, directory: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(key, page, file, at, bytes) of the captures that ``wanted`` (key, page) names, through both levels.
+class Ranges:
+    """Sorted (first, last, number), searched by halving for the ranges that may hold a place."""
+
+    def __init__(self, rows: list[tuple]):
+        rows = sorted(rows)
+        self.firsts, self.lasts, self.numbers = [r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows]
+        self.reach = []  # the largest last place so far: where a search to the left may stop
+        for last in self.lasts:
+            self.reach.append(max(last, self.reach[-1]) if self.reach else last)
+
+    def holding(self, place: tuple[str, str]) -> list[int]:
+        span = range(bisect_left(self.reach, place), bisect_right(self.firsts, place))
+        return [self.numbers[k] for k in span if self.lasts[k] >= place]
 
-    The directory is sorted by first key and searched by halving for the blocks that may hold a key; the blocks
-    named are opened and searched the same way. A directory too large to send to every task is joined by ranges
-    of keys instead.
+
+_ROUTED = "key string, page string, block long"
+
+
+def _routed_batch(rows: list[tuple]) -> pa.RecordBatch:
+    types = [pa.string(), pa.string(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 3, types)], ["key", "page", "block"])
+
+
+def route(scratch: Scratch, directory: DataFrame, wanted: DataFrame, most_bytes: int = DIRECTORY_BYTES) -> DataFrame:
+    """(key, page, block) of the blocks that may hold what ``wanted`` (key, page) names.
+
+    A directory too large to send to every task is sorted and cut into leaves, which have a directory of their own.
     """
-    spark = scratch.spark
-    named = scratch.bytes_of(directory) <= (32 << 20)
-    if named:
-        rows = sorted((r.first, r.last, r.block) for r in directory.collect())
-        shared = spark.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows]))
-
-        def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            firsts, lasts, numbers = shared.value
-            reach = []  # the largest last key so far: where a search to the left may stop
-            for last in lasts:
-                reach.append(max(last, reach[-1]) if reach else last)
+    if scratch.bytes_of(directory) <= most_bytes or directory.count() <= LEAF_ROWS:
+        ranges = Ranges([((r.first, r.first_page), (r.last, r.last_page), r.block) for r in directory.collect()])
+        shared = scratch.spark.sparkContext.broadcast(ranges)
+
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                keys, pages, out = [], [], []
-                for key, page in zip(batch.column("key").to_pylist(), batch.column("page").to_pylist()):
-                    for k in range(bisect_left(reach, key), bisect_right(firsts, key)):
-                        if lasts[k] >= key:
-                            keys.append(key), pages.append(page), out.append(numbers[k])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys, pa.string()), pa.array(pages, pa.string()), pa.array(out, pa.int64())], ["key", "page", "block"]
-                )
+                places = zip(batch.column("key").to_pylist(), batch.column("page").to_pylist())
+                yield _routed_batch([(*place, n) for place in places for n in shared.value.holding(place)])
+
+        return wanted.select("key", "page").mapInArrow(search, _ROUTED)
+    parts = max(1, scratch.bytes_of(directory) // max(1, most_bytes))
+    order = ["first", "first_page", "last", "last_page", "block"]
+    # Row numbers of a partition start at a multiple of 2 ** 33.
+    leaves = scratch.keep(
+        directory.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+        .withColumn("leaf", F.floor(F.monotonically_increasing_id() / LEAF_ROWS)),
+        "leaves",
+    )
+    ends = leaves.groupBy("leaf").agg(F.min(F.struct("first", "first_page")).alias("a"), F.max(F.struct("last", "last_page")).alias("b"))
+    top = scratch.keep(ends.select("a.first", "a.first_page", "b.last", "b.last_page", F.col("leaf").alias("block")), "top")
+    asked = route(scratch, top, wanted, most_bytes).select(
+        F.col("block").alias("leaf"), F.lit(1).alias("kind"), F.col("key").alias("first"), F.col("page").alias("first_page"),
+        F.lit(None).cast("string").alias("last"), F.lit(None).cast("string").alias("last_page"), F.lit(None).cast("long").alias("block"),
+    )
+    both = leaves.select("leaf", F.lit(0).alias("kind"), *order).unionByName(asked)
+
+    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leaf, held, ranges = None, [], None
+        for batch in batches:
+            out = []
+            for at, kind, first, first_page, last, last_page, block in zip(*(c.to_pylist() for c in batch.columns)):
+                if at != leaf:
+                    leaf, held, ranges = at, [], None
+                if not kind:
+                    held.append(((first, first_page), (last, last_page), block))
+                    continue
+                ranges = ranges or Ranges(held)
+                out.extend((first, first_page, n) for n in ranges.holding((first, first_page)))
+            yield _routed_batch(out)
+
+    return both.repartition("leaf").sortWithinPartitions("leaf", "kind").mapInArrow(inside, _ROUTED)
 
-        routed = wanted.select("key", "page").mapInArrow(route, "key string, page string, block long")
-    else:
-        routed = wanted.join(directory, (F.col("key") >= F.col("first")) & (F.col("key") <= F.col("last"))).select("key", "page", "block")
-    asked = routed.distinct().groupBy("block").agg(F.collect_list(F.struct("key", "page")).alias("asked"))
+
+def locate(scratch: Scratch, blocks: DataFrame, directory: DataFrame, wanted: DataFrame, most_bytes: int = DIRECTORY_BYTES) -> DataFrame:
+    """(key, page, file, at, bytes) of the captures that ``wanted`` (key, page) names, through both levels.
+
+    The directory is searched by halving for the blocks that may hold a key and page; a block is opened once,
+    and what is asked of it passes by, so no task holds more than a block.
+    """
+    asked = route(scratch, directory, wanted, most_bytes).distinct().select(
+        "block", F.lit(1).alias("kind"), "key", "page", F.lit(None).cast("string").alias("file"), F.lit(None).cast("binary").alias("packed")
+    )
+    none = F.lit(None).cast("string")
+    both = blocks.select("block", F.lit(0).alias("kind"), none.alias("key"), none.alias("page"), "file", "packed").unionByName(asked)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = opened = captures = None
         for batch in batches:
             out = []
-            for file, packed, asked in zip(*(batch.column(c).to_pylist() for c in ("file", "packed", "asked"))):
-                captures = open_block(packed)
-                for want in asked:
-                    at = bisect_left(captures, (want["key"], want["page"]))
-                    while at < len(captures) and captures[at][:2] == (want["key"], want["page"]):
-                        out.append((want["key"], want["page"], file, captures[at][2], captures[at][3]))
-                        at += 1
+            for block, kind, key, page, file, packed in zip(*(c.to_pylist() for c in batch.columns)):
+                if not kind:
+                    held, opened, captures = block, (file, packed), None
+                    continue
+                if block != held:
+                    continue
+                captures = captures or open_block(opened[1])
+                at = bisect_left(captures, (key, page))
+                while at < len(captures) and captures[at][:2] == (key, page):
+                    out.append((key, page, opened[0], captures[at][2], captures[at][3]))
+                    at += 1
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 5, [pa.string()] * 3 + [pa.int64()] * 2)],
                 ["key", "page", "file", "at", "bytes"],
             )
 
-    # A block holds a bounded number of captures, and so does what is asked of it.
-    return blocks.join(asked, "block").select("file", "packed", "asked").mapInArrow(
+    return both.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(
         search, "key string, page string, file string, at long, bytes long"
     )
 
@@ -350,9 +420,7 @@ def archive_round_trip(pages: DataFrame, file_bytes: int = FILE_BYTES) -> DataFr
     kind = pages.schema["page_id"].dataType
     path = write_archives(scratch, pages, file_bytes)
     blocks, directory = build_index(scratch, path)
-    wanted = pages.select(
-        F.regexp_replace(url_key(_header_safe(F.col("url"))), r"[\t\n\r]", "").alias("key"), F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("page")
-    ).distinct()
+    wanted = pages.select(index_key(F.col("url")).alias("key"), index_page(F.col("page_id")).alias("page")).distinct()
     places = locate(scratch, blocks, directory, wanted).select(F.col("file").alias("f"), F.col("at").alias("a"), F.col("bytes").alias("b"))
     back = read_captures(spark, path)
     return back.join(places, (F.col("file") == F.col("f")) & (F.col("at") == F.col("a")) & (F.col("bytes") == F.col("b"))).select(

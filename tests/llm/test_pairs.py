@@ -205,6 +205,20 @@ def test_index_finds_records_by_range_reads(spark):
         assert warc.parse_capture(headers, block)[1] > 1000
 
 
+def test_a_url_with_many_captures_is_searched_in_one_block_each(spark, monkeypatch):
+    rows = [(i, None if i % 3 else "http://hot.org/", f"<p>{i}</p>") for i in range(300)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    scratch = Scratch(spark, "warc-hot")
+    blocks, directory = warc.build_index(scratch, warc.write_archives(scratch, df, 20_000), captures=8)
+    wanted = spark.createDataFrame([("org,hot)/" if i % 3 == 0 else "", str(i)) for i in range(300)], "key string, page string")
+    monkeypatch.setattr(warc, "LEAF_ROWS", 4)
+    for most_bytes in (warc.DIRECTORY_BYTES, 2000):
+        routed = warc.route(scratch, directory, wanted, most_bytes).collect()
+        assert len(routed) == len({(r.key, r.page) for r in routed}) == 300
+        hits = warc.locate(scratch, blocks, directory, wanted, most_bytes).collect()
+        assert sorted(int(h.page) for h in hits) == list(range(300))
+
+
 def test_records_of_any_size_are_members():
     bodies = [b"x" * n for n in (1, 70_000, 1 << 24, (1 << 24) + 5)]
     whole = b"".join(warc.packed_record(b) + warc.MEMBER_END.encode() for b in bodies)
