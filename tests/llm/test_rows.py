@@ -86,6 +86,15 @@ def test_mix_matches_brute_force(spark):
     assert rows_of(got, *columns) == rows_of(mix(df.repartition(2)).withColumn("target", F.round("target", 6)), *columns)
 
 
+def test_mix_of_a_target_that_rounds_to_a_whole_source(spark):
+    # Targets 4.6875 (of 3 words), 1.875 (of 1) and 0.9375 (of 1): the last two round up to whole epochs.
+    rows = [(1, "a", 3, 1.0), (2, "b", 1, 1.0), (3, "c", 1, 1.0)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long, weight double")
+    got = mix(df).collect()
+    assert {r.doc_id: r.taken for r in got} == {1: 5, 2: 2, 3: 1}
+    assert sorted(((r.doc_id, r.size, r.source_size, round(r.target, 6), r.taken) for r in got), key=repr) == brute_mix(rows)
+
+
 def test_mix_takes_edge_rows(spark):
     sized = documents(spark).select("doc_id", "source", word_count(F.col("text")).alias("size"), F.lit(None).cast("double").alias("weight"))
     out = mix(sized).collect()
