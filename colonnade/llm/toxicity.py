@@ -19,7 +19,7 @@ SMOOTHING = 1.0
 ROUNDS = 40
 PENALTY = 3e-3
 
-# A slot must occur in so many training documents to count.
+# A slot must occur in so many labelled documents to count.
 LEAST_DOCUMENTS = 8
 
 # A slot whose log-count ratio is nearer to 0 says too little to be kept.
@@ -28,8 +28,9 @@ LEAST_RATIO = 0.3
 # Tasks over which the bounded training sample is spread, each of which returns one gradient.
 FIT_TASKS = 8
 
-# Most labelled documents that the model is fitted on; beyond it a hash of the id chooses about so many.
-TRAIN_ROWS = 10_000
+# Most labelled documents that the gradient steps read; beyond it a hash of the id chooses about so many. The counts
+# are those of all labelled documents.
+TRAIN_ROWS = 20_000
 
 THRESHOLD = 0.3
 
@@ -85,17 +86,14 @@ def fit_toxicity(
 ) -> ToxicModel:
     """Learn from ``labelled`` (doc_id, text, label 0/1); rows without a label teach nothing.
 
-    Documents per class and slot give the log-count ratio of each slot. Then logistic regression on the scaled
-    features that say something; each step is one Spark job that adds up the gradient over the written features. With
-    one class only, every text scores that class's share.
+    Documents per class and slot, over all rows, give the log-count ratio of each slot. Then logistic regression on the
+    scaled features that say something, over about ``train_rows`` rows; each step is one Spark job that adds up the
+    gradient over the written features. A slot that none of these rows has takes the mean coefficient of the others.
+    With one class only, every text scores that class's share.
     """
     spark = labelled.sparkSession
     scratch = Scratch(spark, "toxicity")
-    known = bounded_rows(
-        labelled.filter(F.col("label").isin(0, 1)).select("doc_id", "text", F.col("label").cast("int")), "doc_id", train_rows
-    )
-    texts = scratch.keep(known.select("text", "label"), "texts")
-    rows = texts.coalesce(FIT_TASKS)
+    known = labelled.filter(F.col("label").isin(0, 1)).select("doc_id", "text", F.col("label").cast("int"))
 
     def class_counts(batch: pa.RecordBatch) -> np.ndarray:
         """Documents per class and slot, then documents per class."""
@@ -107,11 +105,11 @@ def fit_toxicity(
                 total[2 * slots + label] += 1
         return total
 
-    counts = dense_counts(rows, 2 * slots + 2, class_counts)
+    # Every task hands on one array: their number follows the cores, not the rows.
+    counts = dense_counts(known.coalesce(4 * spark.sparkContext.defaultParallelism), 2 * slots + 2, class_counts)
     n = counts[2 * slots :]
     if not n.all():
         share = float((n[1] + 0.5) / (n.sum() + 1))
-        scratch.drop(texts)
         return ToxicModel(np.zeros(slots, np.float32), float(np.log(share / (1 - share))), tuple(orders))
     p, q = counts[slots : 2 * slots] + SMOOTHING, counts[:slots] + SMOOTHING
     every = np.log(p / (n[1] + 2 * SMOOTHING)) - np.log(q / (n[0] + 2 * SMOOTHING))
@@ -131,8 +129,18 @@ def fit_toxicity(
                 found = [f[f >= 0].astype("<u4").tobytes() for f in found]
                 yield pa.RecordBatch.from_arrays([part.column("label"), pa.array(found, pa.binary())], ["label", "found"])
 
-    sample = scratch.keep(rows.mapInArrow(describe, "label int, found binary"), "features")
+    texts = scratch.keep(bounded_rows(known, "doc_id", train_rows).select("text", "label"), "texts")
+    sample = scratch.keep(texts.coalesce(FIT_TASKS).mapInArrow(describe, "label int, found binary"), "features")
     features = sample.coalesce(FIT_TASKS)
+
+    def sample_counts(batch: pa.RecordBatch) -> np.ndarray:
+        """Rows per used slot, then rows per class."""
+        found = np.frombuffer(b"".join(batch.column("found").to_pylist()), "<u4")
+        classes = np.bincount(np.asarray(batch.column("label")), minlength=2)
+        return np.concatenate([np.bincount(found, minlength=len(used)), classes])
+
+    held = dense_counts(features, len(used) + 2, sample_counts)
+    sampled, n = held[:-2] > 0, np.maximum(held[-2:], 1)
     # Rare toxic documents weigh more, by the root of the ratio of the classes.
     rare = float(np.sqrt(n[0] / n[1]))
     scale = 1 / (n[0] + rare * n[1])
@@ -184,19 +192,22 @@ def fit_toxicity(
         if done:
             break
     scratch.drop(texts, sample)
+    if sampled.any():
+        theta[:-1][~sampled] = theta[:-1][sampled].mean()
     weight = np.zeros(slots, np.float32)
     weight[used] = ratio * theta[:-1]
     return ToxicModel(weight, float(theta[-1]), tuple(orders))
 
 
-def with_labels(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """(doc_id, text, label) of at most about ``train_rows`` labelled documents.
+def with_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, text, label) of all labelled documents.
 
-    The sample is drawn from ``labels`` (doc_id, label) alone, so the side that is broadcast has a fixed bound and
-    no text is shuffled. Of several labels of an id the largest counts.
+    ``labels`` (doc_id, label) are written first; while they are small no text is shuffled. Of several labels of an
+    id the largest counts.
     """
     known = labels.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("label").alias("label"))
-    return docs.select("doc_id", "text").join(F.broadcast(bounded_rows(known, "doc_id", train_rows)), "doc_id")
+    scratch = Scratch(docs.sparkSession, "labels")
+    return docs.select("doc_id", "text").join(scratch.small(scratch.keep(known, "labels")), "doc_id")
 
 
 def score_toxicity(docs: DataFrame, model: ToxicModel) -> DataFrame:

@@ -233,6 +233,19 @@ def test_toxicity_separates_held_out_documents(spark):
     assert len(out) > 150 and np.mean(hit) > 0.97
 
 
+def test_toxicity_counts_all_labelled_rows(spark):
+    """A cue of 20 among 2,000 labelled rows counts, although the gradient steps read about 100 of them."""
+    rows = []
+    for i in range(2000):
+        toxic = int(i % 5 == 0)
+        cue = " zzqvxkw" if i % 100 == 0 else " idiot" if toxic else ""
+        rows.append((i, prose(i, 30) + cue, toxic))
+    model = fit_toxicity(spark.createDataFrame(rows, "doc_id long, text string, label int"), train_rows=100)
+    tried = spark.createDataFrame([(1, prose(9000, 30)), (2, prose(9000, 30) + " zzqvxkw")], "doc_id long, text string")
+    score = {r.doc_id: r.score for r in score_toxicity(tried, model).collect()}
+    assert score[2] > score[1] + 0.01
+
+
 def test_toxicity_takes_edge_rows(spark):
     docs = documents(spark).withColumn("label", F.when(F.col("doc_id") % 4 == 0, 1).when(F.col("doc_id") % 4 < 3, 0))
     model = fit_toxicity(docs, rounds=3)
