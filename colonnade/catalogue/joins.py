@@ -138,7 +138,7 @@ def silhouette_euclidean(spark, folder):
 def kmeans_sweep(spark, folder):
     columns = ["delay_minutes", "k"]
     scaled = encode.zscore(labelled(spark, folder).select("stop_id", *columns), columns)
-    return cluster.kmeans_sweep(scaled, columns, range(2, 8), restarts=3)[0]
+    return cluster.kmeans_sweep(scaled, columns)[0]
 
 
 @query("kmeans_labels")

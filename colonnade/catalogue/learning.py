@@ -1,9 +1,4 @@
-"""Model queries over all stops, with five folds.
-
-Nearest neighbours, naive Bayes, the pruned tree, binary logistic regression and importance run the library's full
-settings. The grids of the other models are cut here, for the time of a run on one machine; the library defaults
-are the full grids.
-"""
+"""Model queries over all stops, with five folds and the library's full grids and settings."""
 
 from __future__ import annotations
 
@@ -18,19 +13,6 @@ from colonnade.operators.evaluate import metric_table
 from colonnade.plans import phases
 
 COLUMNS = ["delay_minutes", "k", "stop_sequence", "from_id"]
-GRIDS = {
-    "decision_tree": {"impurity": ["gini", "entropy"], "max_depth": [builtin.DEEPEST]},
-    "pruned_tree": {},
-    "logistic": {"c": [0.1, 1.0, None], "max_iter": [100]},
-    "nearest_neighbors": direct.KNN_GRID,
-    "naive_bayes": direct.SMOOTHING,
-    "neural_network": {"hidden": [8], "max_iter": [30]},
-    "random_forest": {"trees": [10], "max_depth": [5]},
-    "bagging": {"estimators": [3], "row_share": [0.75], "column_share": [0.75], "max_depth": [5]},
-    "boosting": {"rounds": [4], "rate": [0.2], "max_depth": [3]},
-    "stacking": {"grid": {"c": [1.0]}, "forest": {"trees": 5, "max_depth": 5}, "machine": {"kernel": "linear", "max_iter": 5}},
-    "svm": {"kernel": ["rbf"], "max_iter": [5]},
-}
 
 
 def _frame(spark, folder):
@@ -49,16 +31,16 @@ def _register(name, run):
     query(name)(fn)
 
 
-_register("tree_grid", lambda f: builtin.decision_tree(f, GRIDS["decision_tree"]))
-_register("tree_pruned", lambda f: direct.pruned_tree(f, **GRIDS["pruned_tree"])[0])
-_register("logistic_grid", lambda f: builtin.logistic(f, GRIDS["logistic"]))
-_register("knn_grid", lambda f: direct.nearest_neighbors(f, GRIDS["nearest_neighbors"]))
-_register("mlp_grid", lambda f: builtin.neural_network(f, GRIDS["neural_network"]))
-_register("forest_grid", lambda f: builtin.random_forest(f, GRIDS["random_forest"]))
-_register("bagging_grid", lambda f: composed.bagging(f, GRIDS["bagging"]))
-_register("boosting_grid", lambda f: composed.boosting(f, GRIDS["boosting"]))
-_register("stacking_grid", lambda f: composed.stacking(f, GRIDS["stacking"]["grid"], GRIDS["stacking"]["forest"], GRIDS["stacking"]["machine"]))
-_register("svm_grid", lambda f: composed.svm(f, GRIDS["svm"]))
+_register("tree_grid", lambda f: builtin.decision_tree(f))
+_register("tree_pruned", lambda f: direct.pruned_tree(f)[0])
+_register("logistic_grid", lambda f: builtin.logistic(f))
+_register("knn_grid", lambda f: direct.nearest_neighbors(f))
+_register("mlp_grid", lambda f: builtin.neural_network(f))
+_register("forest_grid", lambda f: builtin.random_forest(f))
+_register("bagging_grid", lambda f: composed.bagging(f))
+_register("boosting_grid", lambda f: composed.boosting(f))
+_register("stacking_grid", lambda f: composed.stacking(f))
+_register("svm_grid", lambda f: composed.svm(f))
 
 
 @query("gaussian_nb", f"""WITH {LABELLED},
@@ -84,7 +66,7 @@ def nb_search(spark, folder):
 
 @query("cv_results")
 def cv_results(spark, folder):
-    return builtin.decision_tree(_frame(spark, folder), {"impurity": ["gini", "entropy"], "max_depth": [2, 4]}).cv
+    return builtin.decision_tree(_frame(spark, folder)).cv
 
 
 @query("pruning_path")
@@ -110,13 +92,9 @@ def rf_classifier_importance(spark, folder):
     return builtin.classification_importance(_frame(spark, folder))
 
 
-# Fewer clusterings than the default of 10 restarts for k = 2 .. 20, for the time of a run on one machine.
-CONFIG = phases.StudyConfig(trees=30, restarts=3, ks=range(2, 8))
-
-
 @query("selector_scores")
 def selector_scores(spark, folder):
-    return phases.select_features(phases.one_hot(trips(spark, folder), ["status", "line", "type"]), CONFIG)["scores"]
+    return phases.select_features(phases.one_hot(trips(spark, folder), ["status", "line", "type"]), phases.StudyConfig())["scores"]
 
 
 @query("subset_logistic")
@@ -127,7 +105,7 @@ def subset_logistic(spark, folder):
 
 @query("prepare")
 def prepare(spark, folder):
-    return phases.prepare(stops(spark, folder), CONFIG)["prepared"].groupBy("arrival_status", "is_weekend").agg(F.count(F.lit(1)).alias("n"))
+    return phases.prepare(stops(spark, folder))["prepared"].groupBy("arrival_status", "is_weekend").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("regress")
@@ -144,13 +122,13 @@ def daily_stepwise(spark, folder):
 
 @query("compare_classifiers")
 def compare_classifiers(spark, folder):
-    out = phases.compare_classifiers(labelled(spark, folder), "arrival_status", COLUMNS, "stop_id", GRIDS)
+    out = phases.compare_classifiers(labelled(spark, folder), "arrival_status", COLUMNS, "stop_id")
     return out.withColumn("confusion", F.col("confusion").cast("string"))
 
 
 @query("cluster_and_mine")
 def cluster_and_mine(spark, folder):
     found = phases.cluster_and_mine(
-        trips(spark, folder), "trip_id", ["delay_minutes", "stop_sequence"], ["time_of_day", "arrival_status", "day_of_weeks"], CONFIG)
+        trips(spark, folder), "trip_id", ["delay_minutes", "stop_sequence"], ["time_of_day", "arrival_status", "day_of_weeks"])
     return found["kmeans_curve"].select("k", "best").join(
         found["dbscan_count"].select(F.col("clusters").alias("dbscan_clusters"), "noise", F.lit(True).alias("best")), "best", "left")

@@ -27,6 +27,8 @@ BAGGING_GRID = {
     "estimators": [10, 50, 100], "row_share": [0.5, 0.75, 1.0], "column_share": [0.5, 0.75, 1.0],
     "max_depth": [5, 10, DEEPEST],
 }
+# Most steps of the linear machine, which ends by its tolerance well before.
+SVM_STEPS = 1000
 SVM_GRID = {"kernel": ["rbf", "linear", "poly"], "degree": [2], "tol": [1e-3, 1e-2]}
 STACKING_GRID = {"c": [0.1, 1.0, 10.0]}
 FOURIER_FEATURES = 128
@@ -155,13 +157,13 @@ def _fit_margins(train, frame, kernel, degree, tol, c, max_iter) -> Callable[[Da
     return lambda df: _with_margins(kernel_features(df, frame.columns, kernel, degree), models).select(*df.columns, "margin")
 
 
-def fit_svm(train, frame, kernel="rbf", degree=2, tol=1e-3, c=1.0, max_iter=50) -> Scorer:
+def fit_svm(train, frame, kernel="rbf", degree=2, tol=1e-3, c=1.0, max_iter=SVM_STEPS) -> Scorer:
     """Largest margin wins; enough for accuracy, no calibrated probabilities."""
     margins = _fit_margins(train, frame, kernel, degree, tol, c, max_iter)
     return lambda df: margins(df).select(*df.columns, F.col("margin").alias("score"), F.col("margin").alias("probability"))
 
 
-def fit_svm_calibrated(train, frame, kernel="rbf", degree=2, tol=1e-3, c=1.0, max_iter=50) -> Scorer:
+def fit_svm_calibrated(train, frame, kernel="rbf", degree=2, tol=1e-3, c=1.0, max_iter=SVM_STEPS) -> Scorer:
     """Adds probabilities: a logistic curve per class, fitted on out-of-fold margins."""
     k = len(frame.classes)
     args = (frame, kernel, degree, tol, c, max_iter)

@@ -4,6 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from colonnade.catalogue import learning
+from colonnade.catalogue.registry import QUERIES
 from colonnade.models import builtin, composed, direct
 from colonnade.models.frame import make_frame, probability_scores
 from colonnade.operators import evaluate, itemsets
@@ -156,3 +158,41 @@ def test_study_phases_run_end_to_end(spark):
     mined = phases.cluster_and_mine(phases.with_features(out["clean"]), "trip_id", ["delay_minutes", "stop_sequence"], ["time_of_day", "arrival_status"], CONFIG)
     assert mined["kmeans_curve"].filter("best").count() == 1
     assert mined["k_distance"].count() == out["clean"].count()
+
+
+MODEL_QUERIES = {
+    "tree_grid": (builtin, "decision_tree"), "cv_results": (builtin, "decision_tree"), "logistic_grid": (builtin, "logistic"),
+    "mlp_grid": (builtin, "neural_network"), "forest_grid": (builtin, "random_forest"), "bagging_grid": (composed, "bagging"),
+    "boosting_grid": (composed, "boosting"), "stacking_grid": (composed, "stacking"), "svm_grid": (composed, "svm"),
+}
+
+
+@pytest.mark.parametrize("name", MODEL_QUERIES)
+def test_model_queries_run_the_full_grids(monkeypatch, name):
+    class Called(Exception):
+        pass
+
+    def called(*args, **params):
+        raise Called(args[1:], params)
+
+    monkeypatch.setattr(learning, "_frame", lambda spark, folder: None)
+    monkeypatch.setattr(*MODEL_QUERIES[name], called)
+    with pytest.raises(Called) as found:
+        QUERIES[name](None, "")
+    assert found.value.args == ((), {})
+
+
+def test_study_queries_run_the_full_settings(monkeypatch):
+    for name in ("GRIDS", "CONFIG"):
+        assert not hasattr(learning, name)
+    assert list(phases.StudyConfig().ks) == list(range(2, 21)) and phases.StudyConfig().restarts == 10
+    seen = []
+    monkeypatch.setattr(learning, "labelled", lambda spark, folder: None)
+    monkeypatch.setattr(learning, "trips", lambda spark, folder: None)
+    monkeypatch.setattr(phases, "compare_classifiers", lambda *a, **b: seen.append((len(a), b)) or 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        QUERIES["compare_classifiers"](None, "")
+    monkeypatch.setattr(phases, "cluster_and_mine", lambda *a, **b: seen.append((len(a), b)) or 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        QUERIES["cluster_and_mine"](None, "")
+    assert seen == [(4, {}), (4, {})]
