@@ -274,7 +274,8 @@ def _large_cells(placed: DataFrame, nodes: DataFrame, percent: int) -> DataFrame
 
 
 def jaccard_groups(docs: DataFrame, length: int = 5, percent: int = 80) -> DataFrame:
-    """One row per document of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, row_name.
+    """One row per document of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, row_name, and
+    first_name, the name of the one row that stands for the component: of its smallest doc_id, null only if all are.
 
     Two documents link if their sets of ``length``-word shingles have a Jaccard similarity of ``percent``
     hundredths or more; every link counts, and a component takes its smallest doc_id.
@@ -350,12 +351,15 @@ def jaccard_groups(docs: DataFrame, length: int = 5, percent: int = 80) -> DataF
     placed_rows = scratch.keep(
         filled.select("doc_id", "name", "n", "digest").join(final, ["n", "digest"]).select("doc_id", "name", "n", "component"), "rows"
     )
-    names = placed_rows.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    names = placed_rows.groupBy("component").agg(
+        F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "name")).getField("name").alias("first_name")
+    )
     named = placed_rows.join(names, "component").select(
-        "doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("name").alias("row_name")
+        "doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("name").alias("row_name"), "first_name"
     )
     empty = points.filter("n = 0").select(
-        "doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("name").alias("row_name")
+        "doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("name").alias("row_name"),
+        F.col("name").alias("first_name"),
     )
     scratch.drop(keyed, cells, placed, near, edges, rest, more)
     return named.unionByName(empty)

@@ -36,7 +36,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 @query
 def op1_ngram_jaccard(spark, folder):
-    return jaccard_groups(table(spark, folder, "documents"), length=4, percent=85)
+    return jaccard_groups(table(spark, folder, "documents"), length=4, percent=85).drop("first_name")
 
 
 @query

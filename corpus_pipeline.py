@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colonnade.llm.bpe import encode_documents, read_ranks
@@ -24,23 +24,33 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_languages(docs, fit_languages(docs.filter(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang")))
 
 
+def one_row_each(docs: DataFrame, digest: Column) -> DataFrame:
+    """One row, the smallest, of those that share the id and ``digest``; only repeated rows are gathered."""
+    keyed = docs.withColumn("_key", F.struct(F.col("doc_id").alias("id"), digest.alias("digest")))
+    scratch = Scratch(docs.sparkSession, "repeats")
+    repeated = scratch.keep(keyed.groupBy("_key").count().filter("count > 1").select(F.col("_key").alias("_again")), "repeats")
+    again = scratch.small(repeated)
+    same = F.col("_key.id").eqNullSafe(F.col("_again.id")) & (F.col("_key.digest") == F.col("_again.digest"))
+    row = F.min(F.struct(*(F.col(f"`{c}`") for c in docs.columns))).alias("_row")
+    single = keyed.join(again, same, "left_anti").select(docs.columns)
+    return single.unionByName(keyed.join(again, same, "left_semi").groupBy("_key").agg(row).select("_row.*"))
+
+
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts: the one with the largest id."""
+    """One row of each group of equal texts: one with the largest id."""
     gone = exact_groups(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.sha2(lower_ascii(F.col("text")), 256) == F.col("_sha"))
-    return docs.join(gone, same, "left_anti")
+    return one_row_each(docs.join(gone, same, "left_anti"), F.sha2(lower_ascii(F.col("text")), 256))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that n-gram links connect: the one with the smallest id."""
+    """One row of each group that n-gram links connect: one with the smallest id."""
     ship_package(spark)
     groups = jaccard_groups(docs, SHINGLE_WORDS, SIMILARITY)
-    gone = (
-        groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id")))
-        .select(F.col("doc_id").alias("_id"), F.col("row_name").alias("_name")).distinct()
-    )
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (row_name(F.col("doc_id"), F.col("text")) == F.col("_name"))
-    return docs.join(gone, same, "left_anti")
+    gone = groups.filter("row_name <> first_name").select(F.col("doc_id").alias("_id"), F.col("row_name").alias("_name")).distinct()
+    name = row_name(F.col("doc_id"), F.col("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (name == F.col("_name"))
+    return one_row_each(docs.join(gone, same, "left_anti"), name)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -352,6 +353,20 @@ def test_pipeline_matches_brute_force(spark, tmp_path):
     assert sorted((r.doc_id, r.ids_sha256) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == sorted((r.doc_id, r.ids_sha256) for r in out)
 
 
+def test_pipeline_keeps_one_row_of_each_group(spark):
+    near = prose(30_000, 80)
+    rows = [(1, prose(30_001, 80), "a")] * 50 + [(None, prose(30_002, 80), "a"), (None, prose(30_002, 80).upper(), "b")]
+    rows += [(None, near, "a"), (None, near + " end", "a"), (5, prose(30_003, 80), "a"), (5, prose(30_003, 80) + " end", "a")]
+    rows += [(None, "few words", "a"), (9, None, "a"), (9, None, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    near_only = corpus_pipeline.near_copies(spark, docs, "")
+    assert Counter(r.doc_id for r in near_only.collect()) == {1: 1, None: 3, 5: 1, 9: 1}
+    both = corpus_pipeline.near_copies(spark, Scratch(spark, "once").keep(corpus_pipeline.exact_copies(spark, docs, ""), "exact"), "")
+    exact = Counter(r.doc_id for r in corpus_pipeline.exact_copies(spark, docs, "").collect())
+    assert exact == {1: 1, None: 4, 5: 2, 9: 1}
+    assert both.columns == docs.columns and Counter(r.doc_id for r in both.collect()) == {1: 1, None: 3, 5: 1, 9: 1}
+
+
 def test_pipeline_takes_edge_rows(spark):
     for docs in (documents(spark), no_documents(spark)):
         for _, stage in corpus_pipeline.STAGES:
