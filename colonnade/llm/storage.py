@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -57,12 +56,10 @@ class Scratch:
         return F.broadcast(df) if self.bytes_of(df) <= BROADCAST_BYTES else df
 
     def drop(self, *frames: DataFrame) -> None:
-        """Delete spent tables and let Spark clean the shuffle files of jobs that are over."""
+        """Delete spent tables."""
         for df in frames:
             fs, target = _folder(self.spark, df._scratch)
             fs.delete(target, True)
-        gc.collect()
-        self.spark._jvm.System.gc()
 
 
 def text_batches(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[tuple[int, pa.RecordBatch]]:
