@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from colonnade.catalogue.registry import LABELLED, labelled, query, stops, trips
 from colonnade.catalogue.summaries import split_sql
 from colonnade.functions import derive
-from colonnade.models import builtin, composed, direct
+from colonnade.models import builtin, composed, direct, ensembles
 from colonnade.models.frame import make_frame, probability_scores
 from colonnade.operators.evaluate import metric_table
 from colonnade.plans import phases
@@ -31,14 +31,14 @@ def _register(name, run):
     query(name)(fn)
 
 
-_register("tree_grid", lambda f: builtin.decision_tree(f))
+_register("tree_grid", lambda f: ensembles.decision_tree(f))
 _register("tree_pruned", lambda f: direct.pruned_tree(f)[0])
 _register("logistic_grid", lambda f: builtin.logistic(f))
 _register("knn_grid", lambda f: direct.nearest_neighbors(f))
 _register("mlp_grid", lambda f: builtin.neural_network(f))
-_register("forest_grid", lambda f: builtin.random_forest(f))
-_register("bagging_grid", lambda f: composed.bagging(f))
-_register("boosting_grid", lambda f: composed.boosting(f))
+_register("forest_grid", lambda f: ensembles.random_forest(f))
+_register("bagging_grid", lambda f: ensembles.bagging(f))
+_register("boosting_grid", lambda f: ensembles.boosting(f))
 _register("stacking_grid", lambda f: composed.stacking(f))
 _register("svm_grid", lambda f: composed.svm(f))
 
@@ -66,7 +66,7 @@ def nb_search(spark, folder):
 
 @query("cv_results")
 def cv_results(spark, folder):
-    return builtin.decision_tree(_frame(spark, folder)).cv
+    return ensembles.decision_tree(_frame(spark, folder)).cv
 
 
 @query("pruning_path")
@@ -83,13 +83,14 @@ def binary_logistic(spark, folder):
 
 @query("rf_importance")
 def rf_importance(spark, folder):
-    rows = labelled(spark, folder).withColumn("code", derive.recode("arrival_status", derive.STATUS_CODES, F.lit(0)))
-    return builtin.regression_importance(rows, "code", COLUMNS)
+    rows = labelled(spark, folder).withColumnRenamed("stop_id", "id").withColumn(
+        "code", derive.recode("arrival_status", derive.STATUS_CODES, F.lit(0)))
+    return ensembles.regression_importance(rows, "code", COLUMNS)
 
 
 @query("rf_classifier_importance")
 def rf_classifier_importance(spark, folder):
-    return builtin.classification_importance(_frame(spark, folder))
+    return ensembles.classification_importance(_frame(spark, folder))
 
 
 @query("selector_scores")

@@ -1,4 +1,4 @@
-"""Classifiers that map directly onto MLlib estimators, and feature importances."""
+"""Classifiers that map directly onto MLlib estimators, and the accuracy of a subset of features."""
 
 from __future__ import annotations
 
@@ -7,26 +7,18 @@ from collections.abc import Mapping, Sequence
 from pyspark.ml.classification import (
     LogisticRegression,
     MultilayerPerceptronClassifier,
-    RandomForestClassifier,
 )
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from colonnade.models.ensembles import fit_forest
 from colonnade.models.frame import ClassFrame, ModelResult, Scorer, assembled, predicted, search
 from colonnade.operators.evaluate import auc, binary_metrics
 from colonnade.operators.sampling import SEED
 
-DEEPEST = 30  # stands for an unlimited depth
-
-# Default search grids. "Smallest split" has no counterpart and is covered by leaf sizes.
-TREE_GRID = {
-    "impurity": ["gini", "entropy"], "max_depth": [DEEPEST, 10, 20], "min_rows": [1, 5, 10],
-    "feature_subset": ["all", "sqrt", "log2"],
-}
+# Default search grids.
 LOGISTIC_GRID = {"c": [0.01, 0.1, 1.0, 10.0, 100.0, None], "max_iter": [500, 1000, 2000, 3000]}
-FOREST_GRID = {"trees": [50, 100, 200], "max_depth": [10, 20, DEEPEST], "min_rows": [1, 2, 4]}
 NETWORK_GRID = {"hidden": [50, 100, 150], "max_iter": [100, 500]}
 
 
@@ -51,18 +43,6 @@ def _fit(estimator, train: DataFrame, frame: ClassFrame) -> Scorer:
     return ml_scorer(estimator.fit(assembled(train, frame.columns, "_f")), frame.columns, len(frame.classes))
 
 
-def fit_tree(train, frame, impurity="gini", max_depth=DEEPEST, min_rows=1, feature_subset="all") -> Scorer:
-    """A forest of one tree without resampling: the only single tree with a feature subset per split."""
-    return _fit(RandomForestClassifier(
-        numTrees=1, bootstrap=False, impurity=impurity, maxDepth=max_depth, minInstancesPerNode=min_rows,
-        featureSubsetStrategy=feature_subset, seed=SEED), train, frame)
-
-
-def fit_forest(train, frame, trees=100, max_depth=DEEPEST, min_rows=1) -> Scorer:
-    return _fit(RandomForestClassifier(
-        numTrees=trees, maxDepth=max_depth, minInstancesPerNode=min_rows, seed=SEED), train, frame)
-
-
 def ridge(c: float | None, n: int) -> float:
     """The penalty weight 1/(C n) of a mean loss that equals penalty C on a summed loss."""
     return 0.0 if c is None else 1.0 / (c * max(n, 1))
@@ -79,14 +59,6 @@ def fit_network(train, frame, hidden=100, max_iter=100) -> Scorer:
     return _fit(MultilayerPerceptronClassifier(layers=layers, maxIter=max_iter, seed=SEED), train, frame)
 
 
-def decision_tree(frame: ClassFrame, grid: Mapping = TREE_GRID, parallelism: int = 2) -> ModelResult:
-    return search(frame, "decision tree", fit_tree, grid, parallelism)
-
-
-def random_forest(frame: ClassFrame, grid: Mapping = FOREST_GRID, parallelism: int = 2) -> ModelResult:
-    return search(frame.scaled(), "random forest", fit_forest, grid, parallelism)
-
-
 def logistic(frame: ClassFrame, grid: Mapping = LOGISTIC_GRID, parallelism: int = 2) -> ModelResult:
     return search(frame.scaled(), "logistic regression", fit_logistic, grid, parallelism)
 
@@ -117,26 +89,6 @@ def binary_logistic(frame: ClassFrame, positive: str, max_iter: int = 100) -> Da
     )
 
 
-def _importance_table(spark: SparkSession, columns: Sequence[str], weights, threshold: float) -> DataFrame:
-    order = sorted(range(len(columns)), key=lambda i: (-float(weights[i]), i))
-    rows = [(columns[i], float(weights[i]), r + 1, bool(weights[i] > threshold)) for r, i in enumerate(order)]
-    return spark.createDataFrame(rows, "feature string, importance double, rank int, selected boolean")
-
-
-def regression_importance(df: DataFrame, target: str, columns: Sequence[str], trees: int = 100, max_depth: int = DEEPEST, threshold: float = 0.01) -> DataFrame:
-    """Importance of each feature in a forest that regresses the ordinal class code."""
-    rows = assembled(df.select(*columns, F.col(target).cast("double").alias("y")), columns)
-    model = RandomForestRegressor(
-        numTrees=trees, maxDepth=max_depth, featureSubsetStrategy="all", labelCol="y", seed=SEED).fit(rows)
-    return _importance_table(df.sparkSession, list(columns), model.featureImportances.toArray(), threshold)
-
-
-def classification_importance(frame: ClassFrame, trees: int = 100, max_depth: int = DEEPEST, threshold: float = 0.01) -> DataFrame:
-    rows = assembled(frame.train, frame.columns)
-    model = RandomForestClassifier(numTrees=trees, maxDepth=max_depth, labelCol="y", seed=SEED).fit(rows)
-    return _importance_table(frame.data.sparkSession, frame.columns, model.featureImportances.toArray(), threshold)
-
-
 def subset_accuracy(frame: ClassFrame, columns: Sequence[str], kind: str = "forest", **params) -> float:
     """Test accuracy of a forest or a logistic model on a subset of the features."""
     part = ClassFrame(frame.data, frame.classes, list(columns), frame.folds)

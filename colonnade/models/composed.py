@@ -1,34 +1,29 @@
-"""Classifiers composed from several MLlib fits: one-vs-rest boosting and SVM, bagging, stacking."""
+"""Classifiers composed from several fits: one-vs-rest SVM and stacking."""
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression
+from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.feature import PolynomialExpansion
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colonnade.models.builtin import DEEPEST, fit_forest, ml_scorer, padded, ridge
+from colonnade.models.builtin import ml_scorer, ridge
+from colonnade.models.ensembles import fit_forest
 from colonnade.models.frame import (
     ClassFrame, ModelResult, Scorer, assembled, cross_validate, cv_table, predicted, result, search, settings, together,
 )
-from colonnade.operators.sampling import SEED, unit_draw
+from colonnade.operators.sampling import SEED
 from colonnade.session import cut_lineage
 
-# Default search grids.
-BOOSTING_GRID = {"rounds": [50, 100, 200], "rate": [0.01, 0.1, 0.2], "max_depth": [3, 5, 10], "min_rows": [1, 2, 4]}
-BAGGING_GRID = {
-    "estimators": [10, 50, 100], "row_share": [0.5, 0.75, 1.0], "column_share": [0.5, 0.75, 1.0],
-    "max_depth": [5, 10, DEEPEST],
-}
 # Most steps of the linear machine, which ends by its tolerance well before.
 SVM_STEPS = 1000
+# Default search grids.
 SVM_GRID = {"kernel": ["rbf", "linear", "poly"], "degree": [2], "tol": [1e-3, 1e-2]}
 STACKING_GRID = {"c": [0.1, 1.0, 10.0]}
 FOURIER_FEATURES = 128
@@ -59,70 +54,6 @@ def _normalised(values: Column, k: int) -> Column:
     return F.when(total > 0, F.transform(values, lambda v: v / total)).otherwise(F.array_repeat(F.lit(1.0 / k), k))
 
 
-def fit_boosting(train, frame, rounds=100, rate=0.1, max_depth=3, min_rows=1) -> Scorer:
-    """Boosted trees are binary in MLlib: one model per class, margins turned into shares."""
-    make = lambda: GBTClassifier(
-        labelCol="_b", featuresCol="_f", maxIter=rounds, stepSize=rate, maxDepth=max_depth, minInstancesPerNode=min_rows, seed=SEED)
-    k = len(frame.classes)
-    models = _one_vs_rest(assembled(train, frame.columns, "_f"), k, make)
-
-    def score(df: DataFrame) -> DataFrame:
-        out = _with_margins(assembled(df, frame.columns, "_f"), models)
-        each = F.transform("margin", lambda m: F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-2.0) * m)))
-        return out.select(*df.columns, _normalised(each, k).alias("probability"), F.col("margin").alias("score"))
-
-    return score
-
-
-def boosting(frame: ClassFrame, grid: Mapping = BOOSTING_GRID, parallelism: int = 2) -> ModelResult:
-    return search(frame.scaled(), "boosting", fit_boosting, grid, parallelism)
-
-
-def _poisson_weight(u: Column, mean: float) -> Column:
-    """How often a row is drawn when ``mean`` times n rows are drawn with replacement."""
-    bounds, term, total = [], math.exp(-mean), 0.0
-    for j in range(1, 13):
-        total += term
-        bounds.append(total)
-        term *= mean / j
-    weight = F.lit(0.0)
-    for b in bounds:
-        weight = weight + (u >= F.lit(b)).cast("double")
-    return weight
-
-
-def fit_bagging(train, frame, estimators=10, row_share=1.0, column_share=1.0, max_depth=10) -> Scorer:
-    """Trees on repeatable row weights and a fixed feature subset each; probabilities are averaged."""
-    k, width = len(frame.classes), max(1, int(column_share * len(frame.columns)))
-
-    def member(e: int) -> tuple:
-        key = lambda c: hashlib.md5(f"{c}:{e}:{SEED}".encode()).hexdigest()
-        columns = sorted(sorted(frame.columns, key=key)[:width], key=frame.columns.index)
-        weight = _poisson_weight(unit_draw(F.col("id"), "bag", str(e), str(SEED)), row_share)
-        rows = assembled(train, columns, "_f").withColumn("_w", weight).filter("_w > 0")
-        tree = DecisionTreeClassifier(labelCol="y", featuresCol="_f", weightCol="_w", maxDepth=max_depth, seed=SEED)
-        return tree.fit(rows), columns
-
-    members = together(member, range(estimators))
-
-    def score(df: DataFrame) -> DataFrame:
-        out, kept = df, list(df.columns)
-        for e, (model, columns) in enumerate(members):
-            model = model.setFeaturesCol("_f").setProbabilityCol(f"_p{e}").setRawPredictionCol("").setPredictionCol("")
-            out = model.transform(assembled(out, columns, "_f")).drop("_f")
-        sums = [
-            sum((padded(f"_p{e}", k)[i] for e in range(1, len(members))), padded("_p0", k)[i]) / F.lit(float(len(members)))
-            for i in range(k)
-        ]
-        return out.select(*kept, F.array(*sums).alias("probability"))
-
-    return score
-
-
-def bagging(frame: ClassFrame, grid: Mapping = BAGGING_GRID, parallelism: int = 2) -> ModelResult:
-    return search(frame.scaled(), "bagging", fit_bagging, grid, parallelism)
-
-
 def _fourier(p: int, n: int = FOURIER_FEATURES):
     """Random cosine features whose inner product approximates the Gaussian kernel with gamma = 1/p."""
     rng = np.random.default_rng(SEED)

@@ -11,7 +11,7 @@ from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colonnade.models.builtin import DEEPEST
+from colonnade.models.ensembles import DEEPEST
 from colonnade.models.frame import ClassFrame, ModelResult, assembled, cv_table, first_largest, result
 from colonnade.operators.neighbors import feature_array, knn_classify, knn_cv
 from colonnade.operators.sampling import SEED

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colonnade.functions import derive
-from colonnade.models import builtin, composed, direct
+from colonnade.models import builtin, composed, direct, ensembles
 from colonnade.models.frame import ClassFrame, ModelResult, make_frame, predicted, probability_scores
 from colonnade.operators import aggregate, moments
 from colonnade.operators.cluster import kmeans_sweep
@@ -36,7 +36,7 @@ class StudyConfig:
     vif_bound: float = 10.0
     importance_bound: float = 0.01
     trees: int = 100
-    max_depth: int = builtin.DEEPEST
+    max_depth: int = ensembles.DEEPEST
     balance_method: str = "oversample"
     folds: int = 5
     restarts: int = 10
@@ -114,7 +114,7 @@ def select_features(rows: DataFrame, cfg: StudyConfig, id_col: str = "trip_id")
     collinear = moments.vif(rows, numeric, cfg.vif_bound)
     removed = [r["feature"] for r in collinear.filter("decision = 'remove'").collect()]
     coded = frame.train.withColumn("code", derive.recode("label", derive.STATUS_CODES, F.lit(0)))
-    importance = builtin.regression_importance(coded, "code", numeric, cfg.trees, cfg.max_depth, cfg.importance_bound)
+    importance = ensembles.regression_importance(coded, "code", numeric, cfg.trees, cfg.max_depth, cfg.importance_bound)
     chosen = [r["feature"] for r in importance.filter("selected").orderBy("rank").collect()] or numeric[:1]
     pca = moments.pca(frame.train, numeric, ignore=dummies)
     svd = moments.svd(frame.train, [c for c in numeric if c not in removed], ignore=dummies)
@@ -177,15 +177,15 @@ def all_models(frame: ClassFrame, grids: Mapping[str, Mapping] | None = None, pa
     g = dict(grids or {})
     stack = g.get("stacking", {})
     return [
-        builtin.decision_tree(frame, g.get("decision_tree", builtin.TREE_GRID), parallelism),
+        ensembles.decision_tree(frame, g.get("decision_tree", ensembles.TREE_GRID)),
         direct.pruned_tree(frame, **g.get("pruned_tree", {}))[0],
         builtin.logistic(frame, g.get("logistic", builtin.LOGISTIC_GRID), parallelism),
         direct.nearest_neighbors(frame, g.get("nearest_neighbors", direct.KNN_GRID)),
         direct.naive_bayes(frame, g.get("naive_bayes", direct.SMOOTHING)),
         builtin.neural_network(frame, g.get("neural_network", builtin.NETWORK_GRID), parallelism),
-        builtin.random_forest(frame, g.get("random_forest", builtin.FOREST_GRID), parallelism),
-        composed.bagging(frame, g.get("bagging", composed.BAGGING_GRID), parallelism),
-        composed.boosting(frame, g.get("boosting", composed.BOOSTING_GRID), parallelism),
+        ensembles.random_forest(frame, g.get("random_forest", ensembles.FOREST_GRID)),
+        ensembles.bagging(frame, g.get("bagging", ensembles.BAGGING_GRID)),
+        ensembles.boosting(frame, g.get("boosting", ensembles.BOOSTING_GRID)),
         composed.stacking(frame, stack.get("grid", composed.STACKING_GRID), stack.get("forest"), stack.get("machine"), parallelism),
         composed.svm(frame, g.get("svm", composed.SVM_GRID), parallelism),
     ]

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 # A side is broadcast only if its files were written and found at or below this many bytes.
 BROADCAST_BYTES = 16 << 20
 
-# Rows of an Arrow batch on its way to a Python worker.
-BATCH_ROWS = 1000
+# Rows and bytes of an Arrow batch on its way to a Python worker.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def build_session(app: str = "colonnade", master: str | None = None, **conf: str) -> SparkSession:
@@ -39,10 +39,11 @@ def ship_package(spark: SparkSession) -> SparkSession:
     """Send this package to the Python workers of ``spark``, so that they need no copy of the repository.
 
     Sent once per application and content; Spark's own file server delivers the archive. Arrow batches left at
-    Spark's default row number are made smaller, since rows here can hold whole documents.
+    Spark's default size are made smaller, since rows here can hold whole documents or blocks of rows.
     """
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    for name, usual, own in (("maxRecordsPerBatch", "10000", BATCH_ROWS), ("maxBytesPerBatch", "67108864b", BATCH_BYTES)):
+        if spark.conf.get(f"spark.sql.execution.arrow.{name}") == usual:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", own)
     root = os.path.dirname(os.path.abspath(__file__))
     top = os.path.dirname(root)
     if not os.path.isdir(root):
@@ -86,15 +87,27 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def keep_table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` written to the shared folder and read back, and where it lies."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def remove_table(spark: SparkSession, paths: list[str]) -> None:
+    """Delete written tables that no later step reads."""
+    for path in paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     The written table survives lost executors and, unlike a checkpointed plan, brings its true size to
     the next join, so small results are broadcast and sizes do not multiply over loop rounds.
     """
-    path = scratch_path(df.sparkSession, "step")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return keep_table(df, "step")[0]
 
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:

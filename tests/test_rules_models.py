@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from colonnade.catalogue import learning
 from colonnade.catalogue.registry import QUERIES
-from colonnade.models import builtin, composed, direct
+from colonnade.models import builtin, composed, direct, ensembles
 from colonnade.models.frame import make_frame, probability_scores
 from colonnade.operators import evaluate, itemsets
 from colonnade.plans import phases
@@ -73,15 +73,15 @@ def frame(spark):
 
 
 RUNS = {
-    "tree": (lambda f: builtin.decision_tree(f, {"max_depth": [2, 8]}), 0.85),
+    "tree": (lambda f: ensembles.decision_tree(f, {"max_depth": [2, 8]}), 0.85),
     "pruned": (lambda f: direct.pruned_tree(f, 8)[0], 0.8),
     "logistic": (lambda f: builtin.logistic(f, {"c": [10.0], "max_iter": [50]}), 0.9),
     "knn": (lambda f: direct.nearest_neighbors(f, {"k": [3, 7], "weights": ["distance"], "p": [1, 2]}), 0.75),
     "bayes": (lambda f: direct.naive_bayes(f), 0.8),
     "network": (lambda f: builtin.neural_network(f, {"hidden": [6], "max_iter": [60]}), 0.8),
-    "forest": (lambda f: builtin.random_forest(f, {"trees": [15], "max_depth": [6]}), 0.85),
-    "bagging": (lambda f: composed.bagging(f, {"estimators": [5], "column_share": [1.0], "max_depth": [6]}), 0.8),
-    "boosting": (lambda f: composed.boosting(f, {"rounds": [5], "rate": [0.2], "max_depth": [4]}), 0.8),
+    "forest": (lambda f: ensembles.random_forest(f, {"trees": [15], "max_depth": [6]}), 0.85),
+    "bagging": (lambda f: ensembles.bagging(f, {"estimators": [5], "column_share": [1.0], "max_depth": [6]}), 0.8),
+    "boosting": (lambda f: ensembles.boosting(f, {"rounds": [5], "rate": [0.2], "max_depth": [4]}), 0.8),
     "svm": (lambda f: composed.svm(f, {"kernel": ["poly"], "max_iter": [15]}), 0.7),
     "stacking": (lambda f: composed.stacking(f, {"c": [1.0]}, {"trees": 5, "max_depth": 6}, {"kernel": "linear", "max_iter": 10}), 0.8),
 }
@@ -119,7 +119,7 @@ def test_naive_bayes_equals_numpy(frame):
 
 
 def test_importance_and_subsets(frame):
-    table = builtin.classification_importance(frame, trees=10, max_depth=5).orderBy("rank").collect()
+    table = ensembles.classification_importance(frame, trees=10, max_depth=5).orderBy("rank").collect()
     assert {table[0].feature, table[1].feature} == {"a", "b"}
     good = builtin.subset_accuracy(frame, ["a", "b"], trees=10, max_depth=6)
     assert good > builtin.subset_accuracy(frame, ["noise"], trees=10, max_depth=6)
@@ -161,9 +161,9 @@ def test_study_phases_run_end_to_end(spark):
 
 
 MODEL_QUERIES = {
-    "tree_grid": (builtin, "decision_tree"), "cv_results": (builtin, "decision_tree"), "logistic_grid": (builtin, "logistic"),
-    "mlp_grid": (builtin, "neural_network"), "forest_grid": (builtin, "random_forest"), "bagging_grid": (composed, "bagging"),
-    "boosting_grid": (composed, "boosting"), "stacking_grid": (composed, "stacking"), "svm_grid": (composed, "svm"),
+    "tree_grid": (ensembles, "decision_tree"), "cv_results": (ensembles, "decision_tree"), "logistic_grid": (builtin, "logistic"),
+    "mlp_grid": (builtin, "neural_network"), "forest_grid": (ensembles, "random_forest"), "bagging_grid": (ensembles, "bagging"),
+    "boosting_grid": (ensembles, "boosting"), "stacking_grid": (composed, "stacking"), "svm_grid": (composed, "svm"),
 }
 
 
