@@ -34,6 +34,9 @@ BOOSTING_GRID = {
 # Boosted models whose margins are kept and advanced together.
 MODELS_AT_ONCE = 512
 
+# Rows of a block that carries such margins: some megabytes.
+MARGIN_ROWS = 1 << 10
+
 
 def drawn_columns(subset: str, p: int) -> int:
     """Columns tried per node; 0 stands for all."""
@@ -64,14 +67,14 @@ def bagging_plans(p: int, fold: int = -2, estimators=10, row_share=1.0, column_s
 class Packed:
     """The rows of a frame as blocks of bins, and how many rows each fold leaves to learn from."""
 
-    def __init__(self, df: DataFrame, columns: Sequence[str], y="y", fold=None, ids: bool = False):
+    def __init__(self, df: DataFrame, columns: Sequence[str], y="y", fold=None, ids: bool = False, block_rows: int = T.BLOCK_ROWS):
         self.columns, self.p = list(columns), len(columns)
         self.spark = df.sparkSession
         learn = df if fold is None else df.filter(fold >= 0)
         self.edges = T.bin_edges(learn, columns)
         self.bins = 1 + max(map(len, self.edges), default=0)
         key = F.col("id") if "id" in df.columns else F.struct(*[F.col(c) for c in columns])
-        self.blocks = T.pack(df, columns, self.edges, F.col(y), key, fold, F.col("id") if ids else None)
+        self.blocks = T.pack(df, columns, self.edges, F.col(y), key, fold, F.col("id") if ids else None, block_rows)
         counts = learn.groupBy((F.lit(0) if fold is None else fold).alias("fold")).count().collect()  # folds
         self.rows = {r["fold"]: r["count"] for r in counts}
 
@@ -156,25 +159,40 @@ def bagging(frame: ClassFrame, grid: Mapping = BAGGING_GRID) -> ModelResult:
 class Boosting:
     """Multi-class boosting of many models in step.
 
-    Model m is a setting and the fold it leaves out. Every round grows one tree per model and class on the gradients of
-    the softmax loss, for all of them in the same passes, and moves the margins written beside the blocks. A row's
-    gradients follow from its margins, so no more state is kept, and margins after 50 or 100 rounds are what a fit of
-    that many rounds gives.
+    Model m is a setting and the fold it leaves out. Every round grows one tree per line of models and class on the
+    gradients of the softmax loss, for all of them in the same passes, and moves the margins written beside the
+    blocks. A row's gradients follow from its margins, so no more state is kept, and margins after 50 or 100 rounds
+    are what a fit of that many rounds gives.
+
+    Models that differ in smallest leaf and split only run as one line as long as the tree of the loosest obeys the
+    limits of all: it is then the best tree for each of them. The first tree that does not parts the line.
     """
 
     def __init__(self, rows: Packed, classes: int, models: Sequence[tuple[dict, int]]):
         self.rows, self.k, self.models = rows, classes, list(models)
-        self.shape = (len(self.models), classes)
-        self.plans = [
-            T.Plan(fold, m * classes + k, 0.0, None, 0, point.get("min_rows", 1), point.get("min_split", 2), point.get("max_depth", 3), m, k)
-            for m, (point, fold) in enumerate(self.models) for k in range(classes)
-        ]
-        self.rates = np.repeat([point.get("rate", 0.1) for point, _ in self.models], classes)
+        lines: dict[tuple, list[int]] = {}
+        for m, (point, fold) in enumerate(self.models):
+            lines.setdefault((point.get("rate", 0.1), point.get("max_depth", 3), fold), []).append(m)
+        self.lines = list(lines.values())
         self.tables: list[str] = []
 
+    @property
+    def shape(self) -> tuple[int, int]:
+        return len(self.lines), self.k
+
+    @property
+    def place(self) -> dict[int, int]:
+        """The line of each model."""
+        return {m: i for i, line in enumerate(self.lines) for m in line}
+
+    def limits(self, m: int) -> tuple[int, int]:
+        """Smallest leaf and smallest split, which is at least two leaves."""
+        point = self.models[m][0]
+        return point.get("min_rows", 1), max(point.get("min_split", 2), 2 * point.get("min_rows", 1))
+
     def start(self) -> DataFrame:
         """Margins are the logarithms of the class shares among the rows a model learns from."""
-        p, k, shape = self.rows.p, self.k, self.shape
+        p, k = self.rows.p, self.k
         counts = np.zeros((max(self.rows.rows, default=0) + 1, k))
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +204,8 @@ class Boosting:
 
         for row in self.rows.blocks.mapInArrow(count, "n binary").toLocalIterator():
             counts += np.frombuffer(row.n).reshape(counts.shape)
-        seen = np.stack([counts.sum(axis=0) - (counts[f] if 0 <= f < len(counts) else 0) for _, f in self.models])
+        folds = [self.models[line[0]][1] for line in self.lines]
+        seen = np.stack([counts.sum(axis=0) - (counts[f] if 0 <= f < len(counts) else 0) for f in folds])
         prior = np.log(np.maximum(seen, 1e-10) / np.maximum(seen.sum(axis=1, keepdims=True), 1)).astype(np.float32)
 
         def attach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,29 +236,67 @@ class Boosting:
 
         return of
 
+    def grow(self, state: DataFrame) -> list[tuple[T.Forest, list[tuple[int, list[int]]]]]:
+        """Trees of one round: (forest, its lines as (line before, models)), the k trees of a line one after another."""
+        waiting, out = list(enumerate(self.lines)), []
+        while waiting:
+            tried, waiting, plans = waiting, [], []
+            leaders = [min(models, key=self.limits) for _, models in tried]
+            for (line, _), m in zip(tried, leaders):
+                point, fold = self.models[m]
+                leaf, split = self.limits(m)
+                plans += [T.Plan(fold, 0, 0.0, None, 0, leaf, split, point.get("max_depth", 3), line, c) for c in range(self.k)]
+            forest = T.grow(
+                state, plans, "gradient", "variance", self.rows.p, self.rows.bins, expected=self.rows.expected, shape=self.shape,
+                gradients=self.gradients())
+            inner = np.flatnonzero(forest.feature >= 0)
+            count, owner = forest.stats[:, 0], (np.searchsorted(forest.root, inner, "right") - 1) // self.k
+            split = np.full(len(tried), np.inf)
+            leaf = np.full(len(tried), np.inf)
+            np.minimum.at(split, owner, count[inner])
+            np.minimum.at(leaf, owner, np.minimum(count[forest.left[inner]], count[forest.right[inner]]))
+            agreed = []
+            for i, ((line, models), leader) in enumerate(zip(tried, leaders)):
+                low = self.limits(leader)
+                fits = [m for m in models if low[0] <= self.limits(m)[0] <= max(leaf[i], low[0]) and low[1] <= self.limits(m)[1] <= max(split[i], low[1])]
+                agreed.append((line, fits))
+                rest = [m for m in models if m not in fits]
+                if rest:
+                    waiting.append((line, rest))
+            out.append((forest, agreed))
+        return out
+
     def round(self, state: DataFrame) -> tuple[DataFrame, T.Forest, np.ndarray]:
-        rows, k, shape = self.rows, self.k, self.shape
-        forest = T.grow(
-            state, self.plans, "gradient", "variance", rows.p, rows.bins, expected=rows.expected, shape=shape, gradients=self.gradients())
-        tree = np.searchsorted(forest.root, np.arange(len(forest.feature)), "right") - 1
-        g, h = forest.stats[:, 1], forest.stats[:, 2]
-        value = np.divide(g, h, out=np.zeros_like(g), where=h > 1e-150) * (k - 1) / k * self.rates[tree]
-        held = rows.spark.sparkContext.broadcast((forest, value))
-        p = rows.p
+        """Margins after one more tree per line and class; also the first forest and its leaf values."""
+        rows, k, shape, p = self.rows, self.k, self.shape, self.rows.p
+        grown = self.grow(state)
+        moves, self.lines, before = [], [], []
+        for forest, agreed in grown:
+            rates = np.repeat([self.models[models[0]][0].get("rate", 0.1) for _, models in agreed], k)
+            tree = np.searchsorted(forest.root, np.arange(len(forest.feature)), "right") - 1
+            g, h = forest.stats[:, 1], forest.stats[:, 2]
+            value = np.divide(g, h, out=np.zeros_like(g), where=h > 1e-150) * (k - 1) / k * rates[tree]
+            moves.append((forest, value))
+            self.lines += [models for _, models in agreed]
+            before += [line for line, _ in agreed]
+        held = rows.spark.sparkContext.broadcast((moves, before))
 
         def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            forest, value = held.value
+            moves, before = held.value
             for batch in batches:
                 for at in range(batch.num_rows):
                     one = batch.slice(at, 1)
                     block = next(T.blocks_of(iter([one]), p, shape))
-                    margins = block.margins.reshape(len(block.y), -1).copy()
-                    for low in range(0, margins.shape[1], 128):
-                        some = np.arange(low, min(low + 128, margins.shape[1]))
-                        margins[:, some] += value[forest.leaves(block.x, some)].astype(np.float32)
+                    margins = block.margins[:, before].reshape(len(block.y), -1)
+                    start = 0
+                    for forest, value in moves:
+                        for low in range(0, len(forest.root), 128):
+                            some = np.arange(low, min(low + 128, len(forest.root)))
+                            margins[:, start + some] += value[forest.leaves(block.x, some)].astype(np.float32)
+                        start += len(forest.root)
                     yield with_margins(one, margins)
 
-        return self.keep(state.mapInArrow(move, self.form)), forest, value
+        return self.keep(state.mapInArrow(move, self.form)), *moves[0]
 
     def run(self, stages: Sequence[int], at_stage: Callable[[int, DataFrame], None], seen: Callable | None = None) -> None:
         """Rounds up to the last of ``stages``; ``at_stage`` gets the margins at each. Spent margins are deleted."""
@@ -256,8 +313,8 @@ class Boosting:
                 at_stage(r, state)
 
     def hits(self, state: DataFrame) -> np.ndarray:
-        """Right guesses of each model on the fold it left out."""
-        p, shape, folds = self.rows.p, self.shape, np.asarray([f for _, f in self.models])
+        """Right guesses of each line on the fold it left out."""
+        p, shape, folds = self.rows.p, self.shape, np.asarray([self.models[line[0]][1] for line in self.lines])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros(len(folds), np.int64)
@@ -271,19 +328,19 @@ class Boosting:
             out += np.frombuffer(row.n, np.int64)
         return out
 
-    def probabilities(self, state: DataFrame, model: int, id_type: str) -> DataFrame:
-        """(id, probability) of one model."""
-        p, shape = self.rows.p, self.shape
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for at in range(batch.num_rows):
-                    one = batch.slice(at, 1)
-                    block = next(T.blocks_of(iter([one]), p, shape))
-                    shares = softmax(block.margins[:, model].astype(float))
-                    yield pa.RecordBatch.from_arrays([one.column("ids").flatten(), pa.array(list(shares), pa.list_(pa.float64()))], ["id", "probability"])
+def line_probabilities(state: DataFrame, p: int, shape: tuple[int, int], line: int, id_type: str) -> DataFrame:
+    """(id, probability) of one line of models from written margins."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                one = batch.slice(at, 1)
+                block = next(T.blocks_of(iter([one]), p, shape))
+                shares = softmax(block.margins[:, line].astype(float))
+                yield pa.RecordBatch.from_arrays([one.column("ids").flatten(), pa.array(list(shares), pa.list_(pa.float64()))], ["id", "probability"])
 
-        return state.mapInArrow(run, f"id {id_type}, probability array<double>")
+    return state.mapInArrow(run, f"id {id_type}, probability array<double>")
 
 
 def softmax(margins: np.ndarray) -> np.ndarray:
@@ -343,7 +400,7 @@ def boosting(frame: ClassFrame, grid: Mapping = BOOSTING_GRID) -> ModelResult:
     k = len(frame.classes)
     grid = {key: list(values) for key, values in grid.items()}
     stages = sorted(grid.get("rounds", [100]))
-    rows = Packed(frame.data, frame.columns, fold=F.when(F.col("split") == "train", F.col("fold")).otherwise(-1), ids=True)
+    rows = Packed(frame.data, frame.columns, fold=F.when(F.col("split") == "train", F.col("fold")).otherwise(-1), ids=True, block_rows=MARGIN_ROWS)
     points: dict[tuple, dict] = {}
     for point in settings({key: v for key, v in grid.items() if key != "rounds"}):
         points.setdefault(same_trees(point), point)
@@ -357,17 +414,18 @@ def boosting(frame: ClassFrame, grid: Mapping = BOOSTING_GRID) -> ModelResult:
         run = Boosting(rows, k, models)
 
         def at_stage(r, state, run=run, some=some):
-            got = run.hits(state).reshape(len(some), len(frames))
+            got, place, shape = run.hits(state), run.place, run.shape
             for i, name in enumerate(some):
-                share = sum(got[i, f] / max(rows.rows.get(f, 0), 1) for f in range(frame.folds)) / frame.folds
+                lines = [place[i * len(frames) + f] for f in range(len(frames))]
+                share = sum(got[lines[f]] / max(rows.rows.get(f, 0), 1) for f in range(frame.folds)) / frame.folds
                 accuracy[name, r] = float(share)
-                kept[name, r] = (run, state, i * len(frames) + frame.folds)
+                kept[name, r] = (state, shape, lines[-1])
 
         run.run(stages, at_stage)
     scores = [(point, accuracy[same_trees(point), point.get("rounds", stages[-1])]) for point in settings(grid)]
     table, best = cv_table(frame, "boosting", scores)
-    run, state, model = kept[same_trees(best), best.get("rounds", stages[-1])]
-    shares = run.probabilities(state, model, frame.data.schema["id"].dataType.simpleString())
+    state, shape, line = kept[same_trees(best), best.get("rounds", stages[-1])]
+    shares = line_probabilities(state, rows.p, shape, line, frame.data.schema["id"].dataType.simpleString())
     out = frame.data.select("id", "label", "split", "fold").join(shares, "id")
     return result(frame, "boosting", out.withColumn("prediction", first_largest(F.col("probability"), frame.classes)), best, table)
 

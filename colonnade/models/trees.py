@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from colonnade.session import cut_lineage
 
 BINS = 64  # most bins of a column, at most 256
-BLOCK_ROWS = 2048
+BLOCK_ROWS = 1 << 13
 LOCAL_ROWS = 1 << 13
 HISTOGRAM_BYTES = 64 << 20  # histograms a task holds in one pass
 BATCH_ROWS = 1 << 17  # rows of small nodes that are split together in a task
@@ -106,12 +106,16 @@ FORM = "x binary, y binary, fold binary, key binary"
 
 def pack(
     df: DataFrame, columns: Sequence[str], edges: Sequence[np.ndarray], y: Column, key: Column, fold: Column | None = None, ids: Column | None = None,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """``df`` as a written table of blocks; ``fold`` -1 marks rows no tree learns from, ``ids`` go along on request."""
     named = [] if ids is None else [ids.alias("id")]
     rows = df.select(
         F.xxhash64(key).alias("key"), y.cast("double").alias("y"), (F.lit(0) if fold is None else fold).cast("int").alias("fold"),
         *[F.col(c).cast("double").alias(f"c{j}") for j, c in enumerate(columns)], *named)
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() < tasks:
+        rows = rows.repartition(tasks)  # a small table in few files would leave cores idle in every later pass
     p, with_ids = len(columns), bool(named)
     form = FORM + (f", ids array<{rows.schema['id'].dataType.simpleString()}>" if with_ids else "")
 
@@ -129,9 +133,9 @@ def pack(
             return pa.RecordBatch.from_arrays(out, ["x", "y", "fold", "key", "ids"][: len(out)])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK_ROWS):
-                piece = batch.slice(at, BLOCK_ROWS)
-                if held and sum(b.num_rows for b in held) + piece.num_rows > BLOCK_ROWS:
+            for at in range(0, batch.num_rows, block_rows):
+                piece = batch.slice(at, block_rows)
+                if held and sum(b.num_rows for b in held) + piece.num_rows > block_rows:
                     yield block()
                     held.clear()
                 held.append(piece)
@@ -285,17 +289,20 @@ class Nodes:
         place = np.argsort(np.argsort(hashed, axis=1, kind="stable"), axis=1)
         return own & ((draw == 0)[:, None] | (place < draw[:, None]))
 
-    def gains(self, left: np.ndarray, total: np.ndarray, tree: np.ndarray) -> np.ndarray:
-        """What a cut with ``left`` sums gains; -inf if a side is too small."""
+    def gains(self, left: np.ndarray, total: np.ndarray, whole: np.ndarray, tree: np.ndarray) -> np.ndarray:
+        """What a cut with ``left`` sums gains over the score of the ``whole`` node; -inf if a side is too small."""
         right = total - left
         least = self.leaf[tree]
         ok = (counts_of(left, self.kind) >= least) & (counts_of(right, self.kind) >= least)
-        score = side_score(left, self.criterion) + side_score(right, self.criterion) - side_score(total, self.criterion)
+        score = side_score(left, self.criterion) + side_score(right, self.criterion) - whole
         # A gain that is rounding noise counts as none.
-        score = np.where(np.abs(score) <= 1e-9 * np.maximum(counts_of(total, self.kind), 1.0), 0.0, score)
+        noise = np.abs(score) <= 1e-9 * np.maximum(counts_of(total, self.kind), 1.0)
         if self.kind != "class":
-            ok &= score > 0
-        return np.where(ok, score, -np.inf)
+            ok &= (score > 0) & ~noise
+        else:
+            score[noise] = 0.0
+        score[~ok] = -np.inf
+        return score
 
 
 def child_paths(path: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -308,6 +315,7 @@ def split_dense(rule: Nodes, sums: np.ndarray, tree: np.ndarray, allowed: np.nda
     The first column and lowest cut of the best gain win.
     """
     total = sums[:, 0].sum(axis=1)
+    whole = side_score(total, rule.criterion)
     best = np.full(len(sums), -np.inf)
     column, cut = np.full(len(sums), -1), np.zeros(len(sums), np.int64)
     left = np.zeros_like(total)
@@ -315,7 +323,7 @@ def split_dense(rule: Nodes, sums: np.ndarray, tree: np.ndarray, allowed: np.nda
         run = np.cumsum(sums[:, j], axis=1)[:, :-1]
         if not run.shape[1]:
             continue
-        gain = rule.gains(run, np.broadcast_to(total[:, None], run.shape), tree[:, None])
+        gain = rule.gains(run, total[:, None], whole[:, None], tree[:, None])
         gain[~allowed[:, j]] = -np.inf
         at = np.argmax(gain, axis=1)
         value = gain[np.arange(len(gain)), at]
@@ -328,6 +336,7 @@ def split_dense(rule: Nodes, sums: np.ndarray, tree: np.ndarray, allowed: np.nda
 def split_sorted(rule: Nodes, x: np.ndarray, stats: np.ndarray, node: np.ndarray, total: np.ndarray, tree: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The same from rows with node numbers, by sorting on (node, bin): its cost does not grow with nodes times bins."""
     n = len(total)
+    whole = side_score(total, rule.criterion)
     best = np.full(n, -np.inf)
     column, cut = np.full(n, -1), np.zeros(n, np.int64)
     left = np.zeros_like(total)
@@ -347,7 +356,7 @@ def split_sorted(rule: Nodes, x: np.ndarray, stats: np.ndarray, node: np.ndarray
         size = np.diff(np.append(head, len(at)))
         before = np.repeat(np.concatenate([np.zeros((1, run.shape[1])), run[head[1:] - 1]]), size, axis=0)
         run -= before
-        gain = rule.gains(run, total[at], tree[at])
+        gain = rule.gains(run, total[at], whole[at], tree[at])
         top = np.maximum.reduceat(gain, head)
         first = np.minimum.reduceat(np.where(gain == np.repeat(top, size), np.arange(len(gain)), len(gain)), head)
         owner = at[head]
@@ -357,58 +366,84 @@ def split_sorted(rule: Nodes, x: np.ndarray, stats: np.ndarray, node: np.ndarray
     return column, cut, left
 
 
+def _sums(x: np.ndarray, stats: np.ndarray, node: np.ndarray, nodes: int, bins: int, used: int) -> np.ndarray:
+    """Sums of the first ``used`` stats per (node, column, bin)."""
+    out = np.empty((nodes, x.shape[1], bins, used))
+    base = node * bins
+    for j in range(x.shape[1]):
+        key = base + x[:, j]
+        for s in range(used):
+            out[:, j, :, s] = np.bincount(key, stats[:, s], nodes * bins).reshape(-1, bins)
+    return out
+
+
 def grow_here(rule: Nodes, bins: int, x: np.ndarray, stats: np.ndarray, group: np.ndarray, tree: np.ndarray, depth: np.ndarray, path: np.ndarray) -> dict:
     """Whole subtrees below the nodes ``group`` numbers rows by; ``tree``, ``depth`` and ``path`` describe each.
 
-    Returns node arrays with the start node first and ``group`` naming the subtree of each node.
+    Returns node arrays with the start nodes first and ``group`` naming the subtree of each node. Sums of two children
+    are read off the smaller one and their parent where the parent's are at hand; all sums are of whole numbers.
     """
-    n = len(tree)
-    width = stats.shape[1]
-    out = {"group": [np.arange(n)], "feature": [np.full(n, -1)], "cut": [np.zeros(n, np.int64)], "left": [np.full(n, -1)], "depth": [depth]}
+    n, width = len(tree), stats.shape[1]
+    used = width if rule.kind == "class" else 2  # the third sum decides no cut
+    pair = lambda a, b: np.stack([a, b], axis=1).reshape(-1, *a.shape[1:])
     total = np.stack([np.bincount(group, stats[:, s], n) for s in range(width)], axis=1)
-    out["stats"] = [total]
-    made, base = n, 0
-    owner, node = np.arange(n), group
+    levels = [{"group": np.arange(n), "depth": depth, "stats": total, "feature": np.full(n, -1), "cut": np.zeros(n, np.int64), "left": np.full(n, -1)}]
+    made = n
+    owner, node, parents = np.arange(n), group, None
     while True:
         go = rule.open(tree, depth, total)
         if not go.any():
             break
-        name = np.cumsum(go) - 1
-        rows = go[node]
-        x, stats, node = x[rows], stats[rows], name[node[rows]]
-        tree, depth, path, total, owner, number = tree[go], depth[go], path[go], total[go], owner[go], base + np.flatnonzero(go)
+        sums = None
+        if go.sum() * bins <= 4 * len(node):
+            if parents is None:
+                name = np.cumsum(go) - 1
+                rows = go[node]
+                sums = _sums(x[rows], stats[rows], name[node[rows]], int(go.sum()), bins, used)
+            else:
+                size = np.bincount(node, minlength=len(tree)).reshape(-1, 2)
+                live = np.flatnonzero(go.reshape(-1, 2).any(axis=1))
+                small = (size[live, 1] < size[live, 0]).astype(np.int64)
+                name = np.full(len(tree), -1)
+                name[2 * live + small] = np.arange(len(live))
+                rows = name[node] >= 0
+                own = _sums(x[rows], stats[rows], name[node[rows]], len(live), bins, used)
+                other = parents[live] - own
+                both = np.empty((2 * len(live), *own.shape[1:]))
+                both[2 * np.arange(len(live)) + small], both[2 * np.arange(len(live)) + 1 - small] = own, other
+                sums = both[go.reshape(-1, 2)[live].ravel()]
+        number = np.flatnonzero(go)
+        if not go.all():
+            rows = np.flatnonzero(go[node])
+            x, stats, node = x.take(rows, 0), stats.take(rows, 0), (np.cumsum(go) - 1)[node.take(rows)]
+            tree, depth, path, total, owner = tree[go], depth[go], path[go], total[go], owner[go]
         allowed = rule.allowed(tree, path)
-        if len(tree) * bins <= 4 * len(node):
-            sums = np.empty((len(tree), x.shape[1], bins, width))
-            for j in range(x.shape[1]):
-                key = node * bins + x[:, j]
-                for s in range(width):
-                    sums[:, j, :, s] = np.bincount(key, stats[:, s], len(tree) * bins).reshape(-1, bins)
+        if sums is not None:
             column, cut, left = split_dense(rule, sums, tree, allowed)
         else:
-            column, cut, left = split_sorted(rule, x, stats, node, total, tree, allowed)
+            column, cut, left = split_sorted(rule, x, stats[:, :used], node, total[:, :used], tree, allowed)
         done = column >= 0
         if not done.any():
             break
-        flat = np.cumsum(done) - 1
+        parents = sums[done] if sums is not None else None
+        last = levels[-1]
         at = number[done]
-        level = [np.concatenate(out[k]) if len(out[k]) > 1 else out[k][0] for k in ("feature", "cut", "left")]
-        for values, new in zip(level, (column[done], cut[done], made + 2 * np.arange(done.sum()))):
-            values[at] = new
-        out["feature"], out["cut"], out["left"] = ([v] for v in level)
-        rows = done[node]
-        x, stats, node = x[rows], stats[rows], node[rows]
-        side = x[np.arange(len(node)), column[node]] > cut[node]
-        node = 2 * flat[node] + side
+        last["feature"][at], last["cut"][at], last["left"][at] = column[done], cut[done], made + 2 * np.arange(done.sum())
+        if not done.all():
+            rows = np.flatnonzero(done[node])
+            x, stats, node = x.take(rows, 0), stats.take(rows, 0), node.take(rows)
+        side = x.ravel()[np.arange(0, x.size, x.shape[1]) + column[node]] > cut[node]
+        node = 2 * (np.cumsum(done) - 1)[node] + side
         low, high = child_paths(path[done])
-        pair = lambda a, b: np.stack([a, b], axis=1).reshape(-1, *a.shape[1:])
-        tree, depth, path = np.repeat(tree[done], 2), np.repeat(depth[done] + 1, 2), pair(low, high)
-        total, owner = pair(left[done], total[done] - left[done]), np.repeat(owner[done], 2)
-        base, made = made, made + len(tree)
-        for k, v in (("group", owner), ("feature", np.full(len(tree), -1)), ("cut", np.zeros(len(tree), np.int64)),
-                     ("left", np.full(len(tree), -1)), ("depth", depth), ("stats", total)):
-            out[k].append(v)
-    return {k: np.concatenate(v) for k, v in out.items()}
+        total = pair(left[done], total[done][:, :used] - left[done])
+        if used < width:
+            total = np.column_stack([total, *(np.bincount(node, stats[:, s], len(total)) for s in range(used, width))])
+        tree, depth, path, owner = np.repeat(tree[done], 2), np.repeat(depth[done] + 1, 2), pair(low, high), np.repeat(owner[done], 2)
+        made += len(tree)
+        levels.append({
+            "group": owner, "depth": depth, "stats": total, "feature": np.full(len(tree), -1), "cut": np.zeros(len(tree), np.int64),
+            "left": np.full(len(tree), -1)})
+    return {k: np.concatenate([level[k] for level in levels]) for k in SUBTREE}
 
 
 # --- growing -----------------------------------------------------------------------------------------------------

@@ -179,12 +179,16 @@ def plain_boosting(x, y, learn, k, rounds, rate, plan):
 def test_boosting_equals_plain_loops(packed, monkeypatch, local):
     monkeypatch.setattr(trees, "LOCAL_ROWS", local)
     rows = block_of(packed)
-    models = [({"rate": 0.3, "max_depth": 2, "min_rows": 3}, 0), ({"rate": 0.1, "max_depth": 3, "min_split": 20}, -2)]
-    run, got = ensembles.Boosting(packed, 3, models), {}
+    # The last four begin as one line and part, or not, as their trees demand.
+    models = [({"rate": 0.3, "max_depth": 2, "min_rows": 3}, 0)] + [
+        ({"rate": 0.2, "max_depth": 3, "min_split": split, "min_rows": leaf}, -2) for split, leaf in [(20, 1), (2, 1), (2, 15), (90, 1)]]
+    run, got, lines = ensembles.Boosting(packed, 3, models), {}, []
 
     def at_stage(r, state):
+        lines.append(len(run.lines))
         blocks = list(trees.blocks_of(state.toArrow().to_batches(), packed.p, run.shape))
-        got[r] = {int(k): m for b in blocks for k, m in zip(b.key, b.margins)}
+        place = [run.place[m] for m in range(len(models))]
+        got[r] = {int(k): m[place] for b in blocks for k, m in zip(b.key, b.margins)}
 
     run.run([1, 4], at_stage)
     for m, (point, fold) in enumerate(models):
@@ -193,6 +197,7 @@ def test_boosting_equals_plain_loops(packed, monkeypatch, local):
         for r in (1, 4):
             own = np.stack([got[r][int(k)][m] for k in rows.key])
             assert np.abs(own - want[r - 1]).max() < 2e-4
+    assert 2 < lines[-1] <= 5
 
 
 def test_boosting_search_and_scorer(frame):
