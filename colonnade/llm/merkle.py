@@ -35,8 +35,8 @@ def leaf_digest(fields: Sequence[Column]) -> Column:
     return F.unhex(F.sha2(F.concat(*[field_text(c) for c in fields]), 256))
 
 
-def _climb(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Nodes of a block in order (tree, level, at, width, digest) -> the block's inner nodes above them.
+def _climb(levels: int):
+    """Nodes of a block in order (tree, level, at, width, digest) -> the block's inner nodes on ``levels`` levels.
 
     Rows come sorted by tree and position, so a block is done when the next one begins. ``width`` is the number of
     nodes on the level in the whole tree, which says when the root is reached.
@@ -44,7 +44,7 @@ def _climb(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     columns = ("tree", "level", "at", "width", "digest", "left", "right")
 
     def inner(tree: int, level: int, at: int, width: int, nodes: list[bytes]) -> Iterator[tuple]:
-        for _ in range(LEVELS):
+        for _ in range(levels):
             if width <= 1:
                 return
             level, at, width = level + 1, at >> 1, (width + 1) >> 1
@@ -53,26 +53,29 @@ def _climb(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i, (node, (left, right)) in enumerate(zip(nodes, pairs)):
                 yield tree, level, at + i, width, node, left, right
 
-    def blocks() -> Iterator[tuple]:
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         name, start, nodes = None, None, []
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in ("tree", "level", "at", "width", "digest"))):
                 tree, level, at, width, digest = row
-                if (tree, at >> LEVELS) != name:
+                if (tree, at >> levels) != name:
                     if nodes:
                         yield from inner(*start, nodes)
-                    name, start, nodes = (tree, at >> LEVELS), (tree, level, at, width), []
+                    name, start, nodes = (tree, at >> levels), (tree, level, at, width), []
                 nodes.append(digest)
         if nodes:
             yield from inner(*start, nodes)
 
-    found = []
-    for row in blocks():
-        found.append(row)
-        if len(found) == 4096:
-            yield _inner_batch(found, columns)
-            found = []
-    yield _inner_batch(found, columns)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = []
+        for row in blocks(batches):
+            found.append(row)
+            if len(found) == 4096:
+                yield _inner_batch(found, columns)
+                found = []
+        yield _inner_batch(found, columns)
+
+    return run
 
 
 def _inner_batch(rows: list[tuple], names: Sequence[str]) -> pa.RecordBatch:
@@ -92,7 +95,7 @@ def inner_nodes(scratch: Scratch, leaves: DataFrame, largest: int) -> DataFrame:
     while True:
         block = F.shiftright("at", LEVELS)
         dealt = step.repartition("tree", block).sortWithinPartitions("tree", "at")
-        parts.append(scratch.keep(dealt.mapInArrow(_climb, form), "nodes"))
+        parts.append(scratch.keep(dealt.mapInArrow(_climb(LEVELS), form), "nodes"))
         level, largest = level + LEVELS, -(-largest >> LEVELS)  # rounded up
         if largest <= 1:
             break

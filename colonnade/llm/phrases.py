@@ -87,51 +87,49 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [pa.array([lang.as_py()] * len(counts), pa.string()), words.values, pa.array(counts)], ["lang", "word", "n"])
 
 
-def _resolved(known):
-    """Fill in the numbers of the words that the broadcast part of the dictionary knows."""
+def _resolved(known, last: bool):
+    """Fill in the numbers of the words that the broadcast part of the dictionary knows.
+
+    After the last part, codes become numbers (0 for words that are not frequent) and runs of 0 shrink to one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = known.value
         for batch in batches:
-            for row in batch.to_pylist():
-                have = np.frombuffer(row["ids"], np.int32).copy() if row["ids"] else np.zeros(len(row["words"]) + 1, np.int32)
-                own = numbers.get(row["lang"], {})
-                got = np.fromiter((own.get(w, 0) for w in row["words"]), np.int32, len(row["words"]))
+            for k in range(batch.num_rows):
+                one = batch.slice(k, 1)
+                own = numbers.get(one.column("lang")[0].as_py(), {})
+                words = one.column("words")[0].values
+                got = np.fromiter((own.get(w, 0) for w in words.to_pylist()), np.int32, len(words))
+                have = one.column("ids")[0].as_buffer()
+                have = np.frombuffer(have, np.int32).copy() if have is not None else np.zeros(len(words) + 1, np.int32)
                 have[1:] = np.where(got > 0, got, have[1:])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["lang"]]), pa.array([row["words"]], pa.list_(pa.string())), pa.array([row["codes"]], pa.binary()),
-                     pa.array([have.tobytes()], pa.binary())], ["lang", "words", "codes", "ids"])
+                if not last:
+                    yield pa.RecordBatch.from_arrays([*one.columns[:-1], pa.array([have.tobytes()], pa.binary())], one.schema.names)
+                    continue
+                line = have[np.frombuffer(one.column("codes")[0].as_buffer(), np.int32)]
+                keep = line > 0
+                keep[1:] |= line[:-1] > 0
+                line = line[keep].tobytes()
+                if line:
+                    yield pa.RecordBatch.from_arrays([pa.array([line], pa.binary())] * 2, ["ids", "ranks"])
 
     return run
 
 
-def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Codes become the dictionary's numbers; runs of 0 shrink to one."""
-    for batch in batches:
-        for raw, ids in zip(batch.column("codes"), batch.column("ids")):
-            line = np.frombuffer(ids.as_buffer(), np.int32)[np.frombuffer(raw.as_buffer(), np.int32)]
-            keep = line > 0
-            keep[1:] |= line[:-1] > 0
-            line = line[keep]
-            if len(line):
-                yield pa.RecordBatch.from_arrays([pa.array([line.tobytes()], pa.binary())] * 2, ["ids", "ranks"])
-
-
 def _number_words(scratch: Scratch, coded: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Lines of word numbers (ids) for every coded row; ranks start as the numbers of one-word phrases."""
     spark = coded.sparkSession
-    size = lexicon.agg(F.sum(F.octet_length("word") + 16).alias("bytes"), F.max("id").alias("words")).first()
+    size = lexicon.agg(F.sum(F.octet_length("word") + 16).alias("bytes")).first()
     parts = max(1, -(-(size.bytes or 0) // LEXICON_BYTES))
     rows = coded.withColumn("ids", F.lit(None).cast("binary"))
     for part in range(parts):
         known: dict[str, dict[str, int]] = {}
         for r in lexicon.filter(F.pmod("id", F.lit(parts)) == part).toLocalIterator():
             known.setdefault(r.lang, {})[r.word] = r.id
-        held = spark.sparkContext.broadcast(known)
-        rows = rows.mapInArrow(_resolved(held), rows.schema)
-        if part + 1 < parts:
-            rows = scratch.keep(rows, "resolved")
-    return scratch.keep(rows.mapInArrow(_numbered, "ids binary, ranks binary"), "lines")
+        held, last = spark.sparkContext.broadcast(known), part + 1 == parts
+        rows = scratch.keep(rows.mapInArrow(_resolved(held, last), "ids binary, ranks binary" if last else rows.schema), "lines")
+    return rows
 
 
 def _lines(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -182,27 +180,20 @@ def _counted(trie):
     return run
 
 
-def _marked(trie, ranks_of):
-    """Ranks of the frequent phrases that start at each position; those of other tries stay."""
+def _marked(trie, ranks_of, fresh: bool):
+    """Ranks of the frequent phrases that start at each position; unless ``fresh``, those of earlier tries stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, ranks in _lines(batch):
                 found = trie.value.find(ids)
-                ranks = np.where(found >= 0, ranks_of.value[found], ranks)
+                ranks = np.where(found >= 0, ranks_of.value[found], 0 if fresh else ranks)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([ids.tobytes()], pa.binary()), pa.array([ranks.astype(np.int64).tobytes()], pa.binary())], ["ids", "ranks"])
 
     return run
 
 
-def _unmarked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for ids, _ in _lines(batch):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([ids.tobytes()], pa.binary()), pa.array([bytes(8 * len(ids))], pa.binary())], ["ids", "ranks"])
-
-
 def _shards(table: DataFrame, rank: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(word numbers, ranks) of at most TRIE_ROWS phrases at a time, sorted by their words."""
     last = table.agg(F.max(rank)).first()[0] or 0
@@ -244,13 +235,12 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
             proposed.join(level.select("lang", "words", F.col("rank").alias("head")), "head")
             .select("lang", F.concat("words", F.array("tail")).alias("words")), "proposed")
         candidates = scratch.keep(ranked(grown, [("words", True)], "rank"), "candidates")
-        found, tries = [], []
+        found = []
         for rows, ranks in _shards(candidates, "rank"):
             held = spark.sparkContext.broadcast(build(rows))
             names = spark.createDataFrame(pa.table({"row": np.arange(len(ranks)), "rank": ranks}))
             tally = lines.mapInArrow(_counted(held), "row bigint, n bigint").groupBy("row").agg(F.sum("n").alias("f"))
             found.append(scratch.keep(tally.filter(F.col("f") >= least).join(names, "row").select("rank", "f"), "found"))
-            tries.append((held, ranks))
         if not found:
             break
         total = found[0]
@@ -259,13 +249,13 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
         level = scratch.keep(candidates.join(total, "rank").select("lang", "words", "f", "rank"), f"phrases{length}")
         levels.append(level)
         if length < longest:
-            old = lines
-            lines = lines.mapInArrow(_unmarked, "ids binary, ranks binary")
-            for k, (rows, ranks) in enumerate(_shards(level, "rank")):
-                lines = lines.mapInArrow(
-                    _marked(spark.sparkContext.broadcast(build(rows)), spark.sparkContext.broadcast(ranks)), "ids binary, ranks binary")
-            lines = scratch.keep(lines, f"lines{length}")
-            scratch.drop(old)
+            fresh = True
+            for rows, ranks in _shards(level, "rank"):
+                mark = _marked(spark.sparkContext.broadcast(build(rows)), spark.sparkContext.broadcast(ranks), fresh)
+                old, lines, fresh = lines, scratch.keep(lines.mapInArrow(mark, "ids binary, ranks binary"), f"lines{length}"), False
+                scratch.drop(old)
+            if fresh:
+                break
     phrases = levels[0].drop("rank")
     for more in levels[1:]:
         phrases = phrases.unionByName(more.drop("rank"))
