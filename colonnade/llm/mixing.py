@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colonnade.llm.storage import Scratch
+from colonnade.llm.storage import Scratch, free_names
 
 # Weights of the sources in code point order, repeating, and the share of all words that the mix takes.
 SOURCE_WEIGHTS = (5, 2, 1)
@@ -170,28 +170,28 @@ def draw_mix(docs: DataFrame, weight: Column, seed: int = 17) -> DataFrame:
     weight = F.coalesce(weight.cast("double"), F.lit(1.0))
     facts = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), weight.alias("weight"))
     sized, plan = plan_mix(scratch, facts, seed)
-    # Temporary columns live in one struct, so that no column of the documents can clash with them.
     names = docs.columns
-    rows = docs.withColumn("_facts", F.struct(word_count(F.col("text")).alias("size"), sampling_key(F.col("doc_id"), weight, seed).alias("key")))
-    limits = scratch.small(plan).select(F.col("s").alias("_source"), F.struct("epochs", "cut", "part").alias("_plan"))
-    rows = rows.join(limits, F.col("source").eqNullSafe(F.col("_source")))
-    size = F.col("_facts.size")
-    here = F.struct(F.col("_facts.key").alias("key"), F.col("doc_id"), size.alias("size"))
-    part = _fraction(here, size, F.col("_plan.cut"), F.col("_plan.part")).cast("long")
+    facts_, source_, plan_, words_, text_ = free_names(docs, "_facts", "_source", "_plan", "_words", "_text")
+    rows = docs.withColumn(facts_, F.struct(word_count(F.col("text")).alias("size"), sampling_key(F.col("doc_id"), weight, seed).alias("key")))
+    limits = scratch.small(plan).select(F.col("s").alias(source_), F.struct("epochs", "cut", "part").alias(plan_))
+    rows = rows.join(limits, F.col("source").eqNullSafe(F.col(source_)))
+    size = F.col(f"{facts_}.size")
+    here = F.struct(F.col(f"{facts_}.key").alias("key"), F.col("doc_id"), size.alias("size"))
+    part = _fraction(here, size, F.col(f"{plan_}.cut"), F.col(f"{plan_}.part")).cast("long")
     copies = F.filter(
-        F.concat(F.array_repeat(size, F.col("_plan.epochs").cast("int")), F.array(part)), lambda words: words > 0
+        F.concat(F.array_repeat(size, F.col(f"{plan_}.epochs").cast("int")), F.array(part)), lambda words: words > 0
     )
-    drawn = rows.withColumn("_words", F.explode(copies))
-    whole = F.col("_words") >= size
+    drawn = rows.withColumn(words_, F.explode(copies))
+    whole = F.col(words_) >= size
     pieces = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
-    text = F.when(whole, F.col("text")).otherwise(F.array_join(F.slice(pieces, 1, F.col("_words").cast("int")), ""))
-    drawn = drawn.withColumn("_text", text)
+    text = F.when(whole, F.col("text")).otherwise(F.array_join(F.slice(pieces, 1, F.col(words_).cast("int")), ""))
+    drawn = drawn.withColumn(text_, text)
     columns = []
     for name in names:
         if name == "text":
-            columns.append(F.col("_text").alias("text"))
+            columns.append(F.col(text_).alias("text"))
         elif name == "n_chars":
-            columns.append(F.when(whole, F.col(name)).otherwise(F.length("_text")).alias(name))
+            columns.append(F.when(whole, F.col(name)).otherwise(F.length(text_)).alias(name))
         else:
             columns.append(F.col(f"`{name}`"))
     return drawn.select(columns)

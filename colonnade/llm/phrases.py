@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from colonnade.llm.storage import Scratch, text_batches
+from colonnade.llm.storage import Scratch, dense_counts, text_batches
 from colonnade.llm.trie import build
 from colonnade.operators.ordering import ranked
 
@@ -20,7 +21,7 @@ LEAST, LONGEST, TOP = 100, 5, 2000
 SLICE = 1 << 20
 
 # Words of one broadcast dictionary (bytes) and candidates of one trie: memory bounds, the result does not depend on them.
-LEXICON_BYTES, TRIE_ROWS = 16 << 20, 1 << 19
+LEXICON_BYTES, TRIE_ROWS, PROPOSALS = 16 << 20, 1 << 19, 1 << 21
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -74,8 +75,9 @@ def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 coded = words.dictionary_encode()
                 codes = np.zeros(len(words) + int(opens.sum()), np.int32)
                 codes[np.arange(len(words)) + np.cumsum(opens)] = np.asarray(coded.indices).astype(np.int32) + 1
+                names = coded.dictionary.cast(pa.string())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang]), pa.array([coded.dictionary.cast(pa.string()).to_pylist()], pa.list_(pa.string())),
+                    [pa.array([lang]), pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names),
                      pa.array([codes.tobytes()], pa.binary())], ["lang", "words", "codes"])
 
 
@@ -138,48 +140,102 @@ def _lines(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield ids, ranks.view(np.int32 if len(ranks) == 4 * len(ids) else np.int64)
 
 
-def _proposed(length: int):
-    """Phrases of ``length`` words whose first and last ``length`` - 1 words are frequent, counted per batch."""
+def _packed(values: np.ndarray) -> bytes:
+    """Numbers of 64 bits byte plane by byte plane, compressed: planes of small numbers are mostly zeros."""
+    return zlib.compress(values.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(raw), np.uint8).reshape(8, -1).T).view("<u8").ravel().astype(np.int64)
+
+
+def _added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys, ascending, and the sums of their counts."""
+    key, at = np.unique(np.concatenate(keys), return_inverse=True)
+    return key, np.bincount(at, np.concatenate(counts), len(key)).astype(np.int64)
+
+
+_KEY = 31  # bits of a word's number in a key
+
+
+def _proposed(length: int, parts: int):
+    """Phrases of ``length`` words whose first and last ``length`` - 1 words are frequent, counted piece by piece of a task.
+
+    A key is the rank of the beginning and the last word; sorted keys travel as their differences, by parts of the ranks.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def out() -> pa.RecordBatch:
+            key, count = np.unique(np.concatenate(held), return_counts=True)
+            part = (key >> _KEY) % parts
+            order = np.argsort(part, kind="stable")
+            key, count = key[order], count[order]
+            edge = np.searchsorted(part[order], np.arange(parts + 1))
+            rows = [(k, _packed(np.diff(key[a:b], prepend=0)), _packed(count[a:b])) for k, (a, b) in enumerate(zip(edge, edge[1:])) if a < b]
+            return pa.RecordBatch.from_arrays(
+                [pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2))], ["part", "keys", "counts"])
+
         for batch in batches:
-            heads, tails = [], []
             for ids, ranks in _lines(batch):
                 m = len(ids) - length + 1
                 if m <= 0:
                     continue
                 at = np.flatnonzero((ranks[:m] > 0) & (ranks[1 : m + 1] > 0) & (ids[length - 1 :] > 0))
-                heads.append(ranks[at].astype(np.int64))
-                tails.append(ids[at + length - 1])
-            if not heads:
-                continue
-            head, where = np.unique(np.concatenate(heads), return_inverse=True)
-            key, count = np.unique((where.astype(np.int64) << 31) | np.concatenate(tails), return_counts=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(head[key >> 31]), pa.array((key & ((1 << 31) - 1)).astype(np.int32)), pa.array(count)], ["head", "tail", "n"])
+                held.append((ranks[at].astype(np.int64) << _KEY) | ids[at + length - 1])
+                size += len(at)
+                if size >= PROPOSALS:
+                    yield out()
+                    held, size = [], 0
+        if size:
+            yield out()
 
     return run
 
 
-def _counted(trie):
-    """How often each sequence of the trie occurs: walks from all positions, ends counted by bincount."""
+def _possible(least: int):
+    """Keys of a part whose counts add up to ``least`` or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, held = None, trie.value
+        part, keys, counts, size = None, [], [], 0
+
+        def out() -> pa.RecordBatch:
+            key, count = _added(keys, counts)
+            key = key[count >= least]
+            return pa.RecordBatch.from_arrays([pa.array(key >> _KEY), pa.array((key & ((1 << _KEY) - 1)).astype(np.int32))], ["head", "tail"])
+
         for batch in batches:
-            for ids, _ in _lines(batch):
-                found = held.find(ids)
-                counts = np.bincount(found[found >= 0], minlength=int(held.accept.max()) + 1)
-                total = counts if total is None else total + counts
-        if total is not None:
-            at = np.flatnonzero(total)
-            for k in range(0, len(at), 1 << 16):
-                part = at[k : k + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], ["row", "n"])
+            for name, raw_keys, raw_counts in zip(*(c.to_pylist() for c in batch.columns)):
+                if name != part:
+                    if keys:
+                        yield out()
+                    part, keys, counts, size = name, [], [], 0
+                keys.append(np.cumsum(_unpacked(raw_keys)))
+                counts.append(_unpacked(raw_counts))
+                size += len(keys[-1])
+                if size >= 2 * PROPOSALS:
+                    key, count = _added(keys, counts)
+                    keys, counts, size = [key], [count], 0
+        if keys:
+            yield out()
 
     return run
 
 
+def _counted(trie, rows: int):
+    """How often each sequence of the trie occurs in a batch: walks from all positions, ends counted by bincount."""
+
+    def count(batch: pa.RecordBatch) -> np.ndarray:
+        held, total = trie.value, np.zeros(rows, np.int64)
+        for ids, _ in _lines(batch):
+            found = held.find(ids)
+            total += np.bincount(found[found >= 0], minlength=rows)
+        return total
+
+    return count
+
+
 def _marked(trie, ranks_of, fresh: bool):
     """Ranks of the frequent phrases that start at each position; unless ``fresh``, those of earlier tries stay."""
 
@@ -210,8 +266,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     sizes (lang, n) with all word occurrences, lexicon (id, lang, word, f).
 
     Texts are split once and written as word numbers. For every length, phrases whose beginning and end are
-    frequent are proposed from the lines (each task adds up its own, Spark adds the sums), which leaves only
-    phrases that can be frequent; their double-array trie is broadcast and walked over all lines, and the
+    frequent are proposed from the lines, and of these, by sums over all tasks, only those that can be frequent; their double-array trie is broadcast and walked over all lines, and the
     counts of all tasks and tries are added up. Dictionaries and tries are cut into parts of bounded size.
     """
     spark = docs.sparkSession
@@ -224,12 +279,16 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     lexicon = scratch.keep(ranked(counts.filter(F.col("f") >= least), [("lang", True), ("word", True)], "id"), "lexicon")
     lines = _number_words(scratch, coded, lexicon)
     scratch.drop(coded)
+    # About one part per million words, so that no task of the proposals holds many more keys.
+    words = counts.agg(F.sum("f")).first()[0] or 0
+    parts = max(8, -(-words // (1 << 20)))
     level = scratch.keep(lexicon.select("lang", F.array(F.col("id").cast("int")).alias("words"), "f", F.col("id").alias("rank")), "phrases1")
     levels = [level]
     for length in range(2, longest + 1):
+        form = "part int, keys binary, counts binary"
         proposed = (
-            lines.mapInArrow(_proposed(length), "head bigint, tail int, n bigint").groupBy("head", "tail").agg(F.sum("n").alias("most"))
-            .filter(F.col("most") >= least)
+            lines.mapInArrow(_proposed(length, parts), form).repartition("part").sortWithinPartitions("part")
+            .mapInArrow(_possible(least), "head bigint, tail int")
         )
         grown = scratch.keep(
             proposed.join(level.select("lang", "words", F.col("rank").alias("head")), "head")
@@ -238,9 +297,9 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
         found = []
         for rows, ranks in _shards(candidates, "rank"):
             held = spark.sparkContext.broadcast(build(rows))
-            names = spark.createDataFrame(pa.table({"row": np.arange(len(ranks)), "rank": ranks}))
-            tally = lines.mapInArrow(_counted(held), "row bigint, n bigint").groupBy("row").agg(F.sum("n").alias("f"))
-            found.append(scratch.keep(tally.filter(F.col("f") >= least).join(names, "row").select("rank", "f"), "found"))
+            total = dense_counts(lines, len(rows), _counted(held, len(rows)))
+            often = total >= least
+            found.append(scratch.keep(spark.createDataFrame(pa.table({"rank": ranks[often], "f": total[often]})), "found"))
         if not found:
             break
         total = found[0]

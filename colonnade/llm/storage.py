@@ -62,6 +62,17 @@ class Scratch:
             fs.delete(target, True)
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Column names like ``wanted`` that ``df`` does not have, whatever the case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def text_batches(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[tuple[int, pa.RecordBatch]]:
     """Slices of a batch with about ``limit`` bytes of text each (one row at least), and where they start."""
     sizes = batch.column(column)

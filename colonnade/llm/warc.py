@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import itertools
 import re
 import zlib
 from bisect import bisect_left, bisect_right
@@ -148,7 +149,6 @@ def write_archives(scratch: Scratch, pages: DataFrame, file_bytes: int = FILE_BY
         .mapInArrow(pack_records, "value binary").select(F.col("value").cast("string"))
         .write.option("lineSep", MEMBER_END).text(path)
     )
-    scratch.drop()
     return path
 
 
@@ -225,10 +225,10 @@ def read_captures(spark: SparkSession, path: str) -> DataFrame:
                     [pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 9, _CAPTURE_TYPES)], _CAPTURE_NAMES
                 )
 
-    form = "file string, at long, bytes long, url string, page string, payload_bytes long, payload_digest string, record_type string, refers string"
-    return read_files(spark, path).mapInArrow(run, form)
+    return read_files(spark, path).mapInArrow(run, _CAPTURE_FORM)
 
 
+_CAPTURE_FORM = "file string, at long, bytes long, url string, page string, payload_bytes long, payload_digest string, record_type string, refers string"
 _CAPTURE_NAMES = ["file", "at", "bytes", "url", "page", "payload_bytes", "payload_digest", "record_type", "refers"]
 _CAPTURE_TYPES = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
 
@@ -395,17 +395,53 @@ def locate(scratch: Scratch, blocks: DataFrame, directory: DataFrame, wanted: Da
     )
 
 
-def fetch(spark: SparkSession, file: str, at: int, size: int) -> tuple[dict[str, str], bytes]:
-    """Headers and block of one record by a range read of its file, through Spark's file systems."""
-    fs, target = _folder(spark, file)
-    stream = fs.open(target)
-    try:
-        stream.seek(at)
-        raw = spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream, size)
-    finally:
-        stream.close()
-    _, _, headers, block = next(records(bytes(raw)))
-    return headers, block
+# Ranges of one file at most this far apart are read together, in pieces of about RUN_BYTES.
+GAP_BYTES, RUN_BYTES = 1 << 14, 4 << 20
+
+
+def open_archive(file: str):
+    """The file as the task's own file system opens it (local or mounted paths, and what pyarrow knows by scheme)."""
+    from pyarrow import fs
+
+    if file.startswith(("file:", "/")):
+        return fs.LocalFileSystem().open_input_file(re.sub(r"^file:/*", "/", file))
+    system, path = fs.FileSystem.from_uri(file)
+    return system.open_input_file(path)
+
+
+def read_ranges(file: str, ranges: list[tuple[int, int]]) -> Iterator[tuple[int, int, bytes]]:
+    """(at, size, bytes) of ``ranges`` of one file, sorted by their place; neighbours share a read."""
+    runs: list[list[tuple[int, int]]] = []
+    for at, size in ranges:
+        if runs and at <= sum(runs[-1][-1]) + GAP_BYTES and at + size - runs[-1][0][0] <= RUN_BYTES:
+            runs[-1].append((at, size))
+        else:
+            runs.append([(at, size)])
+    with open_archive(file) as source:
+        for run in runs:
+            start = run[0][0]
+            raw = source.read_at(max(at + size for at, size in run) - start, start)
+            for at, size in run:
+                yield at, size, raw[at - start : at - start + size]
+
+
+def fetch_captures(places: DataFrame) -> DataFrame:
+    """One row per place (file, at, bytes): the capture a range read of the archive finds there.
+
+    Places are dealt out by file and stretch of the file, so each task opens a file once and reads only what is asked.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, table = [], list(zip(*(batch.column(c).to_pylist() for c in ("file", "at", "bytes"))))
+            for file, group in itertools.groupby(table, key=lambda r: r[0]):
+                for at, size, raw in read_ranges(file, [(at, size) for _, at, size in group]):
+                    _, _, headers, block = next(records(raw))
+                    rows.append((file, at, size, headers.get("warc-target-uri"), *parse_capture(headers, block)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 9, _CAPTURE_TYPES)], _CAPTURE_NAMES)
+
+    dealt = places.select("file", "at", "bytes").repartition("file", F.shiftright("at", 22)).sortWithinPartitions("file", "at")
+    return dealt.mapInArrow(run, _CAPTURE_FORM)
 
 
 def archive_round_trip(pages: DataFrame, file_bytes: int = FILE_BYTES) -> DataFrame:
@@ -421,9 +457,7 @@ def archive_round_trip(pages: DataFrame, file_bytes: int = FILE_BYTES) -> DataFr
     path = write_archives(scratch, pages, file_bytes)
     blocks, directory = build_index(scratch, path)
     wanted = pages.select(index_key(F.col("url")).alias("key"), index_page(F.col("page_id")).alias("page")).distinct()
-    places = locate(scratch, blocks, directory, wanted).select(F.col("file").alias("f"), F.col("at").alias("a"), F.col("bytes").alias("b"))
-    back = read_captures(spark, path)
-    return back.join(places, (F.col("file") == F.col("f")) & (F.col("at") == F.col("a")) & (F.col("bytes") == F.col("b"))).select(
+    return fetch_captures(locate(scratch, blocks, directory, wanted)).select(
         F.col("page").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
         F.col("refers").cast(kind).alias("refers_to"), F.element_at(F.split("file", "/"), -1).alias("file"), "at", "bytes",
     )

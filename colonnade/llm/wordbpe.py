@@ -387,9 +387,14 @@ def ship_lexicon(spark: SparkSession, raw: str, words: Sequence[bytes]) -> str:
     arrays["ids"] = np.asarray([x for i in ids for x in i], "<u4")
     mark = hashlib.sha256(b"".join(a.tobytes() for a in arrays.values())).hexdigest()[:20]
     name = f"lexicon-{mark}.bin"
+    context = spark.sparkContext
+    shipped = context.__dict__.setdefault("_colonnade_files", set())
+    if name in shipped:
+        return name
     path = os.path.join(tempfile.mkdtemp(prefix="colonnade-lexicon-"), name)
     Lexicon.write(arrays, path)
-    spark.sparkContext.addFile(path)
+    context.addFile(path)
+    shipped.add(name)
     return name
 
 

@@ -198,12 +198,20 @@ def test_index_finds_records_by_range_reads(spark):
     blocks, directory = warc.build_index(scratch, path, captures=16)
     assert blocks.count() == directory.count() > 10
     wanted = spark.createDataFrame([("net,example,host)/3", "103"), ("com,example)/a?b=1", "1"), ("net,example,host)/3", "absent")], "key string, page string")
-    hits = warc.locate(scratch, blocks, directory, wanted).collect()
-    assert {(h.key, h.page) for h in hits} == {("net,example,host)/3", "103"), ("com,example)/a?b=1", "1")}
-    for hit in hits:
-        headers, block = warc.fetch(spark, hit.file, hit.at, hit.bytes)
-        assert headers["warc-record-id"] == f"<urn:page:{hit.page}>"
-        assert warc.parse_capture(headers, block)[1] > 1000
+    hits = warc.locate(scratch, blocks, directory, wanted)
+    assert {(h.key, h.page) for h in hits.collect()} == {("net,example,host)/3", "103"), ("com,example)/a?b=1", "1")}
+    found = warc.fetch_captures(hits).collect()
+    assert {r.page for r in found} == {"103", "1"} and all(r.payload_bytes > 1000 for r in found)
+
+
+def test_ranges_read_together_or_apart(tmp_path, monkeypatch):
+    body = bytes(range(256)) * 40
+    (tmp_path / "a").write_bytes(body)
+    monkeypatch.setattr(warc, "GAP_BYTES", 100)
+    monkeypatch.setattr(warc, "RUN_BYTES", 700)
+    ranges = [(0, 10), (50, 300), (360, 5), (500, 900), (3000, 1), (10_000, 240)]
+    for name in (str(tmp_path / "a"), f"file:{tmp_path}/a", f"file://{tmp_path}/a"):
+        assert list(warc.read_ranges(name, ranges)) == [(at, n, body[at : at + n]) for at, n in ranges]
 
 
 def test_a_url_with_many_captures_is_searched_in_one_block_each(spark, monkeypatch):
@@ -372,3 +380,21 @@ def test_pipeline_takes_edge_rows(spark):
         for _, stage in corpus_pipeline.STAGES:
             docs = Scratch(spark, "edge").keep(stage(spark, docs, ""), "stage")
         docs.count()
+
+
+def test_pipeline_keeps_columns_of_any_name_and_type(spark):
+    """Names that the stages use themselves, and a map, which cannot be ordered."""
+    own = ["_again", "_id", "_sha", "_key", "_name", "_digest", "_kept", "_row", "_facts", "_source", "_plan", "_text", "_words"]
+    texts = [prose(7000 + i, 70) for i in range(6)]
+    texts += [texts[0].upper(), texts[1] + " end", texts[2], texts[2]]
+    rows = [(i if i < 8 else 2, t, "a", *(f"{c}{t[:9]}" for c in own), {"k": i}) for i, t in enumerate(texts)]
+    form = "doc_id long, text string, source string, " + ", ".join(f"{c} string" for c in own) + ", more map<string,int>"
+    docs = spark.createDataFrame(rows, form).repartition(3)
+    for stage in (corpus_pipeline.exact_copies, corpus_pipeline.near_copies, corpus_pipeline.mixed_sources):
+        docs = Scratch(spark, "names").keep(stage(spark, docs, ""), "stage")
+        assert docs.columns == ["doc_id", "text", "source", *own, "more"]
+        if stage is corpus_pipeline.near_copies:
+            assert sorted(r.doc_id for r in docs.collect()) == [1, 2, 3, 4, 5, 6]
+    for r in docs.collect():
+        first = next(t for i, t, *_ in rows if i == r.doc_id)
+        assert all(r[c] == f"{c}{first[:9]}" for c in own) and len(r.more) == 1
