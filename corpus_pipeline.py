@@ -11,7 +11,7 @@ from colonnade.llm.jaccard import jaccard_groups, row_name
 from colonnade.llm.langid import fit_languages, keep_languages
 from colonnade.llm.mixing import draw_mix, letter_weight
 from colonnade.llm.queries import rank_file
-from colonnade.llm.storage import Scratch, held_out
+from colonnade.llm.storage import Scratch, free_names, held_out
 from colonnade.session import ship_package
 
 # Shingle length and similarity (hundredths) of near duplicates.
@@ -24,33 +24,40 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_languages(docs, fit_languages(docs.filter(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang")))
 
 
-def one_row_each(docs: DataFrame, digest: Column) -> DataFrame:
-    """One row, the smallest, of those that share the id and ``digest``; only repeated rows are gathered."""
-    keyed = docs.withColumn("_key", F.struct(F.col("doc_id").alias("id"), digest.alias("digest")))
-    scratch = Scratch(docs.sparkSession, "repeats")
-    repeated = scratch.keep(keyed.groupBy("_key").count().filter("count > 1").select(F.col("_key").alias("_again")), "repeats")
-    again = scratch.small(repeated)
-    same = F.col("_key.id").eqNullSafe(F.col("_again.id")) & (F.col("_key.digest") == F.col("_again.digest"))
-    row = F.min(F.struct(*(F.col(f"`{c}`") for c in docs.columns))).alias("_row")
-    single = keyed.join(again, same, "left_anti").select(docs.columns)
-    return single.unionByName(keyed.join(again, same, "left_semi").groupBy("_key").agg(row).select("_row.*"))
+def one_row_each(docs: DataFrame, marks: DataFrame, digest: Column) -> DataFrame:
+    """One row of ``docs`` for every (doc_id, digest) that ``marks`` (doc_id, digest, kept) keeps.
+
+    ``marks`` has a row per document and is written once. Only ids and digests of rows that go, or stand more than
+    once, are joined with the documents; of the latter, which alone are gathered, the row that comes first as JSON
+    stays. Columns of ``docs`` may have any name and type.
+    """
+    scratch = Scratch(docs.sparkSession, "marks")
+    id_, digest_, kept_, row_ = free_names(docs, "_id", "_digest", "_kept", "_row")
+    each = scratch.keep(marks, "marks").groupBy("doc_id", "digest").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    keys = scratch.keep(
+        each.filter("not kept or n > 1").select(F.col("doc_id").alias(id_), F.col("digest").alias(digest_), F.col("kept").alias(kept_)), "keys")
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & (digest == F.col(digest_))
+    out = docs.join(scratch.small(keys), same, "left_anti")
+    again = scratch.keep(keys.filter(F.col(kept_)), "again")
+    if again.isEmpty():
+        return out
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    gathered = docs.join(scratch.small(again), same).groupBy(id_, digest_).agg(F.min_by(row, F.to_json(row)).alias(row_))
+    return out.unionByName(gathered.select(f"{row_}.*"))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts: one with the largest id."""
-    gone = exact_groups(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.sha2(lower_ascii(F.col("text")), 256) == F.col("_sha"))
-    return one_row_each(docs.join(gone, same, "left_anti"), F.sha2(lower_ascii(F.col("text")), 256))
+    marks = exact_groups(docs).select("doc_id", F.unhex("text_sha256").alias("digest"), "kept")
+    return one_row_each(docs, marks, F.unhex(F.sha2(lower_ascii(F.col("text")), 256)))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group that n-gram links connect: one with the smallest id."""
     ship_package(spark)
     groups = jaccard_groups(docs, SHINGLE_WORDS, SIMILARITY)
-    gone = groups.filter("row_name <> first_name").select(F.col("doc_id").alias("_id"), F.col("row_name").alias("_name")).distinct()
-    name = row_name(F.col("doc_id"), F.col("text"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (name == F.col("_name"))
-    return one_row_each(docs.join(gone, same, "left_anti"), name)
+    marks = groups.select("doc_id", F.col("row_name").alias("digest"), (F.col("row_name") == F.col("first_name")).alias("kept"))
+    return one_row_each(docs, marks, row_name(F.col("doc_id"), F.col("text")))
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
