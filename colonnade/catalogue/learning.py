@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from colonnade.catalogue.registry import LABELLED, labelled, query, stops, trips
+from colonnade.catalogue.algebra import elimination_sql, least_squares_sql
+from colonnade.catalogue.registry import LABELLED, TRIPS, labelled, query, stops, trips
+from colonnade.catalogue.scoring import STEPS_SQL, rounded_steps, rounded_terms, terms_sql
 from colonnade.catalogue.summaries import split_sql
 from colonnade.functions import derive
 from colonnade.models import builtin, composed, direct, ensembles
@@ -59,7 +61,27 @@ def gaussian_nb(spark, folder):
     return out.select(F.col("id").alias("stop_id"), "split", "prediction")
 
 
-@query("nb_search")
+def _nb_sql() -> str:
+    """Accuracy of every smoothing on each fold, by the statistics of the others."""
+    stats = ", ".join(f"avg({c}) AS m_{c}, var_pop({c}) AS v_{c}" for c in COLUMNS)
+    largest = ", ".join(f"var_pop({c})" for c in COLUMNS)
+    likely = " - ".join(
+        ["ln(g.n / a.n)"] + [f"0.5 * ln(2 * pi() * (v_{c} + eps)) - (t.{c} - m_{c}) * (t.{c} - m_{c}) / (2 * (v_{c} + eps))" for c in COLUMNS])
+    return f"""WITH {LABELLED}, {split_sql('labelled', 'stop_id', 'arrival_status')},
+t AS (SELECT *, ntile(5) OVER (PARTITION BY arrival_status ORDER BY md5(CAST(stop_id AS VARCHAR) || ':5805')) - 1 AS fold FROM splitted WHERE split = 'train'),
+other AS (SELECT f, t.* FROM t, (SELECT unnest(range(5)) AS f) WHERE fold <> f),
+a AS (SELECT f, count(*)::DOUBLE AS n, greatest({largest}) AS widest FROM other GROUP BY f),
+g AS (SELECT f, arrival_status AS c, count(*)::DOUBLE AS n, {stats} FROM other GROUP BY 1, 2),
+e AS (SELECT unnest([{', '.join(f"{{'text': '{x}', 'value': {x}::DOUBLE, 'at': {i}}}" for i, x in enumerate(direct.SMOOTHING))}], recursive := true)),
+s AS (SELECT t.stop_id, t.fold, t.arrival_status, text, "at", c, {likely} AS score
+  FROM (SELECT e.*, a.*, value * widest AS eps FROM e, a) a JOIN g ON g.f = a.f JOIN t ON t.fold = a.f),
+r AS (SELECT fold, text, "at", arg_max(c, score) = any_value(arrival_status) AS hit FROM s GROUP BY fold, text, "at", stop_id),
+h AS (SELECT text, "at", avg(share) AS mean_accuracy FROM (SELECT fold, text, "at", avg(hit::INT) AS share FROM r GROUP BY ALL) GROUP BY ALL)
+SELECT 'naive bayes' AS model, '{{"smoothing": ' || text || '}}' AS params, round(mean_accuracy, 6) AS mean_accuracy,
+  row_number() OVER (ORDER BY mean_accuracy DESC, "at")::INTEGER AS rank FROM h"""
+
+
+@query("nb_search", _nb_sql())
 def nb_search(spark, folder):
     return direct.naive_bayes(_frame(spark, folder)).cv
 
@@ -109,16 +131,29 @@ def prepare(spark, folder):
     return phases.prepare(stops(spark, folder))["prepared"].groupBy("arrival_status", "is_weekend").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("regress")
+def _daily_sql(source: str, features) -> str:
+    """Daily means, the plain split of the days, all subsets of the features on the training days and the elimination."""
+    means = ", ".join(f"avg({c}) AS {c}" for c in [*features, "arrival_minutes"])
+    return f"""b AS (SELECT CAST(date_trunc('day', scheduled_time) AS TIMESTAMP) AS d, 1 AS one, {means} FROM {source} GROUP BY 1),
+{split_sql('b', 'd', 'one')}, days AS (SELECT * FROM splitted WHERE split = 'train'),
+{least_squares_sql('days', 'arrival_minutes', features)}, {elimination_sql(features)}"""
+
+
+TRIP_FEATURES, STOP_FEATURES = ["stop_sequence", "from_id", "to_id"], ["stop_sequence", "from_id", "to_id", "k"]
+
+
+@query("regress", f"""WITH RECURSIVE {TRIPS}, {_daily_sql('trips', TRIP_FEATURES)},
+chosen AS (SELECT CASE WHEN p > 0.1 THEN [x FOR x IN names IF x <> removed] ELSE names END AS names FROM walk ORDER BY step DESC LIMIT 1)
+{terms_sql('names = (SELECT names FROM chosen)', 4)}""")
 def regress(spark, folder):
     rows = phases.with_features(trips(spark, folder))
-    return phases.regress(rows.select("scheduled_time", "stop_sequence", "from_id", "to_id", "delay_minutes", "arrival_minutes"))["terms"]
+    return rounded_terms(phases.regress(rows.select("scheduled_time", "stop_sequence", "from_id", "to_id", "delay_minutes", "arrival_minutes"))["terms"], 4)
 
 
-@query("daily_stepwise")
+@query("daily_stepwise", f"WITH RECURSIVE {LABELLED}, {_daily_sql('labelled', STOP_FEATURES)} {STEPS_SQL.format(digits=6)}")
 def daily_stepwise(spark, folder):
     rows = labelled(spark, folder).select("scheduled_time", "stop_sequence", "from_id", "to_id", "k", "delay_minutes", "arrival_minutes")
-    return phases.regress(rows)["steps"]
+    return rounded_steps(phases.regress(rows)["steps"], 6)
 
 
 @query("compare_classifiers")

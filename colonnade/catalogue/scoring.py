@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from colonnade.catalogue.algebra import elimination_sql, jacobi_sql, least_squares_sql
 from colonnade.catalogue.registry import LABELLED, STOPS, labelled, query, stops, table
 from colonnade.catalogue.summaries import split_sql
 from colonnade.functions import derive
@@ -124,6 +125,21 @@ def auc_pairwise(spark, folder):
     return evaluate.pairwise_auc(_scored(spark, folder), _scores())
 
 
+@query("auc_pairwise_models", f"""WITH {PAIR_SCORES}, models AS (
+  SELECT 'all' AS model, pair, threshold, y FROM flat UNION ALL SELECT 'inverse', pair, -threshold, y FROM flat),
+g AS (SELECT model, pair, threshold, count(*) FILTER (WHERE y) AS pos, count(*) FILTER (WHERE NOT y) AS neg FROM models GROUP BY 1, 2, 3),
+c AS (SELECT *, sum(pos) OVER w AS tp, sum(pos) OVER (PARTITION BY model, pair) AS p, sum(neg) OVER (PARTITION BY model, pair) AS n
+      FROM g WINDOW w AS (PARTITION BY model, pair ORDER BY threshold DESC)),
+areas AS (SELECT model, pair, sum(neg * (tp - pos / 2.0)) / (max(p) * max(n)) AS auc FROM c GROUP BY 1, 2)
+SELECT model, pair, round(auc, 6) AS auc, round(avg(auc) OVER (PARTITION BY model), 6) AS mean_auc FROM areas""")
+def auc_pairwise_models(spark, folder):
+    rows = _scored(spark, folder)
+    names = ("s_early", "s_late", "s_on")
+    inverse = rows.withColumns({c: -F.col(c) for c in names})
+    both = rows.withColumn("model", F.lit("all")).unionByName(inverse.withColumn("model", F.lit("inverse")))
+    return evaluate.pairwise_auc(both, _scores(), by=["model"])
+
+
 @query("regression_metrics", f"""WITH {SCORED}, e AS (SELECT arrival_minutes AS y, arrival_minutes - (delay_minutes * 0.9::DOUBLE + 1.0::DOUBLE) AS e FROM scored)
 SELECT count(*) AS rows, round(avg(e * e), 6) AS mse, round(1 - avg(e * e) / var_pop(y), 6) AS r2 FROM e""")
 def regression_metrics(spark, folder):
@@ -147,23 +163,28 @@ def cv_mean_score(spark, folder):
 NAMES = ("early", "late", "on-time")
 
 
+def _weighted_sql(split, prefix):
+    figures = {"precision": "pr", "recall": "re", "f1": "coalesce(2 * pr * re / nullif(pr + re, 0), 0)", "specificity": "sp"}
+    only = f"FILTER (WHERE split = '{split}')"
+    return ", ".join(f"round(sum({f} * support) {only} / sum(support) {only}, 6) AS {prefix}{n}" for n, f in figures.items())
+
+
 def _metric_sql(model, bound):
     matrix = " || ';' || ".join(
         " || ',' || ".join(f"CAST(count(*) FILTER (WHERE label = '{a}' AND prediction = '{p}') AS VARCHAR)" for p in NAMES) for a in NAMES)
     return f"""SELECT * FROM (WITH
 m AS (SELECT label, split, s_early, s_late, s_on, CASE WHEN delay_minutes < -{bound} THEN 'early' WHEN delay_minutes <= {bound} THEN 'on-time' ELSE 'late' END AS prediction FROM base),
 t AS (SELECT * FROM m WHERE split = 'test'),
-k AS (SELECT c, count(*) FILTER (WHERE label = c) AS support, count(*) FILTER (WHERE prediction = c) AS predicted,
-      count(*) FILTER (WHERE label = c AND prediction = c) AS tp, count(*) AS total FROM t, (SELECT unnest(['early', 'late', 'on-time']) AS c) GROUP BY c),
+k AS (SELECT split, c, count(*) FILTER (WHERE label = c) AS support, count(*) FILTER (WHERE prediction = c) AS predicted,
+      count(*) FILTER (WHERE label = c AND prediction = c) AS tp, count(*) AS total FROM m, (SELECT unnest(['early', 'late', 'on-time']) AS c) GROUP BY 1, 2),
 r AS (SELECT *, coalesce(tp / nullif(predicted, 0)::DOUBLE, 0) AS pr, coalesce(tp / nullif(support, 0)::DOUBLE, 0) AS re,
       coalesce((total - support - predicted + tp) / nullif(total - support, 0)::DOUBLE, 0) AS sp FROM k),
 flat AS (SELECT s_early AS threshold, label = 'early' AS y FROM t UNION ALL SELECT s_late, label = 'late' FROM t UNION ALL SELECT s_on, label = 'on-time' FROM t),
 {_curve_sql('flat')}
 SELECT '{model}' AS model, (SELECT round(avg((label = prediction)::INT), 6) FROM m WHERE split = 'train') AS train_accuracy,
   (SELECT round(avg((label = prediction)::INT), 6) FROM t) AS test_accuracy,
-  round(sum(pr * support) / sum(support), 6) AS precision, round(sum(re * support) / sum(support), 6) AS recall,
-  round(sum(coalesce(2 * pr * re / nullif(pr + re, 0), 0) * support) / sum(support), 6) AS f1,
-  round(sum(sp * support) / sum(support), 6) AS specificity, (SELECT {AREA} FROM curve) AS auc, (SELECT {matrix} FROM t) AS confusion FROM r)"""
+  {_weighted_sql('test', '')}, {_weighted_sql('train', 'train_')},
+  (SELECT {AREA} FROM curve) AS auc, (SELECT {matrix} FROM t) AS confusion FROM r)"""
 
 
 @query("metric_table", f"""WITH {SCORED}, {split_sql('scored', 'stop_id', 'label')}, base AS (SELECT * FROM splitted)
@@ -233,17 +254,45 @@ def f_test(spark, folder):
 PRICE_FEATURES = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
 
 
-@query("ols_multiple")
+PRICE_SQL = least_squares_sql("lineitem", "l_extendedprice", PRICE_FEATURES)
+NORMAL_95 = "1.959963984540054"
+
+
+def terms_sql(where: str, digits: int = 3) -> str:
+    """The table of coefficients; the interval's quantile follows from the normal one."""
+    z = float(NORMAL_95)
+    steps = [  # Student's quantile as a series in 1 / df
+        (z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96, (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384,
+        (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160,
+    ]
+    q = f"({NORMAL_95} + {' + '.join(f'{v!r}::DOUBLE / power(df, {i + 1})' for i, v in enumerate(steps))})"
+    return f"""SELECT term, round(coef, {digits}) AS coef, round(se, {digits}) AS se, round(t, 4) AS t, round(p, 6) AS p, p < 0.05 AS significant,
+  round(coef - {q} * se, {digits}) AS low, round(coef + {q} * se, {digits}) AS high FROM terms WHERE {where}"""
+
+
+def rounded_terms(terms, digits: int = 3):
+    return terms.select("term", *[F.round(c, digits).alias(c) for c in ("coef", "se", "low", "high")], F.round("t", 4).alias("t"), "p", "significant")
+
+
+STEPS_SQL = """SELECT step::INTEGER AS step, removed, round(p, 6) AS p, round(r2, 6) AS r2, round(adj_r2, 6) AS adj_r2, round(aic, 3) AS aic,
+  round(bic, 3) AS bic, round(mse, {digits}) AS mse FROM walk JOIN fits USING (names) WHERE p > 0.1"""
+
+
+def rounded_steps(steps, digits: int):
+    return steps.select("step", "removed", "p", "r2", "adj_r2", F.round("aic", 3).alias("aic"), F.round("bic", 3).alias("bic"), F.round("mse", digits).alias("mse"))
+
+
+@query("ols_multiple", f"WITH RECURSIVE {PRICE_SQL} {terms_sql(f'len(names) = {len(PRICE_FEATURES)}')}")
 def ols_multiple(spark, folder):
     rows = table(spark, folder, "lineitem")
     m = moments.cross_moments(rows, [*PRICE_FEATURES, "l_extendedprice"])
-    return regress.coefficient_table(spark, regress.fit_linear(m, "l_extendedprice", PRICE_FEATURES))
+    return rounded_terms(regress.coefficient_table(spark, regress.fit_linear(m, "l_extendedprice", PRICE_FEATURES)))
 
 
-@query("stepwise_steps")
+@query("stepwise_steps", f"WITH RECURSIVE {PRICE_SQL}, {elimination_sql(PRICE_FEATURES)} {STEPS_SQL.format(digits=0)}")
 def stepwise_steps(spark, folder):
     m = moments.cross_moments(table(spark, folder, "lineitem"), [*PRICE_FEATURES, "l_extendedprice"])
-    return regress.steps_table(spark, regress.backward(m, "l_extendedprice", PRICE_FEATURES)[1])
+    return rounded_steps(regress.steps_table(spark, regress.backward(m, "l_extendedprice", PRICE_FEATURES)[1]), 0)
 
 
 @query("prediction_series", f"""WITH {STOPS},
@@ -281,9 +330,20 @@ def pca_pair(spark, folder):
     return found.table(spark).select("component", "ratio", "cumulative", "n95")
 
 
-@query("pca_variance")
+FIVE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
+CORR5 = "corr5 AS (SELECT [" + ", ".join(f"corr({a}, {b})" if a != b else "1.0::DOUBLE" for a in FIVE for b in FIVE) + "] AS m FROM lineitem)"
+
+
+def _variance_sql(ratio: str, share: str) -> str:
+    return f"""shares AS (SELECT position, {ratio} AS ratio, {share} AS share FROM eigen),
+sums AS (SELECT *, sum(ratio) OVER (ORDER BY position) AS cumulative FROM shares)
+SELECT position::INTEGER AS component, round(ratio, 6) AS ratio, round(cumulative, 6) AS cumulative, round(share, 6) AS share,
+  (SELECT min(position) FROM sums WHERE cumulative >= 0.95)::INTEGER AS n95 FROM sums"""
+
+
+@query("pca_variance", f"WITH RECURSIVE {CORR5}, {jacobi_sql('corr5', 5)}, {_variance_sql('value / 5', 'value / 5')}")
 def pca_variance(spark, folder):
-    return moments.pca(table(spark, folder, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]).table(spark)
+    return moments.pca(table(spark, folder, "lineitem"), FIVE).table(spark)
 
 
 @query("pca_embeddings")
@@ -292,13 +352,29 @@ def pca_embeddings(spark, folder):
     return moments.pca(wide, [f"x{i}" for i in range(64)]).table(spark)
 
 
-@query("svd_ranking")
+@query("svd_ranking", f"""WITH RECURSIVE {CORR5}, {jacobi_sql('corr5', 5)},
+w AS (SELECT ['{"', '".join(FIVE)}'][i + 1] AS feature, abs(vector[i + 1]) AS importance FROM (SELECT *, unnest(range(5)) AS i FROM eigen WHERE position = 1))
+SELECT feature, round(importance, 6) AS importance, row_number() OVER (ORDER BY importance DESC)::INTEGER AS rank FROM w""")
 def svd_ranking(spark, folder):
-    return moments.svd(table(spark, folder, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]).ranking(spark)
-
-
-@query("svd_variance")
+    return moments.svd(table(spark, folder, "lineitem"), FIVE).ranking(spark)
+
+
+def _second_sql() -> str:
+    """Mean products of the z-scored columns and the raw last one, and the same about the mean."""
+    raw = FIVE[-1]
+    cells = []
+    for a in FIVE:
+        for b in FIVE:
+            scale = "".join(f" * stddev_pop({raw})" for c in (a, b) if c == raw)
+            cells.append(("1.0::DOUBLE" if a == b else f"corr({a}, {b})") + scale)
+    about = ", ".join(cells)
+    cells[-1] = f"avg({raw} * {raw})"
+    return f"second5 AS (SELECT [{', '.join(cells)}] AS m FROM lineitem), about5 AS (SELECT [{about}] AS cross5 FROM lineitem)"
+
+
+@query("svd_variance", f"""WITH RECURSIVE {_second_sql()}, {jacobi_sql('second5', 5, 'all5')},
+eigen AS (SELECT *, (SELECT cross5 FROM about5) AS c5 FROM all5 WHERE position <= 4),
+{_variance_sql('list_sum([c5[x + 1] * vector[x // 5 + 1] * vector[x % 5 + 1] FOR x IN range(25)]) / (c5[1] + c5[7] + c5[13] + c5[19] + c5[25])',
+               'value / sum(value) OVER ()')}""")
 def svd_variance(spark, folder):
-    return moments.svd(
-        table(spark, folder, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"], ignore=["l_linenumber"]
-    ).table(spark)
+    return moments.svd(table(spark, folder, "lineitem"), FIVE, ignore=["l_linenumber"]).table(spark)

@@ -157,9 +157,41 @@ def profile_columns(spark, folder):
     return profile.profile_columns(table(spark, folder, "lineitem"), NUMBERS, exact=True)
 
 
-@query("profile_sketch")
+@query("profile_sketch", " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", count({c}) AS count, count(*) FILTER (WHERE {c} = 0) AS zeros, min({c})::DOUBLE AS min, max({c})::DOUBLE AS max,
+  round(avg({c}), 6) AS mean, TRUE AS distinct_near, {', '.join(f'TRUE AS q{round(q * 100):02d}_near' for q in profile.QUANTILES)} FROM lineitem"""
+    for c in NUMBERS))
 def profile_sketch(spark, folder):
-    return profile.profile_columns(table(spark, folder, "lineitem"), NUMBERS)
+    """The sketched figures next to counts of the rows: a quantile is near if its true rank is within 1 %."""
+    rows = table(spark, folder, "lineitem")
+    found = profile.profile_columns(rows, NUMBERS)
+    values = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in NUMBERS])).alias("p")).select("p.*")
+    names = [f"q{round(q * 100):02d}" for q in profile.QUANTILES]
+    ranks = [F.avg((F.col("x") <= F.col(n)).cast("double")).alias(f"{n}_to") for n in names]
+    ranks += [F.avg((F.col("x") < F.col(n)).cast("double")).alias(f"{n}_from") for n in names]
+    true = values.join(F.broadcast(found), "column").groupBy("column").agg(*ranks, F.count_distinct("x").alias("exact"))
+    near = [((F.col(f"{n}_from") <= q + 0.01) & (F.col(f"{n}_to") >= q - 0.01)).alias(f"{n}_near") for n, q in zip(names, profile.QUANTILES)]
+    return found.join(true, "column").select(
+        "column", "count", "zeros", "min", "max", "mean", (F.abs(F.col("distinct") / F.col("exact") - 1) <= 0.15).alias("distinct_near"), *near)
+
+
+_TEXTS = """SELECT '{c}' AS "column", 'text' AS kind, count({c}) AS count, count(*) FILTER (WHERE {c} IS NULL) AS nulls, TRUE AS distinct_near,
+  count(*) FILTER (WHERE {c} = '') AS empty, min(length({c}))::INTEGER AS min_length, max(length({c}))::INTEGER AS max_length,
+  round(avg(length({c})), 6) AS mean_length, NULL::DOUBLE AS true_share, min({c}) AS first, max({c}) AS last FROM holed"""
+
+
+@query("profile_others", f"WITH {HOLED} " + " UNION ALL ".join(_TEXTS.format(c=c) for c in ("line", "type")) + """ UNION ALL
+SELECT 'date', 'time', count(date), count(*) FILTER (WHERE date IS NULL), TRUE, NULL, NULL, NULL, NULL, NULL, min(date)::VARCHAR, max(date)::VARCHAR FROM holed
+UNION ALL SELECT 'late', 'boolean', count(delay_minutes), count(*) FILTER (WHERE delay_minutes IS NULL), TRUE, NULL, NULL, NULL, NULL,
+  round(avg((delay_minutes > 5)::INT), 6), 'false', 'true' FROM holed""")
+def profile_others(spark, folder):
+    rows = holed(spark, folder).withColumn("late", F.col("delay_minutes") > 5).select("line", "type", "date", "late", "k")
+    found = profile.profile_others(rows)
+    exact = rows.agg(*[F.count_distinct(c).alias(c) for c in ("line", "type", "date", "late")])
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("exact")) for c in exact.columns])).alias("p")
+    near = F.abs(F.col("distinct") / F.col("exact") - 1) <= 0.1
+    return found.join(exact.select(pairs).select("p.*"), "column").withColumn("distinct_near", near).select(
+        "column", "kind", "count", "nulls", "distinct_near", "empty", "min_length", "max_length", "mean_length", "true_share", "first", "last")
 
 
 @query("profile_top_values", """WITH v AS (

@@ -5,10 +5,13 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from colonnade.operators.ordering import ranked
 from colonnade.operators.rows import column_names
+from colonnade.session import cut_lineage
 
 MAX_CATEGORIES = 10_000
 
@@ -19,7 +22,7 @@ CONSTANT = 1e-12
 def categories(df: DataFrame, columns: Sequence[str]) -> dict[str, list]:
     """Sorted distinct non-null values of each column, in one job.
 
-    One-hot output has a column per value, so a column with very many values is an error.
+    One-hot output has a column per value, so a column with very many values is an error; ``one_hot_vector`` takes those.
     """
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in columns]))
     rows = (
@@ -62,6 +65,48 @@ def one_hot(
     return df.select(*[c for c in df.columns if c not in columns], *dummies)
 
 
+def category_index(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, value, at): the place of every value of every column, from 0, as a written table of any size.
+
+    Values are in order, but the first of a column, its baseline, comes last.
+    """
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns]))
+    values = df.select(pairs.alias("p")).select("p.*").filter("value is not null").distinct()
+    placed = ranked(values, [("value", True)], "at", ["column"])
+    sizes = placed.groupBy("column").agg(F.max("at").alias("n"))
+    moved = F.when(F.col("at") == 1, F.col("n") - 1).otherwise(F.col("at") - 2)
+    return cut_lineage(placed.join(F.broadcast(sizes), "column").select("column", "value", moved.alias("at")))
+
+
+def one_hot_vector(df: DataFrame, columns: Sequence[str], name: str = "features", drop_first: bool = True, index: DataFrame | None = None) -> DataFrame:
+    """Replace ``columns`` by one sparse vector, for columns of very many values.
+
+    The vector has the places of ``index`` (by default ``category_index`` of these rows), one column after another,
+    without each baseline if ``drop_first``; null and unknown values give zeros. Values meet their places in a join,
+    so no list of them is collected.
+    """
+    index = category_index(df, columns) if index is None else index
+    sizes = {r["column"]: r["n"] for r in index.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}  # columns
+    out, parts = df, []
+    for i, c in enumerate(columns):
+        value, at, part = (f"_{kind}{i}_{name}" for kind in ("value", "at", "part"))
+        own = index.filter(F.col("column") == c).select(F.col("value").alias(value), F.col("at").cast("double").alias(at))
+        out = out.join(own, F.col(f"`{c}`").cast("string") == F.col(value), "left").drop(value)
+        # A place behind the last one stands for no value and is dropped, as the baseline is on request.
+        n = sizes.get(c, 0)
+        out = out.withColumn(at, F.coalesce(at, F.lit(float(n - 1 if drop_first and n else n))))
+        out = place_encoder(max(n, 1) if drop_first and n else n + 1, at, part).transform(out).drop(at)
+        parts.append(part)
+    out = VectorAssembler(inputCols=parts, outputCol=name).transform(out)
+    return out.select(*[F.col(f"`{c}`") for c in df.columns if c not in columns], name)
+
+
+def place_encoder(size: int, source: str, target: str):
+    """An encoder of ``size`` places, the last of which is left out; the size comes from two rows, not from the table."""
+    ends = SparkSession.active().createDataFrame([(0.0,), (float(size - 1),)], f"`{source}` double")
+    return OneHotEncoder(inputCols=[source], outputCols=[target], dropLast=True).fit(ends)
+
+
 def moments(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float]]:
     """Mean and population standard deviation of each column, from one pass."""
     aggs = [f(F.col(c).cast("double")) for c in columns for f in (F.avg, F.stddev_pop)]

@@ -33,7 +33,11 @@ def _ratio(a: Column, b: Column) -> Column:
 
 def per_class(df: DataFrame, label: str = "label", prediction: str = "prediction", by: Sequence[str] = ()) -> DataFrame:
     """Counts and precision, recall, F1, specificity of each class (0 where a denominator is 0)."""
-    cells = df.groupBy(*by, F.col(label).alias("a"), F.col(prediction).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    return _rated(df.groupBy(*by, F.col(label).alias("a"), F.col(prediction).alias("p")).agg(F.count(F.lit(1)).alias("n")), by)
+
+
+def _rated(cells: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The figures of each class from counts (a, p, n) of actual and predicted class."""
     hit = F.when(F.col("a") == F.col("p"), F.col("n")).otherwise(0)
     sides = F.explode(F.array(
         F.struct(F.col("a").alias("class"), F.col("n").alias("support"), F.lit(0).cast("bigint").alias("predicted"), hit.cast("bigint").alias("tp")),
@@ -59,7 +63,10 @@ def per_class(df: DataFrame, label: str = "label", prediction: str = "prediction
 
 def weighted_metrics(df: DataFrame, label: str = "label", prediction: str = "prediction", by: Sequence[str] = ()) -> DataFrame:
     """Accuracy and support-weighted precision, recall, F1 and specificity."""
-    classes = per_class(df, label, prediction, by)
+    return _weighted(per_class(df, label, prediction, by), by)
+
+
+def _weighted(classes: DataFrame, by: Sequence[str]) -> DataFrame:
     total = F.sum("support")
     return classes.groupBy(*by).agg(
         total.alias("rows"),
@@ -149,27 +156,29 @@ def micro_auc(df: DataFrame, scores: Mapping[str, Column], label: str = "label",
     return auc(class_scores(df, scores, label, by), "score", F.col("indicator"), by)
 
 
-def _pair_groups(df: DataFrame, scores: Mapping[str, Column], label: str) -> DataFrame:
+def _pair_groups(df: DataFrame, scores: Mapping[str, Column], label: str, by: Sequence[str]) -> DataFrame:
     """Score groups per class, then copied to each class pair: rows are merged before they multiply."""
-    per_score = _score_groups(class_scores(df, scores, label), F.col("score"), F.col("indicator"), ["class"])
+    per_score = _score_groups(class_scores(df, scores, label, by), F.col("score"), F.col("indicator"), [*by, "class"])
     names = sorted(scores)
     pairs = {c: [f"{a}|{b}" for i, a in enumerate(names) for b in names[i + 1:] if c in (a, b)] for c in names}
     lookup = F.create_map(*[x for c in names for x in (F.lit(c), F.array(*[F.lit(p) for p in pairs[c]]))])
     return (
         per_score.withColumn("pair", F.explode(F.element_at(lookup, F.col("class"))))
-        .groupBy("pair", "threshold").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+        .groupBy(*by, "pair", "threshold").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     )
 
 
-def pairwise_auc(df: DataFrame, scores: Mapping[str, Column], label: str = "label") -> DataFrame:
-    """One-vs-one AUC per class pair; the mean over pairs is ``mean_auc``."""
-    out = _auc_of(_curve(_pair_groups(df, scores, label), ["pair"]), ["pair"])
-    return out.withColumn("mean_auc", F.avg("auc").over(Window.partitionBy(F.lit(0))))
+def pairwise_auc(df: DataFrame, scores: Mapping[str, Column], label: str = "label", by: Sequence[str] = ()) -> DataFrame:
+    """One-vs-one AUC per class pair, and per ``by`` (such as the model); the mean over pairs is ``mean_auc``."""
+    keys = [*by, "pair"]
+    out = _auc_of(_curve(_pair_groups(df, scores, label, by), keys), keys)
+    return out.withColumn("mean_auc", F.avg("auc").over(Window.partitionBy(*(by or [F.lit(0)]))))
 
 
-def pairwise_roc(df: DataFrame, scores: Mapping[str, Column], label: str = "label") -> DataFrame:
-    """ROC curve per class pair, each with its origin."""
-    return _points(_curve(_pair_groups(df, scores, label), ["pair"]), ["pair"])
+def pairwise_roc(df: DataFrame, scores: Mapping[str, Column], label: str = "label", by: Sequence[str] = ()) -> DataFrame:
+    """ROC curve per class pair, and per ``by``, each with its origin."""
+    keys = [*by, "pair"]
+    return _points(_curve(_pair_groups(df, scores, label, by), keys), keys)
 
 
 def regression_metrics(df: DataFrame, actual: str, predicted: str, by: Sequence[str] = ()) -> DataFrame:
@@ -189,19 +198,26 @@ def cv_mean(df: DataFrame, params: Sequence[str], fold: str = "fold", label: str
     )
 
 
+METRICS = ("precision", "recall", "f1", "specificity")
+
+
 def metric_table(
     df: DataFrame, scores: Mapping[str, Column], label: str = "label", prediction: str = "prediction",
     model: str = "model", split: str = "split",
 ) -> DataFrame:
-    """One row per model: train and test accuracy, weighted test metrics, micro AUC, confusion matrix."""
-    metrics = weighted_metrics(df, label, prediction, [model, split])
-    test = metrics.filter(F.col(split) == "test").drop(split, "rows")
-    train = metrics.filter(F.col(split) == "train").select(model, F.col("accuracy").alias("train_accuracy"))
-    held_out = df.filter(F.col(split) == "test")
-    areas = micro_auc(held_out, scores, label, [model])
-    cells = held_out.groupBy(model, F.col(label).alias("a"), F.col(prediction).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    """One row per model: accuracy and weighted metrics of both splits, micro AUC and confusion matrix of the test rows.
+
+    The predictions are read twice: once for the counts of (split, actual, predicted), from which all but the
+    area follows, and once for the area.
+    """
+    cells = cut_lineage(df.groupBy(model, split, F.col(label).alias("a"), F.col(prediction).alias("p")).agg(F.count(F.lit(1)).alias("n")))
+    metrics = _weighted(_rated(cells, [model, split]), [model, split])
+    test = metrics.filter(F.col(split) == "test").select(model, F.col("accuracy").alias("test_accuracy"), *METRICS)
+    train = metrics.filter(F.col(split) == "train").select(
+        model, F.col("accuracy").alias("train_accuracy"), *[F.col(m).alias(f"train_{m}") for m in METRICS])
+    areas = micro_auc(df.filter(F.col(split) == "test"), scores, label, [model])
     names = sorted(scores)
-    matrix = cells.groupBy(model).agg(
+    matrix = cells.filter(F.col(split) == "test").groupBy(model).agg(
         F.array(*[
             F.array(*[F.coalesce(F.sum(F.when((F.col("a") == a) & (F.col("p") == p), F.col("n"))), F.lit(0)) for p in names])
             for a in names
@@ -209,6 +225,5 @@ def metric_table(
     )
     return (
         train.join(test, model).join(areas, model).join(matrix, model)
-        .withColumnRenamed("accuracy", "test_accuracy")
-        .select(model, "train_accuracy", "test_accuracy", "precision", "recall", "f1", "specificity", "auc", "confusion")
+        .select(model, "train_accuracy", "test_accuracy", *METRICS, *[f"train_{m}" for m in METRICS], "auc", "confusion")
     )

@@ -1,10 +1,11 @@
 """Exact nearest-neighbour join and what is built on it: k-distance curve, kNN classes, SMOTE.
 
-Points are assigned to the nearest of a bounded set of pivots. From the cell sizes and radii follows,
-by the triangle inequality, a radius that holds k neighbours of every query of a cell; only rows that
-reach into that radius are compared. Large cells are split into blocks, identical points are merged
-before (keeping the k smallest ids, the only ones a tie rule can pick), and every task returns at most
-k rows per query. Ties in distance go to the smaller id.
+Points go to cells around pivots of two levels, both as numerous as the rows ask for: a coarse one, whose number grows
+with the square root of the rows, and the fine ones near it. Sizes and radii of cells are small tables. Joining them,
+coarse cells first and then the fine ones of the coarse pairs that are left, gives by the triangle inequality a radius
+that holds k neighbours of every query of a cell; only rows that reach into that radius are compared. Cells are cut
+into blocks, identical points are merged before (keeping the k smallest ids, the only ones a tie rule can pick), and
+every task returns at most k rows per query. Ties in distance go to the smaller id.
 """
 
 from __future__ import annotations
@@ -22,12 +23,10 @@ from colonnade.operators.ordering import hash_bucket, ranked
 from colonnade.operators.sampling import SEED, class_counts, class_draws, digest, draw, unit_draw
 from colonnade.session import cut_lineage
 
-# Plan rows (a few numbers each, so some MB) up to which a plan is broadcast.
-PLAN_ROWS = 50_000
-
 BLOCK_ROWS = 512
-MAX_PIVOTS = 2048
-MAX_CELL_PAIRS = 4_000_000
+
+# Rows whose fine cells one group of the assignment looks up.
+ASSIGN_ROWS = 1 << 14
 
 
 def distances(x: np.ndarray, y: np.ndarray, p: int) -> np.ndarray:
@@ -47,66 +46,121 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.vstack(column.to_list()) if len(column) else np.zeros((0, 0))
 
 
-def _assign(pivots: np.ndarray, p: int):
-    @F.pandas_udf("cell int, r double")
+def _nearest(x: np.ndarray, pivots: np.ndarray, p: int) -> tuple[np.ndarray, np.ndarray]:
+    at, r = np.empty(len(x), dtype=np.int64), np.empty(len(x))
+    for start in range(0, len(x), 256):
+        d = distances(x[start:start + 256], pivots, p)
+        best = d.argmin(axis=1)
+        at[start:start + 256] = best
+        r[start:start + 256] = d[np.arange(len(d)), best]
+    return at, r
+
+
+def _coarse(pivots: np.ndarray, p: int):
+    @F.pandas_udf("coarse int, rc double")
     def nearest(points: pd.Series) -> pd.DataFrame:
         if not len(points):
-            return pd.DataFrame({"cell": pd.Series(dtype="int32"), "r": pd.Series(dtype="float64")})
-        x = _matrix(points)
-        cell, r = np.empty(len(x), dtype=np.int32), np.empty(len(x))
-        for start in range(0, len(x), 256):
-            d = distances(x[start:start + 256], pivots, p)
-            best = d.argmin(axis=1)
-            cell[start:start + 256] = best
-            r[start:start + 256] = d[np.arange(len(d)), best]
-        return pd.DataFrame({"cell": cell, "r": r})
+            return pd.DataFrame({"coarse": pd.Series(dtype="int32"), "rc": pd.Series(dtype="float64")})
+        at, r = _nearest(_matrix(points), pivots, p)
+        return pd.DataFrame({"coarse": at.astype(np.int32), "rc": r})
 
     return nearest
 
 
-def _reach_plan(q_cells, t_rings, pivots: np.ndarray, k: int, p: int, chunk_rows: int) -> tuple[list[tuple], dict]:
-    """Which train rows each query cell must see.
+def _pivots(t: DataFrame, block_rows: int, p: int) -> tuple[DataFrame, np.ndarray]:
+    """(coarse, cell, vector) of the fine pivots, about one per ``block_rows`` rows, and the vectors of the coarse ones.
 
-    Returns rows (group, query cell, train cell, low, high, first chunk, chunks): train rows of the cell at a
-    distance from their pivot between low and high can be a k-nearest neighbour; and the number of chunks
-    per query cell. Small train cells share a chunk, large ones are split over several.
+    The coarse pivots are as many as the square root of the fine ones, and fine pivots themselves; they alone are
+    collected and sent to all tasks.
+    """
+    points = t.select("_x").distinct()
+    hashed = F.pmod(F.xxhash64("_x", F.lit(SEED)), F.lit(1 << 30))
+    share = min(1.0, 1.0 / block_rows)
+    fine = cut_lineage(points.filter(hashed < int(share * (1 << 30))))
+    found = fine.count()
+    if not found:
+        fine, found = cut_lineage(points.orderBy(hashed, "_x").limit(1)), 1
+    first = fine.orderBy(F.xxhash64("_x", F.lit(SEED + 1)), "_x").limit(math.ceil(math.sqrt(found))).collect()
+    vectors = np.array([r["_x"] for r in first], dtype=float)
+    placed = fine.withColumn("_n", _coarse(vectors, p)("_x")).select("_n.coarse", F.monotonically_increasing_id().alias("cell"), F.col("_x").alias("vector"))
+    return cut_lineage(placed), vectors
+
+
+def _placed(points: DataFrame, fine: DataFrame, vectors: np.ndarray, p: int) -> DataFrame:
+    """``points`` (_id, _g, _x) with coarse, rc (distance to the coarse pivot), cell and r (to the fine pivot).
+
+    A row looks only at the fine pivots of its coarse cell; any choice of cell gives right answers. Coarse cells of
+    many rows are dealt out over several groups.
     """
-    between = distances(pivots, pivots, p)
-    rings: dict = {}
-    for g, cell, count, radius in t_rings:
-        rings.setdefault(g, []).append((cell, count, radius))
-    by_group = {}
-    for g, here in rings.items():
-        cells, counts, radii = (np.array(x) for x in zip(*here))
-        names, at = np.unique(cells, return_inverse=True)
-        size, widest = np.zeros(len(names), dtype=np.int64), np.zeros(len(names))
-        np.add.at(size, at, counts)
-        np.maximum.at(widest, at, radii)
-        by_group[g] = (cells, counts, radii, names, size, widest)
-    out, chunks = [], {}
-    for g, cell, radius in q_cells:
-        if g not in by_group:
-            continue
-        cells, counts, radii, names, size, widest = by_group[g]
-        upper = between[cell, cells] + radius + radii
-        order = np.argsort(upper, kind="stable")
-        enough = np.searchsorted(np.cumsum(counts[order]), k)
-        reach = upper[order][enough] * (1 + 1e-9) + 1e-12 if enough < len(order) else math.inf
-        gap = between[cell, names]
-        near = np.nonzero(gap - radius - widest <= reach)[0]
-        used, room = 0, 0
-        for j in near:
-            if size[j] > room:  # starts a chunk of its own
-                parts = int(math.ceil(size[j] / chunk_rows))
-                first, used = used, used + parts
-                room = chunk_rows - int(size[j]) if parts == 1 else 0
-            else:
-                parts, first = 1, used - 1
-                room -= int(size[j])
-            low, high = float(gap[j] - radius - reach), float(gap[j] + radius + reach)
-            out.append((g, int(cell), int(names[j]), low, high, first, parts))
-        chunks[g, cell] = used
-    return out, chunks
+    kept = cut_lineage(points.withColumn("_n", _coarse(vectors, p)("_x")).select("_id", "_g", "_x", "_n.coarse", "_n.rc"))
+    parts = kept.groupBy("coarse").agg(F.ceil(F.count(F.lit(1)) / ASSIGN_ROWS).cast("int").alias("parts"))
+    left = kept.join(F.broadcast(parts), "coarse").withColumn("part", F.pmod(F.xxhash64("_x"), F.col("parts")).cast("int")).drop("parts")
+    right = fine.join(F.broadcast(parts), "coarse").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+
+    def assign(rows: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows):
+            return pd.DataFrame({"_id": [], "_g": [], "_x": [], "coarse": [], "rc": [], "cell": [], "r": []})
+        at, r = _nearest(_matrix(rows["_x"]), _matrix(pivots["vector"]), p)
+        return rows[["_id", "_g", "_x", "coarse", "rc"]].assign(cell=pivots["cell"].to_numpy()[at], r=r)
+
+    form = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema) + ", cell bigint, r double"
+    return cut_lineage(left.groupBy("coarse", "part").cogroup(right.groupBy("coarse", "part")).applyInPandas(assign, form))
+
+
+def _gap(a: str, b: str, p: int) -> Column:
+    """Distance between two vector columns."""
+    steps = F.zip_with(a, b, lambda x, y: F.abs(x - y) if p == 1 else (x - y) * (x - y))
+    total = F.aggregate(steps, F.lit(0.0), lambda s, v: s + v)
+    return total if p == 1 else F.sqrt(total)
+
+
+def _reach(pairs: DataFrame, keys: Sequence[str], count: str, k: int) -> DataFrame:
+    """(keys..., reach): the smallest ``upper`` within which ``count`` adds up to k rows; null if there are fewer."""
+    so_far = F.sum(count).over(Window.partitionBy(*keys).orderBy("upper").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    return pairs.withColumn("_seen", so_far).groupBy(*keys).agg(F.min(F.when(F.col("_seen") >= k, F.col("upper"))).alias("reach"))
+
+
+def _within(reach: str) -> Column:
+    """The radius with room for rounding; without k rows every distance is in reach."""
+    return F.coalesce(F.col(reach) * (1 + 1e-9) + 1e-12, F.lit(math.inf))
+
+
+def _plans(q: DataFrame, t: DataFrame, fine: DataFrame, vectors: np.ndarray, k: int, p: int, block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Which train rows each query cell must see, as joined tables of cells.
+
+    Returns (_g, qc, qn, tn): blocks of the query cell and of the train rows it sees; and (_g, qc, tc, low, high,
+    before, size, qn): train rows of cell tc at a distance from its pivot between low and high can be a k-nearest
+    neighbour, and take the places from ``before`` on among those of the query cell.
+    """
+    spark = q.sparkSession
+    pivot = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "coarse int, vector array<double>")
+    outer_q = q.groupBy("_g", "coarse").agg(F.max("rc").alias("rq")).join(F.broadcast(pivot), "coarse").withColumnsRenamed({"coarse": "qo", "vector": "v"})
+    outer_t = t.groupBy("_g", "coarse").agg(F.max("rc").alias("rt"), F.count(F.lit(1)).alias("n")).join(F.broadcast(pivot), "coarse").withColumnsRenamed(
+        {"coarse": "to", "vector": "w"})
+    wide = cut_lineage(outer_q.join(outer_t, "_g").withColumn("gap", _gap("v", "w", p)).drop("v", "w").withColumn("upper", F.expr("gap + rq + rt")))
+    wide = wide.join(_reach(wide, ["_g", "qo"], "n", k), ["_g", "qo"]).filter(F.expr("gap - rq - rt") <= _within("reach")).select("_g", "qo", "to")
+
+    cells_q = q.groupBy("_g", "coarse", "cell").agg(F.max("r").alias("rq"), F.count(F.lit(1)).alias("nq")).join(fine.drop("coarse"), "cell").select(
+        "_g", F.col("coarse").alias("qo"), F.col("cell").alias("qc"), "rq", "nq", F.col("vector").alias("v"))
+    # Rows of a cell by classes of their distance to its pivot.
+    ring = F.floor(F.log2(F.greatest(F.col("r"), F.lit(1e-9))) * 2)
+    rings = t.groupBy("_g", "coarse", "cell", ring.alias("ring")).agg(F.count(F.lit(1)).alias("n"), F.max("r").alias("r"))
+    cells_t = rings.groupBy("_g", "coarse", "cell").agg(
+        F.collect_list(F.struct("n", "r")).alias("rings"), F.sum("n").alias("size"), F.max("r").alias("widest")
+    ).join(fine.drop("coarse"), "cell").select("_g", F.col("coarse").alias("to"), F.col("cell").alias("tc"), "rings", "size", "widest", F.col("vector").alias("w"))
+    pairs = cut_lineage(
+        cells_q.join(wide, ["_g", "qo"]).join(cells_t, ["_g", "to"]).withColumn("gap", _gap("v", "w", p))
+        .select("_g", "qc", "rq", "nq", "tc", "rings", "size", "widest", "gap"))
+    opened = pairs.select("_g", "qc", "gap", "rq", F.explode("rings").alias("ring")).select(
+        "_g", "qc", (F.col("gap") + F.col("rq") + F.col("ring.r")).alias("upper"), F.col("ring.n").alias("n"))
+    near = pairs.drop("rings").join(_reach(opened, ["_g", "qc"], "n", k), ["_g", "qc"]).withColumn("reach", _within("reach")).filter(
+        F.expr("gap - rq - widest") <= F.col("reach"))
+    order = Window.partitionBy("_g", "qc").orderBy("tc").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    plan = cut_lineage(near.select(
+        "_g", "qc", "tc", F.expr("gap - rq - reach").alias("low"), F.expr("gap + rq + reach").alias("high"),
+        (F.sum("size").over(order) - F.col("size")).alias("before"), "size", F.ceil(F.col("nq") / (2 * block_rows)).cast("int").alias("qn")))
+    blocks = plan.groupBy("_g", "qc").agg(F.first("qn").alias("qn"), F.ceil(F.max(F.col("before") + F.col("size")) / (8 * block_rows)).cast("int").alias("tn"))
+    return blocks, plan
 
 
 def knn_join(
@@ -131,47 +185,24 @@ def knn_join(
     same = Window.partitionBy("_g", "_x").orderBy("_id")
     t = t_all.withColumn("_c", F.row_number().over(same)).filter(F.col("_c") <= k).drop("_c")
     q = q_all.groupBy("_g", "_x").agg(F.min("_id").alias("_id"))
-    sizes = t.groupBy("_g").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("g")).first()
+    t = cut_lineage(t)
     id_type = train.schema[id_col].dataType.simpleString()
-    if not sizes["n"]:
+    if t.isEmpty():
         return spark.createDataFrame([], f"{id_col} {id_type}, rank int, neighbor {id_type}, distance double")
-    most = max(int(math.sqrt(MAX_CELL_PAIRS / sizes["g"])), 1)
-    n_pivots = max(1, min(math.ceil(sizes["n"] / block_rows), MAX_PIVOTS, most))
-    picked = t.select("_x").orderBy(F.xxhash64("_x", F.lit(SEED)), "_x").limit(n_pivots).collect()
-    pivots = np.array([r["_x"] for r in picked], dtype=float)
-
-    nearest = _assign(pivots, p)
-    place = lambda d: d.withColumn("_n", nearest("_x")).select("_id", "_g", "_x", "_n.cell", "_n.r")
-    t, q = cut_lineage(place(t)), cut_lineage(place(q))
-    ring = F.floor(F.log2(F.greatest(F.col("r"), F.lit(1e-9))) * 2)
-    t_rings = t.groupBy("_g", "cell", ring.alias("ring")).agg(F.count(F.lit(1)).alias("n"), F.max("r").alias("r"))
-    q_cells = q.groupBy("_g", "cell").agg(F.max("r").alias("r"), F.count(F.lit(1)).alias("n")).collect()
-    ring_rows = t_rings.collect()  # groups x pivots x radius classes, bounded above
-    plan, chunks = _reach_plan(
-        [(r["_g"], r["cell"], r["r"]) for r in q_cells],
-        [(r["_g"], r["cell"], r["n"], r["r"]) for r in ring_rows], pivots, k, p, 8 * block_rows,
-    )
-    q_plan = spark.createDataFrame(
-        [(r["_g"], r["cell"], math.ceil(r["n"] / (2 * block_rows)), chunks[r["_g"], r["cell"]])
-         for r in q_cells if (r["_g"], r["cell"]) in chunks],
-        "_g string, qc int, qn int, tn int",
-    )
-    t_plan = spark.createDataFrame(plan, "_g string, qc int, tc int, low double, high double, first int, parts int")
-    small = lambda d, rows: F.broadcast(d) if rows <= PLAN_ROWS else d
-    q_plan = small(q_plan, len(q_cells))
-    t_plan = small(t_plan.join(q_plan.drop("tn"), ["_g", "qc"]), len(plan))
-    block = lambda n: F.pmod(F.xxhash64("_x"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    keys = ["_g", "qc", "qb", "tb"]
+    fine, vectors = _pivots(t, block_rows, p)
+    t, q = _placed(t, fine, vectors, p), _placed(q, fine, vectors, p)
+    q_plan, t_plan = _plans(q, t, fine, vectors, k, p, block_rows)
+    place = F.col("before") + F.pmod(F.xxhash64("_x"), F.col("size"))
     left = (
         q.withColumnRenamed("cell", "qc").join(q_plan, ["_g", "qc"])
-        .select("_g", "qc", block("qn").alias("qb"), every("tn").alias("tb"), "_id", "_x")
+        .select("_g", "qc", F.pmod(F.xxhash64("_x"), F.col("qn")).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.col("tn") - 1)).alias("tb"), "_id", "_x")
     )
     right = (
         t.withColumnRenamed("cell", "tc").join(t_plan, ["_g", "tc"])
         .filter(F.col("r").between(F.col("low"), F.col("high")))
-        .select("_g", "qc", every("qn").alias("qb"), (F.col("first") + block("parts")).alias("tb"), "_id", "_x")
+        .select("_g", "qc", F.explode(F.sequence(F.lit(0), F.col("qn") - 1)).alias("qb"), F.floor(place / (8 * block_rows)).cast("int").alias("tb"), "_id", "_x")
     )
+    keys = ["_g", "qc", "qb", "tb"]
 
     def nearest_in_block(qs: pd.DataFrame, ts: pd.DataFrame) -> pd.DataFrame:
         if not len(qs) or not len(ts):

@@ -77,3 +77,35 @@ def test_duplicates_with_nulls(spark):
     df = spark.createDataFrame([(1, None), (1, None), (2, "x")], "a int, b string")
     assert tuple(aggregate.duplicate_count(df).first()) == (3, 2, 1)
     assert aggregate.drop_duplicates(df).count() == 2
+
+
+def test_wide_one_hot_equals_the_narrow_one(spark):
+    rows = [(1, "b", "x"), (2, "a", None), (3, "c", "y"), (4, None, "x"), (5, "b", "z")]
+    df = spark.createDataFrame(rows, "id int, p string, q string")
+    narrow = encode.one_hot(df, ["p", "q"])
+    want = {r.id: list(r)[1:] for r in narrow.collect()}
+    got = encode.one_hot_vector(df, ["p", "q"])
+    assert got.columns == ["id", "features"]
+    assert {r.id: r.features.toArray().tolist() for r in got.collect()} == want
+    full = encode.one_hot_vector(df, ["p"], drop_first=False)
+    assert {r.id: r.features.toArray().tolist() for r in full.collect()} == {1: [1, 0, 0], 2: [0, 0, 1], 3: [0, 1, 0], 4: [0, 0, 0], 5: [1, 0, 0]}
+    # Values the index does not know, and a column of one value, give no entry.
+    index = encode.category_index(df, ["p", "q"])
+    new = spark.createDataFrame([(9, "new", "x")], "id int, p string, q string")
+    assert encode.one_hot_vector(new, ["p", "q"], index=index).first().features.toArray().tolist() == [0, 0, 0, 0]
+    flat = spark.createDataFrame([(1, "s", "t"), (2, "s", "u")], "id int, p string, q string")
+    assert {r.id: r.features.toArray().tolist() for r in encode.one_hot_vector(flat, ["p", "q"]).collect()} == {1: [0.0], 2: [1.0]}
+
+
+def test_a_column_of_50000_values_goes_into_a_fit(spark):
+    from pyspark.ml.classification import LogisticRegression
+
+    df = spark.range(60_000).select(
+        F.concat(F.lit("v"), F.col("id") % 50_000).alias("p"), (F.col("id") % 3).cast("string").alias("q"), (F.col("id") % 2).cast("double").alias("y"))
+    with pytest.raises(ValueError):
+        encode.one_hot(df, ["p"])
+    rows = encode.one_hot_vector(df, ["p", "q"])
+    model = LogisticRegression(labelCol="y", maxIter=3, regParam=0.001).fit(rows)
+    assert model.numFeatures == 49_999 + 2
+    hit = model.transform(rows).filter("prediction = y").count()
+    assert hit > 55_000

@@ -42,6 +42,25 @@ def test_itemsets_and_rules_match_a_count(spark, monkeypatch):
     assert any(len(r.consequent) == 2 for r in rules)
 
 
+@pytest.mark.parametrize("least", [0.1, 0.55, 0.9])
+def test_rules_of_wide_baskets_equal_a_count(spark, least):
+    rng = np.random.default_rng(5)
+    rows = [sorted({f"i{j:02d}" for j in range(30) if rng.random() < (0.85 if j < 6 else 0.25)}) for _ in range(300)]
+    df = spark.createDataFrame([(r,) for r in rows], "items array<string>")
+    sets = itemsets.frequent_itemsets(df, 0.2, max_size=5)
+    freq = {tuple(r.itemset): r.freq for r in sets.collect()}
+    assert max(map(len, freq)) == 5 and any("i20" in s for s in freq)
+    want = {}
+    for s, n in freq.items():
+        for size in range(1, len(s)):
+            for c in itertools.combinations(s, size):
+                a = tuple(x for x in s if x not in c)
+                if (n / 300) / (freq[a] / 300) >= least:
+                    want[a, c] = n / freq[a]
+    got = {(tuple(r.antecedent), tuple(r.consequent)): r.confidence for r in itemsets.association_rules(sets, least).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
 def test_baskets_leave_the_first_category_out(spark):
     df = spark.createDataFrame([("x", "u"), ("y", None)], "p string, q string")
     assert [r[0] for r in itemsets.baskets(df).collect()] == [[], ["p_y"]]
