@@ -47,13 +47,12 @@ class ToxicModel:
 def present_slots(points: np.ndarray, starts: np.ndarray, orders, slots: int) -> Iterator[np.ndarray]:
     """The distinct slots of each text, ascending."""
     grams = gram_slots(points, starts, orders, slots)
-    seen = np.zeros(slots, bool)
     for a, b in zip(starts[:-1], starts[1:]):
-        for order, slot in zip(orders, grams):
-            seen[slot[a : max(a, b - order + 1)]] = True
-        found = np.flatnonzero(seen)
-        seen[found] = False
-        yield found
+        found = np.concatenate([slot[a : max(a, b - order + 1)] for order, slot in zip(orders, grams)])
+        found.sort()
+        keep = np.ones(len(found), bool)
+        keep[1:] = found[1:] != found[:-1]
+        yield found[keep]
 
 
 class _Descent:
