@@ -94,6 +94,8 @@ each_term AS (
     sqrt(ssr / df * (1 / n + list_sum([list_sum([mx[a + 1] * inv[a + 1][b + 1] * mx[b + 1] FOR b IN range(w)]) FOR a IN range(w)]))) AS se FROM sums
   UNION ALL
   SELECT names, df, names[a + 1], slope[a + 1], sqrt(ssr / df * inv[a + 1][a + 1]) FROM (SELECT *, unnest(range(w)) AS a FROM sums)
+  UNION ALL
+  SELECT []::VARCHAR[], n - 1, 'const', m_{target}, sqrt({known[target, target]} / (n - 1) / n) FROM crosses
 ),
 terms AS (SELECT names, df, term, coef, se, coef / se AS t, {t_tail_sql('(coef / se)', 'df')} AS p FROM each_term),
 fits AS (

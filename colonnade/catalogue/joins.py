@@ -61,7 +61,24 @@ def knn_classify(spark, folder):
     return parts[0].unionByName(parts[1])
 
 
-@query("smote")
+def _draw_sql(bound, *parts):
+    """A repeatable whole number below ``bound``: the first 15 hexadecimal digits of the key's md5."""
+    key = " || ':' || ".join(f"({p})::VARCHAR" for p in parts)
+    return f"(('0x' || substr(md5({key}), 1, 15))::UBIGINT % ({bound})::UBIGINT)::BIGINT"
+
+
+@query("smote", f"""WITH {LABELLED}, l AS (SELECT stop_id AS id, arrival_status AS y, delay_minutes::DOUBLE AS d, k::DOUBLE AS k FROM labelled),
+c AS (SELECT y, count(*) AS n, max(count(*)) OVER () - count(*) AS need FROM l GROUP BY y),
+small AS (SELECT l.*, row_number() OVER (PARTITION BY y ORDER BY md5(id::VARCHAR || ':5805')) AS rn FROM l JOIN c USING (y) WHERE need > 0),
+pairs AS (SELECT a.id, b.id AS other, row_number() OVER (PARTITION BY a.id ORDER BY sqrt((a.d - b.d) * (a.d - b.d) + (a.k - b.k) * (a.k - b.k)), b.id) AS r
+  FROM small a JOIN small b ON a.y = b.y AND a.id <> b.id),
+near AS (SELECT id, list(other ORDER BY r) AS others FROM pairs WHERE r <= 5 GROUP BY id),
+draws AS (SELECT y, n, unnest(range(1, need + 1)) AS draw FROM c WHERE need > 0),
+based AS (SELECT s.*, draw, others FROM draws JOIN small s ON s.y = draws.y AND s.rn = {_draw_sql('n', 'draws.y', 'draw', "'5805'")} + 1 LEFT JOIN near USING (id)),
+made AS (SELECT y, id, d, k, coalesce(others[{_draw_sql('len(others)', 'y', 'draw', "'other'", "'5805'")} + 1], id) AS other,
+  {_draw_sql(2**52, 'y', 'draw', "'gap'", "'5805'")}::DOUBLE / {2**52}::DOUBLE AS gap FROM based)
+SELECT id AS stop_id, y AS arrival_status, round(d, 6) AS delay_minutes, round(k, 6) AS k, NULL::BIGINT AS base, NULL::BIGINT AS other, NULL::DOUBLE AS gap FROM l
+UNION ALL SELECT NULL, m.y, round(m.d + gap * (o.d - m.d), 6), round(m.k + gap * (o.k - m.k), 6), m.id, m.other, round(gap, 6) FROM made m JOIN l o ON o.id = m.other""")
 def smote(spark, folder):
     return neighbors.smote(labelled(spark, folder), "arrival_status", ["delay_minutes", "k"], "stop_id")
 

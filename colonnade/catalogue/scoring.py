@@ -338,7 +338,7 @@ def _variance_sql(ratio: str, share: str) -> str:
     return f"""shares AS (SELECT position, {ratio} AS ratio, {share} AS share FROM eigen),
 sums AS (SELECT *, sum(ratio) OVER (ORDER BY position) AS cumulative FROM shares)
 SELECT position::INTEGER AS component, round(ratio, 6) AS ratio, round(cumulative, 6) AS cumulative, round(share, 6) AS share,
-  (SELECT min(position) FROM sums WHERE cumulative >= 0.95)::INTEGER AS n95 FROM sums"""
+  coalesce((SELECT min(position) FROM sums WHERE cumulative >= 0.95), 1)::INTEGER AS n95 FROM sums"""
 
 
 @query("pca_variance", f"WITH RECURSIVE {CORR5}, {jacobi_sql('corr5', 5)}, {_variance_sql('value / 5', 'value / 5')}")
