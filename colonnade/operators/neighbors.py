@@ -190,7 +190,12 @@ def knn_join(
     if t.isEmpty():
         return spark.createDataFrame([], f"{id_col} {id_type}, rank int, neighbor {id_type}, distance double")
     fine, vectors = _pivots(t, block_rows, p)
-    t, q = _placed(t, fine, vectors, p), _placed(q, fine, vectors, p)
+    t = _placed(t, fine, vectors, p)
+    if queries is train:  # the queries are among the placed rows
+        places = ("coarse", "rc", "cell", "r")
+        q = cut_lineage(t.groupBy("_g", "_x").agg(F.min("_id").alias("_id"), *[F.first(c).alias(c) for c in places]))
+    else:
+        q = _placed(q, fine, vectors, p)
     q_plan, t_plan = _plans(q, t, fine, vectors, k, p, block_rows)
     place = F.col("before") + F.pmod(F.xxhash64("_x"), F.col("size"))
     left = (
