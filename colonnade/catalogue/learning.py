@@ -78,7 +78,7 @@ s AS (SELECT t.stop_id, t.fold, t.arrival_status, text, "at", c, {likely} AS sco
 r AS (SELECT fold, text, "at", arg_max(c, score) = any_value(arrival_status) AS hit FROM s GROUP BY fold, text, "at", stop_id),
 h AS (SELECT text, "at", avg(share) AS mean_accuracy FROM (SELECT fold, text, "at", avg(hit::INT) AS share FROM r GROUP BY ALL) GROUP BY ALL)
 SELECT 'naive bayes' AS model, '{{"smoothing": ' || text || '}}' AS params, round(mean_accuracy, 6) AS mean_accuracy,
-  row_number() OVER (ORDER BY mean_accuracy DESC, "at")::INTEGER AS rank FROM h"""
+  row_number() OVER (ORDER BY round(mean_accuracy, 12) DESC, "at")::INTEGER AS rank FROM h"""
 
 
 @query("nb_search", _nb_sql())

@@ -105,8 +105,8 @@ def together(fn: Callable, items: Sequence, width: int = 4) -> list:
 
 
 def cv_table(frame: ClassFrame, name: str, scores: Sequence[tuple[dict, float]]) -> tuple[DataFrame, dict]:
-    """Search result as a table, and the best setting (the first on a tie)."""
-    order = sorted(range(len(scores)), key=lambda i: (-scores[i][1], i))
+    """Search result as a table, and the best setting (the first on a tie; the last digits do not part equals)."""
+    order = sorted(range(len(scores)), key=lambda i: (-round(scores[i][1], 12), i))
     rank = {i: r + 1 for r, i in enumerate(order)}
     rows = [(name, json.dumps(p, sort_keys=True), float(a), rank[i]) for i, (p, a) in enumerate(scores)]
     table = frame.data.sparkSession.createDataFrame(rows, "model string, params string, mean_accuracy double, rank int")
