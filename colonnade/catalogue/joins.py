@@ -115,6 +115,26 @@ every AS (SELECT z.id AS p_partkey, coalesce(label.label, border.label, -1) AS l
 """
 
 
+FIVE_GAPS = " + ".join(f"(x.v[{i}] - y.v[{i}]) * (x.v[{i}] - y.v[{i}])" for i in range(1, 6))
+FIVE = f"""WITH RECURSIVE z AS (SELECT vec_id AS id, embedding[1:5]::DOUBLE[] AS v FROM embeddings),
+near AS (SELECT x.id AS i, y.id AS j FROM z x JOIN z y ON {FIVE_GAPS} <= 0.12::DOUBLE * 0.12::DOUBLE),
+core AS (SELECT i AS id FROM near GROUP BY i HAVING count(*) >= 4),
+link AS (SELECT i, j FROM near WHERE i IN (SELECT id FROM core) AND j IN (SELECT id FROM core)),
+reach(id, root) AS (SELECT id, id FROM core UNION SELECT link.j, reach.root FROM reach JOIN link ON link.i = reach.id),
+label AS (SELECT id, min(root) AS label FROM reach GROUP BY id),
+border AS (SELECT near.i AS id, min(label.label) AS label FROM near JOIN label ON near.j = label.id
+           WHERE near.i NOT IN (SELECT id FROM core) GROUP BY 1)
+SELECT z.id AS vec_id, coalesce(label.label, border.label, -1) AS label FROM z LEFT JOIN label ON z.id = label.id LEFT JOIN border ON z.id = border.id"""
+
+
+@query("dbscan_five", FIVE)
+def dbscan_five(spark, folder):
+    """Five columns, more than the grid's search axes."""
+    columns = [f"x{i}" for i in range(5)]
+    rows = table(spark, folder, "embeddings").select("vec_id", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(columns)])
+    return density.dbscan(rows, "vec_id", columns, 0.12, 4).select("vec_id", "label")
+
+
 def _dbscan(spark, folder):
     columns = ["p_size", "p_retailprice"]
     scaled = encode.zscore(table(spark, folder, "part").select("p_partkey", *columns), columns)

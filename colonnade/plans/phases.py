@@ -41,6 +41,7 @@ class StudyConfig:
     folds: int = 5
     restarts: int = 10
     ks: Sequence[int] = field(default_factory=lambda: range(2, 21))
+    first_n_columns: bool = False  # stand the first n columns in for n components, instead of projecting
     eps: float = 0.5
     min_points: int = 5
 
@@ -105,7 +106,8 @@ def compare_selectors(frame: ClassFrame, subsets: Mapping[str, ClassFrame], tree
 def select_features(rows: DataFrame, cfg: StudyConfig, id_col: str = "trip_id") -> dict:
     """Importance, components, collinearity and SVD ranking, and which of them scores best.
 
-    Component scores are real projections of the train rows; a winning PCA therefore yields new columns.
+    Component scores are real projections of the train rows; a winning PCA therefore yields new columns, unless
+    ``cfg.first_n_columns`` takes as many of the original ones in their place.
     """
     spark = rows.sparkSession
     numeric = [c for c in column_names(rows) if c not in cfg.exclude]
@@ -119,7 +121,7 @@ def select_features(rows: DataFrame, cfg: StudyConfig, id_col: str = "trip_id")
     pca = moments.pca(frame.train, numeric, ignore=dummies)
     svd = moments.svd(frame.train, [c for c in numeric if c not in removed], ignore=dummies)
     projected = pca.project(frame.data)
-    components = [f"pc{i + 1}" for i in range(pca.n95)]
+    components = numeric[: pca.n95] if cfg.first_n_columns else [f"pc{i + 1}" for i in range(pca.n95)]
     subsets = {
         "forest": ClassFrame(frame.data, frame.classes, chosen, frame.folds),
         "pca": ClassFrame(projected, frame.classes, components, frame.folds),
@@ -146,7 +148,7 @@ def prepare(stops: DataFrame, cfg: StudyConfig = StudyConfig()) -> dict[str, Dat
     encoded = cut_lineage(one_hot(rows, list(cfg.encode)))
     picked = select_features(encoded, cfg)
     kept = cut_lineage(drop_outliers(encoded.drop(*picked["removed"]), "trip_id", list(cfg.outlier_columns)))
-    if picked["best"] == "pca":
+    if picked["best"] == "pca" and not cfg.first_n_columns:
         source = encoded.join(kept.select("trip_id"), "trip_id", "left_semi")
         chosen = picked["projection"].project(source).select("trip_id", *picked["features"], "scheduled_time", cfg.label)
     else:

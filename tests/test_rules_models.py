@@ -179,6 +179,17 @@ def test_study_phases_run_end_to_end(spark):
     assert mined["k_distance"].count() == out["clean"].count()
 
 
+def test_first_columns_stand_in_for_components(spark):
+    rows = phases.one_hot(phases.with_features(phases.clean_trips(phases.load_trips(tables.stops(spark, "/root/testdata/sf0.001"))["trips"])), ["line"])
+    rows = rows.drop("status", "type")
+    cfg = dict(trees=2, max_depth=3, folds=2, encode=("line",))
+    first = phases.select_features(rows, phases.StudyConfig(first_n_columns=True, **cfg))
+    named = {r.selector: r.features.split(",") for r in first["scores"].collect()}
+    n = first["pca"].first().n95
+    numeric = [c for c in phases.column_names(rows) if c != "arrival_minutes"]
+    assert named["pca"] == numeric[:n] and n > 1
+
+
 MODEL_QUERIES = {
     "tree_grid": (ensembles, "decision_tree"), "cv_results": (ensembles, "decision_tree"), "logistic_grid": (builtin, "logistic"),
     "mlp_grid": (builtin, "neural_network"), "forest_grid": (ensembles, "random_forest"), "bagging_grid": (ensembles, "bagging"),
