@@ -27,6 +27,9 @@ LONGEST = 48
 
 SLICE = 1 << 20
 
+# Bytes of a word up to which merging goes without a heap, and the rank of a pair that never merges.
+SHORT, NEVER = 40, (1 << 60, -1)
+
 # What follows an apostrophe to make a piece of its own.
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 
@@ -73,6 +76,21 @@ class Merges:
         """Merge the pair of lowest rank, the leftmost of equals, until none is left; linked symbols and a heap."""
         symbols = [self.inner[b] for b in word[:-1]] + [self.last[word[-1]]]
         n = len(symbols)
+        if n <= SHORT:  # looking at every pair again is quicker than a heap
+            look = self.rank.get
+            ranks = [look(p, NEVER) for p in zip(symbols, symbols[1:])]
+            while ranks:
+                best = min(ranks)
+                if best is NEVER:
+                    break
+                i = ranks.index(best)
+                symbols[i : i + 2] = [best[1]]
+                del ranks[i]
+                if i:
+                    ranks[i - 1] = look((symbols[i - 1], symbols[i]), NEVER)
+                if i < len(ranks):
+                    ranks[i] = look((symbols[i], symbols[i + 1]), NEVER)
+            return symbols
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
         heap = [(*self.rank[p], i) for i, p in enumerate(zip(symbols, symbols[1:])) if p in self.rank]
         heap = [(rank, i, made) for rank, made, i in heap]
