@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -79,3 +81,9 @@ def test_shuffle_is_a_permutation(spark):
     got = sampling.shuffled(_skewed(spark, 500).select("id"), "id").collect()
     assert sorted(r.position for r in got) == list(range(1, 501))
     assert [r.id for r in got] != sorted(r.id for r in got)
+
+
+def test_draws_are_not_broadcast(spark):
+    """Spark sees three class rows where the draws are as many as the table's rows."""
+    plan = sampling.oversample(_skewed(spark, 300), "id", "c")._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"SortMergeJoin \[c#\d+, _rn#", plan) and not re.search(r"BroadcastHashJoin \[c#\d+, _rn#", plan)
