@@ -134,3 +134,32 @@ def test_kmeans_finds_two_groups(spark):
     rows = curve.orderBy("k").collect()
     assert [r.k for r in rows if r.best] == [2] and rows[0].wcss > rows[1].wcss > rows[2].wcss
     assert labels.groupBy("cluster").count().count() == 2
+
+
+@pytest.mark.parametrize("d", [8, 24])
+@pytest.mark.parametrize("shift", [0.0, 1e6])
+def test_nearest_by_products_equals_distances(d, shift):
+    """Inner products only choose candidates: ties, copies and far origins give what plain distances give."""
+    rng = np.random.default_rng(d)
+    y = np.round(np.concatenate([rng.normal(0, 1, (4500, d)), np.tile(rng.normal(0, 1, (1, d)), (300, 1))]), 1) + shift
+    x = np.concatenate([y[::37], rng.normal(0, 1, (40, d)) + shift])
+    row, col, value = neighbors.smallest(x, y, 7, 2)
+    dist = neighbors.distances(x, y, 2)
+    want = np.argsort(dist, axis=1, kind="stable")[:, :7]
+    assert (row.reshape(-1, 7) == np.arange(len(x))[:, None]).all() and (col.reshape(-1, 7) == want).all()
+    np.testing.assert_array_equal(value.reshape(-1, 7), np.take_along_axis(dist, want, 1))
+
+
+def test_rows_travel_once_per_large_block(spark):
+    """Where every query cell sees all rows, cells are compared together: few copies of each row, many pairs."""
+    x = np.random.default_rng(3).normal(0, 1, (1500, 32))
+    df, _ = _frame(spark, x)
+    t = df.select(F.col("id").alias("_id"), F.lit("").alias("_g"), F.col("features").alias("_x"))
+    fine, vectors = neighbors._pivots(t, 8, 2)
+    placed = neighbors._placed(t, fine, vectors, 2)
+    blocks, plan = neighbors._plans(placed, placed, fine, vectors, 5, 2, 8)
+    copies = plan.groupBy("_g", "unit").agg((F.sum("size") * F.first("qn")).alias("n")).agg(F.sum("n")).first()[0]
+    assert copies < 30 * len(x) < fine.count() * len(x)
+    got = neighbors.knn_join(df, df, 5, block_rows=8).toPandas().sort_values(["id", "rank"])
+    want = np.argsort(neighbors.distances(x, x, 2), axis=1, kind="stable")[:, :5]
+    assert (got["neighbor"].to_numpy().reshape(-1, 5) == want).all()
