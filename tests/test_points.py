@@ -163,3 +163,23 @@ def test_rows_travel_once_per_large_block(spark):
     got = neighbors.knn_join(df, df, 5, block_rows=8).toPandas().sort_values(["id", "rank"])
     want = np.argsort(neighbors.distances(x, x, 2), axis=1, kind="stable")[:, :5]
     assert (got["neighbor"].to_numpy().reshape(-1, 5) == want).all()
+
+
+@pytest.mark.parametrize("shift", [0.0, 1e5])
+def test_silhouette_of_many_dimensions(spark, shift):
+    """Blocks meet once for both sides; distances by products agree with plain ones, copies and near points included."""
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.normal(m, 1, (40, 12)) for m in (0, 2)]) + shift
+    x[60:70] = x[50] + 1e-4 * rng.normal(0, 1, (10, 12))
+    x[5:9] = x[4]
+    np.testing.assert_allclose(cluster.far_distances(x, x), neighbors.distances(x, x, 2), rtol=1e-9, atol=1e-12)
+    label, gap, score = np.arange(80) // 40, neighbors.distances(x, x, 2), []
+    for i in range(80):
+        own = label == label[i]
+        a = gap[i, own].sum() / (own.sum() - 1)
+        b = gap[i, ~own].mean()
+        score.append((b - a) / max(a, b))
+    df, _ = _frame(spark, x)
+    df = df.withColumn("label", F.floor(F.col("id") / 40).cast("int"))
+    for block in (None, 16):
+        assert cluster.silhouette_euclidean(df, block_rows=block).first()[0] == pytest.approx(np.mean(score), abs=1e-9)
