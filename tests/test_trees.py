@@ -140,6 +140,15 @@ def test_one_growth_serves_all_settings(frame, search, plans, grid, size):
         assert accuracy == pytest.approx(share)
 
 
+def test_driver_holds_the_trees_of_few_folds(frame, monkeypatch):
+    grid = {"estimators": [2, 5], "row_share": [1.0], "column_share": [0.7], "max_depth": [3, 30]}
+    want, held, grow = sorted(ensembles.bagging(frame, grid).cv.collect()), [], trees.grow
+    monkeypatch.setattr(ensembles, "NODES_AT_ONCE", 1)
+    monkeypatch.setattr(trees, "grow", lambda blocks, plans, *a: (held.append(len(plans)), grow(blocks, plans, *a))[1])
+    assert sorted(ensembles.bagging(frame, grid).cv.collect()) == want
+    assert len(held) >= frame.folds and max(held) <= 5
+
+
 def plain_boosting(x, y, learn, k, rounds, rate, plan):
     """Margins after every round, with a plain regression tree per class."""
 
