@@ -145,6 +145,15 @@ def test_importance_and_subsets(frame):
     assert builtin.subset_accuracy(frame, ["a", "b"], "logistic", max_iter=30) > 0.8
 
 
+def test_fits_that_ended_serve_larger_limits(frame, monkeypatch):
+    """Steps do not depend on their largest number: a fit that ended before it is not repeated with a larger one."""
+    asked, fit = [], builtin.fit_logistic
+    monkeypatch.setattr(builtin, "fit_logistic", lambda train, f, **p: (asked.append(p["max_iter"]), fit(train, f, **p))[1])
+    found = {r.params: r.mean_accuracy for r in builtin.logistic(frame, {"c": [1.0], "max_iter": [500, 2, 900]}).cv.collect()}
+    assert sorted(asked)[:4] == [2, 2, 500, 500] and asked.count(900) == 0
+    assert len(found) == 3 and found['{"c": 1.0, "max_iter": 500}'] == found['{"c": 1.0, "max_iter": 900}']
+
+
 def test_binary_logistic(spark, frame):
     df = frame.data.withColumn("top", F.when(F.col("label") == "top", "yes").otherwise("no"))
     two = make_frame(df, "top", ["a", "b"], "id", folds=2)
