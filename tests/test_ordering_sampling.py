@@ -84,6 +84,13 @@ def test_shuffle_is_a_permutation(spark):
 
 
 def test_draws_are_not_broadcast(spark):
-    """Spark sees three class rows where the draws are as many as the table's rows."""
-    plan = sampling.oversample(_skewed(spark, 300), "id", "c")._jdf.queryExecution().executedPlan().toString()
-    assert re.search(r"SortMergeJoin \[c#\d+, _rn#", plan) and not re.search(r"BroadcastHashJoin \[c#\d+, _rn#", plan)
+    """Spark sees a few chunks of draw numbers where the draws are as many as the table's rows."""
+    usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", 20_000)
+    try:
+        out = sampling.oversample(spark.range(200_000).select("id", (F.col("id") % 3 == 0).cast("string").alias("c")), "id", "c")
+        rows = out.toArrow().num_rows
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
+    joins = re.findall(r"(\w+Join) \[c#\d+, _rn#", out._jdf.queryExecution().executedPlan().toString())
+    assert rows == 2 * 133_333 and joins and set(joins) == {"SortMergeJoin"}
