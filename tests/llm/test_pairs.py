@@ -16,6 +16,7 @@ import corpus_pipeline
 from colonnade.llm import warc
 from colonnade.llm.jaccard import folded, group_count, jaccard_groups, may_link
 from colonnade.llm.links import components
+from colonnade.llm import passages as passage_module
 from colonnade.llm.passages import aligned, chains, common_words, shared_passages
 from colonnade.llm.queries import SQL
 from colonnade.llm.storage import Scratch, member_mask
@@ -263,6 +264,33 @@ def test_passages_are_found_and_others_left_alone(spark):
         assert 60 <= len(a) <= 80 and row.equal_words == common_words(np.array(a), np.array(b)) and row.identity >= 0.8
 
 
+def test_passages_of_many_chains_grow_at_once_as_each_by_itself():
+    def slow(a, b):
+        total = best = size = equal = same = 0
+        top = 0
+        for n, (x, y) in enumerate(zip(a, b), 1):
+            total, same = total + (1 if x == y else -passage_module.MISMATCH), same + (x == y)
+            top = max(top, total)
+            if top - total > passage_module.DROP:
+                break
+            if total > best:
+                best, size, equal = total, n, same
+        return size, equal
+
+    rng = np.random.default_rng(5)
+    texts = [rng.integers(0, 3, 150) for _ in range(40)]
+    others = [np.where(rng.random(150) < 0.1 * (i % 5), 7, t) for i, t in enumerate(texts)]
+    a, b = np.concatenate(texts), np.concatenate(others)
+    starts, offsets = 150 * np.arange(40), rng.integers(0, 150, 40)
+    for step, n in ((1, 150 - offsets), (-1, offsets + 1)):
+        size, equal = passage_module.grown(a, starts + offsets, b, starts + offsets, n, step)
+        expected = [slow(t[o:][:m] if step > 0 else t[o::-1], u[o:][:m] if step > 0 else u[o::-1]) for t, u, o, m in zip(texts, others, offsets, n)]
+        assert list(zip(size.tolist(), equal.tolist())) == [(int(s), int(e)) for s, e in expected]
+    least, place = passage_module.window_least(a, 14)
+    views = np.lib.stride_tricks.sliding_window_view(a, 14)
+    assert (least == views.min(axis=1)).all() and (place == views.argmin(axis=1) + np.arange(len(views))).all()
+
+
 def test_passages_take_edge_rows(spark):
     out = shared_passages(documents(spark)).collect()
     touched = {r.doc_id for r in out} | {r.other_id for r in out}
