@@ -136,6 +136,27 @@ def test_kmeans_finds_two_groups(spark):
     assert labels.groupBy("cluster").count().count() == 2
 
 
+@pytest.mark.parametrize("d", [2, 9])
+def test_kmeans_models_step_together_as_each_alone(spark, d):
+    x = np.random.default_rng(d).normal(0, 1, (300, d))
+    x[:40] = x[0]
+    df, names = _frame(spark, x)
+    blocks = cluster._point_blocks(df.select(F.col("features").alias("x")), 3)
+    starts = [x[at : at + k] for k in (2, 5) for at in (50, 120)] + [np.vstack([x[200], x[201] + 1e3])]
+    for steps in (3, 100):
+        for start, (centers, cost) in zip(starts, cluster.lloyd(blocks, starts, steps, 1e-4)):
+            now = start.copy()
+            for _ in range(steps):
+                gap = ((x[:, None] - now) ** 2).sum(axis=2)
+                near, before, want = gap.argmin(axis=1), now.copy(), gap.min(axis=1).sum()
+                for c in set(near):
+                    now[c] = x[near == c].mean(axis=0)
+                if (((now - before) ** 2).sum(axis=1) <= 1e-8).all():
+                    break
+            np.testing.assert_allclose(centers, now, atol=1e-9)
+            assert cost == pytest.approx(want, rel=1e-9)
+
+
 @pytest.mark.parametrize("d", [8, 24])
 @pytest.mark.parametrize("shift", [0.0, 1e6])
 def test_nearest_by_products_equals_distances(d, shift):
