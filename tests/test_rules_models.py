@@ -235,3 +235,30 @@ def test_study_queries_run_the_full_settings(monkeypatch):
     with pytest.raises(ZeroDivisionError):
         QUERIES["cluster_and_mine"](None, "")
     assert seen == [(4, {}), (4, {})]
+
+
+def test_fits_of_several_folds_run_at_a_time(spark):
+    import threading
+
+    from colonnade.models import frame as frames
+
+    rows = spark.range(200).selectExpr("id", "if(id % 2 = 0, 'a', 'b') AS label", "id % 2 + 0.0 AS x").coalesce(1)
+    frame = frames.make_frame(rows, "label", ["x"], "id")
+    frame = frames.ClassFrame(frame.data.coalesce(1), frame.classes, frame.columns, frame.folds)
+    both, met, seen, turn = threading.Barrier(2), [], [], itertools.count()
+
+    def fit(train, frame, right):
+        # Only one line of settings, so that two fits can meet here only if they belong to two folds.
+        seen.append(sorted(r.fold for r in train.select("fold").distinct().collect()))
+        if next(turn) < 2:
+            try:
+                both.wait(30)
+                met.append(True)
+            except threading.BrokenBarrierError:
+                pass
+        truth = F.array(*[(F.col("label") == c).cast("double") for c in frame.classes])
+        return lambda df: df.withColumn("probability", truth if right else F.array(F.lit(1.0), F.lit(0.0)))
+
+    found = frames.cross_validate(frame, fit, [{"right": True}])
+    assert len(met) == 2 and sorted(seen) == [[f for f in range(5) if f != out] for out in reversed(range(5))]
+    assert found == [({"right": True}, pytest.approx(1.0))]
