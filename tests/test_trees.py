@@ -238,3 +238,49 @@ def test_bins(spark):
     assert few.tolist() == [0.5, 1.5, 2.5, 3.5] and len(one) == 0 and 60 <= len(wide) <= 63
     x = trees.binned(np.asarray([[-5.0, 0.0, 1.0], [999.0, 4.0, 1.0]]), [wide, few, one])
     assert x.tolist() == [[0, 0, 0], [len(wide), 4, 0]]
+
+
+def test_scoring_holds_few_trees(frame, monkeypatch):
+    """A forest of many nodes is scored some trees at a time, with the shares of the whole forest."""
+    point = {"trees": 5, "max_depth": 30, "min_rows": 2}
+    want = {r.id: r.probability for r in ensembles.fit_forest(frame.train, frame, **point)(frame.data).collect()}
+    weights = [tuple(r) for r in ensembles.classification_importance(frame, trees=5).collect()]
+    held, shares = [], trees.Forest.shares
+    monkeypatch.setattr(trees.Forest, "shares", lambda self: (held.append(len(self.root)), shares(self))[1])
+    monkeypatch.setattr(ensembles, "NODES_AT_ONCE", 1)
+    scorer = ensembles.fit_forest(frame.train, frame, **point)
+    for _ in range(2):
+        assert {r.id: r.probability for r in scorer(frame.data).collect()} == want
+    assert set(held) == {1} and len(held) == 10
+    assert [tuple(r) for r in ensembles.classification_importance(frame, trees=5).collect()] == weights
+
+
+def test_a_pass_splits_nodes_of_few_trees(frame, packed, monkeypatch):
+    plans = ensembles.forest_plans(packed.p, trees=6)
+    want = trees.grow(packed.blocks, plans, "class", "gini", packed.p, packed.bins, 3, local_rows=10)
+    passes, split = [], trees._split_large
+    monkeypatch.setattr(trees, "_split_large", lambda blocks, held, *a: (passes.append(held.value[2][held.value[1]]), split(blocks, held, *a))[1])
+    monkeypatch.setattr(trees, "HISTOGRAM_BYTES", 3 * packed.p * packed.bins * 3 * 8)
+    got = trees.grow(packed.blocks, plans, "class", "gini", packed.p, packed.bins, 3, local_rows=10)
+    x = block_of(packed).x
+    for one, other in zip(*[[f.stats[f.leaves(x, np.asarray([t]))[:, 0]] for t in range(6)] for f in (got, want)]):
+        assert (one == other).all()
+    assert len(passes) > 6 and all((np.diff(own) >= 0).all() for own in passes)
+    # Within a level the passes go on where the one before ended.
+    again = [own[0] < before[-1] for before, own in zip(passes, passes[1:])]
+    assert sum(again) <= want.depth.max()
+
+
+def test_finishing_subtrees_holds_few_sums():
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    n, p = 1 << 17, 20
+    x, y = rng.integers(0, 64, (n, p)).astype(np.uint8), rng.integers(0, 3, n).astype(float)
+    rule, at = trees.Nodes([trees.Plan(max_depth=9)] * 16, "class", "gini", p), np.arange(16)
+    tracemalloc.start()
+    try:
+        trees.grow_here(rule, 64, x, trees.row_stats(y, np.ones(n), "class", 3), np.arange(n) // 8192, at, at * 0, at.astype(np.uint64))
+        assert tracemalloc.get_traced_memory()[1] < 300e6
+    finally:
+        tracemalloc.stop()
