@@ -204,3 +204,23 @@ def test_silhouette_of_many_dimensions(spark, shift):
     df = df.withColumn("label", F.floor(F.col("id") / 40).cast("int"))
     for block in (None, 16):
         assert cluster.silhouette_euclidean(df, block_rows=block).first()[0] == pytest.approx(np.mean(score), abs=1e-9)
+
+
+def test_cells_of_many_columns_meet_in_blocks(spark, monkeypatch):
+    """More columns than search axes: pairs of cells found in blocks are those of the plain join."""
+    rng = np.random.default_rng(8)
+    names = [f"x{i}" for i in range(5)]
+    rows = np.concatenate([rng.normal(0, 0.2, (60, 5)), rng.normal(1, 0.05, (30, 5)), np.zeros((4, 5))])
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(rows)], "id long, " + ", ".join(f"{c} double" for c in names))
+    monkeypatch.setattr(density, "PAIR_CELLS", 7)
+    grid = density.Grid(df, "id", names, 0.25, 4)
+    keep = lambda pairs: sorted((tuple(r.a.cell), tuple(r.b.cell), r.b.weight) for r in pairs.collect())
+    met, calls, inner = keep(grid.cell_pairs(grid.cells, grid.cells)), [], density.Grid._compared
+    monkeypatch.setattr(density.Grid, "_compared", lambda self, a, b: (calls.append(1), inner(self, a, b))[1])
+    labels = {r.id: r.label for r in density.dbscan(df, "id", names, 0.25, 4).collect()}
+    assert calls
+    grid.axes = list(range(5))
+    monkeypatch.setattr(density, "SEARCH_AXES", 5)
+    assert keep(grid.cell_pairs(grid.cells, grid.cells)) == met and len(met) > grid.cells.count()
+    assert {r.id: r.label for r in density.dbscan(df, "id", names, 0.25, 4).collect()} == labels
+    assert len(set(labels.values())) > 1

@@ -277,7 +277,7 @@ def test_finishing_subtrees_holds_few_sums():
     rng = np.random.default_rng(1)
     n, p = 1 << 17, 20
     x, y = rng.integers(0, 64, (n, p)).astype(np.uint8), rng.integers(0, 3, n).astype(float)
-    rule, at = trees.Nodes([trees.Plan(max_depth=9)] * 16, "class", "gini", p), np.arange(16)
+    rule, at = trees.Nodes([trees.Plan()] * 16, "class", "gini", p), np.arange(16)
     tracemalloc.start()
     try:
         trees.grow_here(rule, 64, x, trees.row_stats(y, np.ones(n), "class", 3), np.arange(n) // 8192, at, at * 0, at.astype(np.uint64))
