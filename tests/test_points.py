@@ -224,3 +224,23 @@ def test_cells_of_many_columns_meet_in_blocks(spark, monkeypatch):
     assert keep(grid.cell_pairs(grid.cells, grid.cells)) == met and len(met) > grid.cells.count()
     assert {r.id: r.label for r in density.dbscan(df, "id", names, 0.25, 4).collect()} == labels
     assert len(set(labels.values())) > 1
+
+
+def test_blocks_of_few_dimensions_leave_out_boxes_out_of_reach(monkeypatch):
+    draw = np.random.default_rng(4)
+    x, y = draw.integers(0, 400, (900, 2)).astype(float), draw.integers(0, 400, (6000, 2)).astype(float)
+    compared, distances = [], neighbors.distances
+
+    def counted(a, b, p):
+        compared.append(len(a) * len(b))
+        return distances(a, b, p)
+
+    for p in (1, 2):
+        gap = distances(x, y, p)
+        want = np.argsort(gap, axis=1, kind="stable")[:, :7]
+        with monkeypatch.context() as m:
+            m.setattr(neighbors, "distances", counted)
+            row, col, value = neighbors.smallest(x, y, 7, p)
+        assert (col.reshape(-1, 7) == want).all() and (row == np.repeat(np.arange(900), 7)).all()
+        assert (value.reshape(-1, 7) == np.take_along_axis(gap, want, 1)).all()
+    assert sum(compared) < 0.5 * 2 * len(x) * len(y)
