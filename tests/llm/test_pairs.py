@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from colonnade.llm import warc
+from colonnade.llm import jaccard, warc
 from colonnade.llm.jaccard import folded, group_count, jaccard_groups, may_link
 from colonnade.llm.links import components
 from colonnade.llm import passages as passage_module
@@ -22,6 +22,7 @@ from colonnade.llm.queries import SQL
 from colonnade.llm.storage import Scratch, member_mask
 from colonnade.llm.vectors import near_vectors
 from colonnade.llm.wordhash import run_hashes, word_hashes
+from colonnade.session import cut_lineage
 
 
 def brute_components(rows, length, percent):
@@ -426,3 +427,12 @@ def test_pipeline_keeps_columns_of_any_name_and_type(spark):
     for r in docs.collect():
         first = next(t for i, t, *_ in rows if i == r.doc_id)
         assert all(r[c] == f"{c}{first[:9]}" for c in own) and len(r.more) == 1
+
+
+def test_jaccard_keys_of_one_node_travel_once(spark):
+    rows = [(i, [i, 5000, 6000 + i // 2]) for i in range(300)] + [(900, [])]
+    keyed = cut_lineage(spark.createDataFrame(rows, "rep long, keys array<long>"))
+    found = jaccard._shared_keys(keyed)
+    assert sorted(map(tuple, found.collect())) == sorted([(5000, i) for i in range(300)] + [(6000 + i // 2, i) for i in range(300)])
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange hashpartitioning(key") == 2 and plan.count("ReusedExchange") == 1
