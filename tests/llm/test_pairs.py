@@ -329,6 +329,43 @@ def test_passages_in_a_family_of_edited_copies(spark):
         assert max(len(a), len(b)) >= 50 and common_words(np.array(a), np.array(b)) >= r.equal_words >= 0.8 * max(len(a), len(b))
 
 
+def changed_passage(pick, base, share):
+    """``base`` with so large a share of its words equal, the rest exchanged; the first and the last stay."""
+    words = list(base)
+    for at in pick.sample(range(1, len(words) - 1), int(len(words) * (1 - share) + 1e-9)):
+        words[at] = f"new{pick.randrange(10**9)}"
+    return words
+
+
+@pytest.mark.parametrize("share", [0.8, 0.82, 0.85, 0.9])
+def test_passages_with_exchanged_words_are_found_at_their_identity(spark, share):
+    pick, texts = random.Random(int(100 * share)), []
+    for i in range(30):
+        base = prose(30_000 + i, pick.choice([50, 55, 60, 100])).split()
+        texts += [" ".join([prose(31_000 + i, 40), *words, prose(32_000 + 2 * i + side, 40)]) for side, words in enumerate((base, changed_passage(pick, base, share)))]
+    out = shared_passages(plain(spark, texts)).collect()
+    assert {frozenset((r.doc_id // 2, r.other_id // 2)) for r in out} == {frozenset((i,)) for i in range(30)}
+    for r in out:
+        a, b = texts[r.doc_id].split()[r.start_word : r.end_word], texts[r.other_id].split()[r.other_start : r.other_end]
+        assert max(len(a), len(b)) >= 50 and common_words(np.array(a), np.array(b)) >= r.equal_words >= 0.8 * max(len(a), len(b))
+
+
+def test_passages_grow_to_their_ends_wherever_their_seeds_lead(spark):
+    """All but the middle of 400 shared words stands in earlier documents piece by piece, so seeds of the pair meet in the middle only."""
+    base = prose(33_000, 400).split()
+    pieces = [base[at : at + 45] for at in [*range(0, 170, 10), *range(215, 356, 10)]]
+    holders = [(i, " ".join([prose(34_000 + i, 30), *piece, prose(35_000 + i, 30)])) for i, piece in enumerate(pieces)]
+    rows = holders + [(100 + i, " ".join([prose(36_000 + i, 60), *base, prose(37_000 + i, 60)])) for i in range(2)]
+    names = passage_module.row_name
+    try:
+        # Documents stand for seeds in the order of their ids.
+        passage_module.row_name = lambda doc_id, text: doc_id
+        out = shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    finally:
+        passage_module.row_name = names
+    assert [(r.doc_id, r.start_word, r.end_word, r.other_id) for r in out if {r.doc_id, r.other_id} == {100, 101}] == [(101, 60, 460, 100)]
+
+
 def test_chains_follow_the_best_order():
     assert chains([0, 10, 20, 30], [100, 110, 120, 130]) == [[0, 1, 2, 3]]
     # An anchor out of order stays out; a far one starts anew.
