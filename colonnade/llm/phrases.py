@@ -130,7 +130,7 @@ def _number_words(scratch: Scratch, coded: DataFrame, lexicon: DataFrame) -> Dat
         for r in lexicon.filter(F.pmod("id", F.lit(parts)) == part).toLocalIterator():
             known.setdefault(r.lang, {})[r.word] = r.id
         held, last = spark.sparkContext.broadcast(known), part + 1 == parts
-        rows = scratch.keep(rows.mapInArrow(_resolved(held, last), "ids binary, ranks binary" if last else rows.schema), "lines")
+        rows = scratch.keep(rows.mapInArrow(_resolved(held, last), "ids binary, ranks binary" if last else rows.schema), "lines", large_rows=True)
     return rows
 
 
@@ -272,7 +272,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     spark = docs.sparkSession
     scratch = Scratch(spark, "phrases")
     source = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text")
-    coded = scratch.keep(source.mapInArrow(_coded, "lang string, words array<string>, codes binary"), "coded")
+    coded = scratch.keep(source.mapInArrow(_coded, "lang string, words array<string>, codes binary"), "coded", large_rows=True)
     counts = scratch.keep(
         coded.mapInArrow(_word_counts, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("f")), "words")
     sizes = counts.groupBy("lang").agg(F.sum("f").alias("n"))
@@ -311,7 +311,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
             fresh = True
             for rows, ranks in _shards(level, "rank"):
                 mark = _marked(spark.sparkContext.broadcast(build(rows)), spark.sparkContext.broadcast(ranks), fresh)
-                old, lines, fresh = lines, scratch.keep(lines.mapInArrow(mark, "ids binary, ranks binary"), f"lines{length}"), False
+                old, lines, fresh = lines, scratch.keep(lines.mapInArrow(mark, "ids binary, ranks binary"), f"lines{length}", large_rows=True), False
                 scratch.drop(old)
             if fresh:
                 break

@@ -16,6 +16,7 @@ from colonnade.llm import merkle, phrases
 from colonnade.llm.merkle import manifest
 from colonnade.llm.phrases import mine_phrases, split_words
 from colonnade.llm.queries import word_file
+from colonnade.llm.storage import Scratch
 from colonnade.llm.trie import build
 from colonnade.llm.wordbpe import Lexicon, Merges, WordBpe, compile_lexicon, encode_words
 
@@ -65,6 +66,25 @@ def test_phrases_match_brute_force(spark, monkeypatch, least, top, small):
     assert got
 
 
+def test_large_rows_are_written_in_bounded_pieces(spark):
+    """A task holds a few rows of a megabyte at a time, however many its part of the table has."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    def rows(batches):
+        for _ in batches:
+            pass
+        pick = np.random.default_rng(1)
+        for _ in range(60):
+            yield pa.RecordBatch.from_arrays([pa.array([pick.bytes(1 << 20)], pa.binary())], ["ids"])
+
+    kept = Scratch(spark, "large").keep(spark.range(1).coalesce(1).mapInArrow(rows, "ids binary"), "rows", large_rows=True)
+    groups = [g for f in glob.glob(f"{kept._scratch}/*.parquet") for m in [pq.ParquetFile(f).metadata] for g in map(m.row_group, range(m.num_row_groups))]
+    assert sum(g.num_rows for g in groups) == 60 and max(g.total_byte_size for g in groups) <= 24 << 20
+    assert kept.count() == 60
+
+
 def test_no_phrases(spark):
     assert mine_phrases(no_documents(spark)).collect() == []
     assert mine_phrases(documents(spark, [(1, None, None, *[None] * 8), (2, " .,\t", "en", *[None] * 8)])).collect() == []
